@@ -1,0 +1,15 @@
+"""The size check behind every choice to broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def fits_broadcast(rows: DataFrame) -> bool:
+    """Whether the optimizer's size estimate is within the session's broadcast threshold.
+
+    The estimate errs high (filters do not shrink it); without one the answer is no.
+    """
+    threshold = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= threshold
