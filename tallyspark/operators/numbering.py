@@ -34,6 +34,8 @@ def bucket_offsets(rows: DataFrame, key: str = "id", bits: int = BUCKET_BITS) ->
         rows.groupBy(bucket(F.col(key), bits).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("bucket_rows"))
         .withColumn("bucket_group", bucket(F.col("bucket"), GROUP_BITS))
+        # stated here, so that both readers of the counts share one exchange
+        .filter(F.col("bucket_group").isNotNull())
     )
     earlier = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy("bucket_group").orderBy("bucket").rowsBetween(*earlier)

@@ -45,20 +45,21 @@ def offset_page(
     touched = bucket_offsets(rows.select("id"), bits=bits).filter(
         (F.col("rows_before") < high) & (F.col("rows_before") + F.col("bucket_rows") > low)
     )
+    # one row; every touched bucket adds a row to the page, so at most ``size`` entries
     span = touched.agg(
         bucket_start(F.min("bucket"), bits).alias("first_id"),
         bucket_end(F.max("bucket"), bits).alias("last_id"),
+        F.map_from_entries(F.collect_list(F.struct("bucket", "rows_before"))).alias("starts"),
     )
-    # at most size + 2 * 2**bits rows, in at most ``size`` buckets
-    near = rows.filter(
-        F.col("id").between(span.select("first_id").scalar(), span.select("last_id").scalar())
-    ).withColumn("bucket", bucket(F.col("id"), bits))
+    first_id, last_id, starts = (span.select(c).scalar() for c in span.columns)
     inside = Window.partitionBy("bucket").orderBy("id")
-    row_no = F.col("inside_no") + F.col("rows_before")
+    row_no = F.row_number().over(inside) + F.element_at(starts, F.col("bucket"))
     return (
-        near.withColumn("inside_no", F.row_number().over(inside))
-        .join(touched.select("bucket", "rows_before"), "bucket")
-        .filter((row_no > low) & (row_no <= high))
+        rows.filter(F.col("id").between(first_id, last_id))
+        .withColumn("bucket", bucket(F.col("id"), bits))
+        .withColumn("row_no", row_no)
+        .filter((F.col("row_no") > low) & (F.col("row_no") <= high))
         .select(rows.columns)
         .orderBy("id")
+        .limit(size)
     )

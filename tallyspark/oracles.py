@@ -99,8 +99,7 @@ ORACLES: dict[str, str] = {
         WHERE id NOT IN (SELECT o_orderkey + 1 FROM orders WHERE o_orderstatus = 'F')""",
     "insert_settlements": f"""{_WITH},
         earlier AS (
-            SELECT row_number() OVER (ORDER BY id) AS id, id AS order_id, seller_id, {_FACTS},
-                   {_BEFORE}
+            SELECT id, id AS order_id, seller_id, {_FACTS}, {_BEFORE}
             FROM o WHERE status = 'SETTLED'),
         added AS (
             SELECT (SELECT max(id) FROM earlier) + row_number() OVER (ORDER BY id) AS id,

@@ -46,7 +46,7 @@ def _reset(spark: SparkSession, sf_dir: str, after: int | None = 0) -> DataFrame
 
 
 def orders_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.orders(spark, sf_dir)
+    return scans.typed_orders(fixtures.orders(spark, sf_dir))
 
 
 def confirmed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def unsettled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insert_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    earlier = fixtures.settlements(spark, sf_dir, BITS)
+    earlier = fixtures.settlements(spark, sf_dir)
     return settle.insert_settlements(fixtures.orders(spark, sf_dir), earlier, SETTLED_AT, BITS)
 
 

@@ -18,6 +18,8 @@ CLUSTER_SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # spares a stack capture per column expression while plans are put together
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.operators.numbering import number_rows
 from tallyspark.operators.runlog import CASE_PAIRS
-from tallyspark.operators.scans import confirmed_scan, typed_orders
+from tallyspark.operators.scans import confirmed_scan
 from tallyspark.operators.settle import settlement_projection, stamp
 from tallyspark.schema import CONFIRMED, GRID_SIZE, SETTLED, SETTLEMENTS, STEP_EXECUTIONS
 
@@ -42,26 +41,19 @@ RAW_EVENTS = T.StructType(
 )
 
 
-def _cents(value: str):
-    """Rounded before the cast: few products with 100 are whole doubles."""
-    return F.round(F.col(value) * 100).cast("long")
-
-
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(RAW_ORDERS).parquet(f"{sf_dir}/orders.parquet")
 
 
 def orders_from_raw(raw: DataFrame) -> DataFrame:
-    settled = F.col("o_orderstatus") == "F"
-    return typed_orders(
-        raw.select(
-            (F.col("o_orderkey") + 1).alias("id"),
-            F.col("o_custkey").alias("seller_id"),
-            _cents("o_totalprice").alias("amount"),
-            F.when(settled, F.lit(SETTLED)).otherwise(F.lit(CONFIRMED)).alias("status"),
-            F.col("o_orderdate").alias("order_date"),
-            F.col("o_orderdate").alias("created_at"),
-        )
+    """Amounts are rounded before the cast: few prices times 100 are whole doubles."""
+    return raw.selectExpr(
+        "o_orderkey + 1 AS id",
+        "o_custkey AS seller_id",
+        "CAST(round(o_totalprice * 100) AS BIGINT) AS amount",
+        f"CASE WHEN o_orderstatus = 'F' THEN '{SETTLED}' ELSE '{CONFIRMED}' END AS status",
+        "CAST(o_orderdate AS DATE) AS order_date",
+        "o_orderdate AS created_at",
     )
 
 
@@ -78,7 +70,7 @@ def orders(
 
 
 def confirmed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_orders(spark, sf_dir).filter(F.col("o_orderstatus") != "F")
+    raw = raw_orders(spark, sf_dir).filter(~F.col("o_orderstatus").eqNullSafe("F"))
     return confirmed_scan(orders_from_raw(raw))
 
 
@@ -88,10 +80,10 @@ def settled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamp(settlement_projection(orders_from_raw(raw)), SETTLED_BEFORE)
 
 
-def settlements(spark: SparkSession, sf_dir: str, bits: int) -> DataFrame:
-    """The settlements table as an earlier run left it."""
+def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settlements table as earlier runs left it: unique ids, with gaps."""
     facts = settled_facts(spark, sf_dir)
-    return number_rows(facts, "order_id", "id", bits).select(SETTLEMENTS.names)
+    return facts.withColumn("id", F.col("order_id")).select(SETTLEMENTS.names)
 
 
 def settlement_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +94,9 @@ def settlement_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tagged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders from a source that packs the priority into the status."""
-    raw = raw_orders(spark, sf_dir)
-    status = F.when(F.col("o_orderstatus") == "F", F.lit(SETTLED)).otherwise(F.lit(CONFIRMED))
-    return raw.select(
-        (F.col("o_orderkey") + 1).alias("id"),
-        F.concat_ws(" ", status, F.col("o_orderpriority")).alias("status"),
+    status = f"CASE WHEN o_orderstatus = 'F' THEN '{SETTLED}' ELSE '{CONFIRMED}' END"
+    return raw_orders(spark, sf_dir).selectExpr(
+        "o_orderkey + 1 AS id", f"{status} || ' ' || o_orderpriority AS status"
     )
 
 
@@ -119,15 +109,14 @@ def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     User 0 stands for an unknown seller, and failed events bring no status.
     """
-    failed = F.col("event_type") == "error"
-    return events(spark, sf_dir).select(
-        (F.call_function("div", F.col("event_id"), F.lit(2)) * 3 + 1).alias("id"),
-        F.nullif("user_id", F.lit(0)).alias("seller_id"),
-        _cents("value").alias("amount"),
-        F.when(~failed, F.lit(CONFIRMED)).alias("status"),
-        F.col("ts").cast("date").alias("order_date"),
-        F.col("ts").alias("created_at"),
-        F.col("event_id").alias("version"),
+    return events(spark, sf_dir).selectExpr(
+        "event_id div 2 * 3 + 1 AS id",
+        "nullif(user_id, 0) AS seller_id",
+        "CAST(round(value * 100) AS BIGINT) AS amount",
+        f"CASE WHEN event_type <> 'error' THEN '{CONFIRMED}' END AS status",
+        "CAST(ts AS DATE) AS order_date",
+        "ts AS created_at",
+        "event_id AS version",
     )
 
 
@@ -146,7 +135,7 @@ def step_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("read_count"),
             F.count_if(~skipped).alias("write_count"),
             F.count_if(skipped).alias("skip_count"),
-            F.sum(_cents("value")).alias("duration_ms"),
+            F.expr("sum(CAST(round(value * 100) AS BIGINT))").alias("duration_ms"),
         )
     )
     # one scan feeds both levels: the grouping id tells workers from their master
@@ -164,8 +153,6 @@ def step_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select(
-        F.col("event_type").alias("step"),
-        (F.col("event_id") + 1).alias("chunk_no"),
-        F.col("value").alias("elapsed_ms"),
+    return events(spark, sf_dir).selectExpr(
+        "event_type AS step", "event_id + 1 AS chunk_no", "value AS elapsed_ms"
     )

@@ -1,8 +1,5 @@
 """Every query against DuckDB on the given tables, at every scale factor."""
 
-import decimal
-import math
-
 import duckdb
 import pytest
 
@@ -38,18 +35,6 @@ def duck(folder):
     return connection
 
 
-def normal(value):
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.6f}"
-    if isinstance(value, decimal.Decimal):
-        return str(value)
-    return repr(value)
-
-
-def multiset(rows):
-    return sorted(tuple(normal(v) for v in row) for row in rows)
-
-
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
@@ -64,6 +49,8 @@ def test_matches_duckdb(spark, duck, folder, name):
     assert {f.name: f.dataType.simpleString() for f in got.schema} == {
         c: TYPES[t] for c, t in types.items()
     }
-    want_rows = duck.sql(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall()
-    got_rows = [tuple(r) for r in got.select(names).collect()]
-    assert multiset(got_rows) == multiset(want_rows)
+    result = got.toArrow()  # DuckDB finds it by this name
+    columns = ", ".join(names)
+    ours, theirs = f"SELECT {columns} FROM result", f"SELECT {columns} FROM ({ORACLES[name]})"
+    for left, right in ((ours, theirs), (theirs, ours)):
+        assert duck.sql(f"({left}) EXCEPT ALL ({right}) LIMIT 3").fetchall() == []
