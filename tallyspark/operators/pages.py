@@ -3,16 +3,15 @@
 A plain ``orderBy.limit`` keeps the top rows of every input split and merges them all in
 one task, and a deep offset pulls every skipped row through it. Both pages here first
 locate the id buckets the page lies in from counts of the id column, then read only those:
-the bucket bounds are scalar subqueries, which reach the Parquet reader as row-group
-filters.
+the bucket bounds reach the Parquet reader as row-group filters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.ids import bucket, bucket_end, bucket_start
+from tallyspark.functions.ids import bucket_end, bucket_start
 from tallyspark.operators.numbering import BUCKET_BITS, bucket_offsets
 from tallyspark.schema import CHUNK_SIZE
 
@@ -40,26 +39,21 @@ def keyset_page(
 def offset_page(
     rows: DataFrame, page: int, size: int = CHUNK_SIZE, bits: int = BUCKET_BITS
 ) -> DataFrame:
-    """Page ``page`` (from 0) of ``size`` rows; empty past the end."""
+    """Page ``page`` (from 0) of ``size`` rows; empty past the end.
+
+    Locating the page is a job of its own that brings three numbers to the driver.
+    """
     low, high = page * size, page * size + size
     touched = bucket_offsets(rows.select("id"), bits=bits).filter(
         (F.col("rows_before") < high) & (F.col("rows_before") + F.col("bucket_rows") > low)
     )
-    # one row; every touched bucket adds a row to the page, so at most ``size`` entries
     span = touched.agg(
         bucket_start(F.min("bucket"), bits).alias("first_id"),
         bucket_end(F.max("bucket"), bits).alias("last_id"),
-        F.map_from_entries(F.collect_list(F.struct("bucket", "rows_before"))).alias("starts"),
-    )
-    first_id, last_id, starts = (span.select(c).scalar() for c in span.columns)
-    inside = Window.partitionBy("bucket").orderBy("id")
-    row_no = F.row_number().over(inside) + F.element_at(starts, F.col("bucket"))
-    return (
-        rows.filter(F.col("id").between(first_id, last_id))
-        .withColumn("bucket", bucket(F.col("id"), bits))
-        .withColumn("row_no", row_no)
-        .filter((F.col("row_no") > low) & (F.col("row_no") <= high))
-        .select(rows.columns)
-        .orderBy("id")
-        .limit(size)
-    )
+        F.min("rows_before").alias("skipped"),
+    ).first()
+    if span["first_id"] is None:
+        return rows.filter(F.lit(False))
+    # less than 2**bits rows to skip, at most size + 2 * 2**bits rows to sort
+    near = rows.filter(F.col("id").between(span["first_id"], span["last_id"]))
+    return near.orderBy("id").offset(low - span["skipped"]).limit(size)

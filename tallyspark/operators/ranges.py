@@ -1,7 +1,7 @@
 """Equal-width id ranges over the confirmed orders.
 
 Bounds come from confirmed orders only, while a range holds every status inside its
-bounds. The bounds reach the rows as scalar subqueries: no join and no shuffle of rows.
+bounds.
 """
 
 from __future__ import annotations
@@ -43,13 +43,17 @@ def range_partitions(orders: DataFrame, grid: int = GRID_SIZE) -> DataFrame:
 
 
 def assign_ranges(orders: DataFrame, grid: int = GRID_SIZE) -> DataFrame:
-    """Orders inside the confirmed bounds, with their ``partition_no``."""
-    bounds = confirmed_bounds(orders).withColumn(
-        "width", range_width(F.col("min_id"), F.col("max_id"), grid)
-    )
-    low, high, width = (bounds.select(c).scalar() for c in ("min_id", "max_id", "width"))
+    """Orders inside the confirmed bounds, with their ``partition_no``.
+
+    The two bounds are read first and become literals: rows are neither joined nor
+    shuffled, and files outside the bounds, such as those settled long ago, are skipped.
+    """
+    low, high = confirmed_bounds(orders).first()
+    if low is None:
+        return orders.filter(F.lit(False)).withColumn("partition_no", F.lit(0).cast("long"))
+    width = (high - low) // grid + 1
     return orders.filter(F.col("id").between(low, high)).withColumn(
-        "partition_no", range_number(F.col("id"), low, width)
+        "partition_no", range_number(F.col("id"), F.lit(low), F.lit(width))
     )
 
 

@@ -52,6 +52,11 @@ def write_settings(connections: int = POOL_SIZE, batch: int = CHUNK_SIZE) -> dic
     return {"batchsize": str(batch), "numPartitions": str(connections)}
 
 
+def statement_order(rows: DataFrame, key: str) -> DataFrame:
+    """Key order within each connection, so that a batch touches neighbouring rows."""
+    return rows.sortWithinPartitions(key)
+
+
 def append_rows(
     rows: DataFrame,
     url: str,
@@ -68,5 +73,4 @@ def append_rows(
     and append again to go on.
     """
     settings = {**write_settings(connections, batch), **(properties or {})}
-    ordered = rows.sortWithinPartitions(key)
-    ordered.write.jdbc(url, table, mode="append", properties=settings)
+    statement_order(rows, key).write.jdbc(url, table, mode="append", properties=settings)
