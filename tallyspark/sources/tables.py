@@ -5,8 +5,8 @@ the next version, because Spark cannot overwrite what it is reading and plain fi
 no MERGE. A version counts once its ``_SUCCESS`` marker exists, so a job that dies half way
 changes nothing and its leftovers are overwritten by the next attempt.
 
-Appends go to ``batch_id=…`` folders inside the current version; writing one batch again
-replaces it, so a retried append never doubles rows. One writer per table is assumed.
+A table that only grows is a folder of ``batch_id=…`` folders instead; writing one batch
+again replaces it, so a retried append never doubles rows. One writer per table is assumed.
 """
 
 from __future__ import annotations
@@ -28,14 +28,20 @@ def exists(spark: SparkSession, name: str) -> bool:
     return files.exists(path)
 
 
-def latest_version(spark: SparkSession, root: str) -> int:
-    """Highest complete version, -1 for none."""
+def _numbers(spark: SparkSession, root: str, label: str) -> list[int]:
+    """Numbers of the ``label=…`` folders, highest first."""
     path, files = _path(spark, root)
     if not files.exists(path):
-        return -1
+        return []
     names = [status.getPath().getName() for status in files.listStatus(path)]
-    versions = sorted((int(n[2:]) for n in names if n.startswith("v=")), reverse=True)
-    return next((v for v in versions if exists(spark, f"{root}/v={v}/_SUCCESS")), -1)
+    found = [name.split("=", 1)[1] for name in names if name.startswith(f"{label}=")]
+    return sorted(map(int, found), reverse=True)
+
+
+def latest_version(spark: SparkSession, root: str) -> int:
+    """Highest complete version, -1 for none."""
+    complete = (v for v in _numbers(spark, root, "v") if exists(spark, f"{root}/v={v}/_SUCCESS"))
+    return next(complete, -1)
 
 
 def version_folder(root: str, version: int) -> str:
@@ -62,6 +68,10 @@ def truncate(spark: SparkSession, root: str, schema: T.StructType) -> int:
     return write_version(spark.createDataFrame([], schema), root)
 
 
+def next_batch(spark: SparkSession, folder: str) -> int:
+    return max(_numbers(spark, folder, BATCH), default=-1) + 1
+
+
 def append_batch(rows: DataFrame, folder: str, batch: int) -> None:
     """Adds one batch, replacing an earlier attempt at it."""
     rows.write.mode("overwrite").parquet(f"{folder}/{BATCH}={batch}")

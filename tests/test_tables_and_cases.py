@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators.settle import settlement_projection, stamp, unsettled_orders
+from tallyspark.plans.append import append_new_settlements
 from tallyspark.plans.cases import CASES, run_case
-from tallyspark.schema import CONFIRMED, ORDERS, SETTLED, SETTLEMENT_FACTS
+from tallyspark.schema import CONFIRMED, ORDERS, SETTLED, SETTLEMENT_FACTS, SETTLEMENTS
 from tallyspark.session import scratch_folder
 from tallyspark.sources import jdbc, tables
 from tallyspark.sources.fixtures import SETTLED_AT
@@ -140,6 +141,22 @@ def test_unread_orders_keep_their_status(spark, make_orders, tmp_path):
     assert sorted((r.id, r.status) for r in orders) == [(0, CONFIRMED), (1, SETTLED), (2, SETTLED)]
 
 
+def test_appending_new_settlements(spark, make_orders, tmp_path):
+    def settled():
+        rows = tables.read_batches(spark, f"{tmp_path}/settlement_batches", SETTLEMENTS)
+        return sorted((r.id, r.order_id, r.fee) for r in rows.collect())
+
+    tables.write_version(make_orders((0, 100), (8, 100), (3, 200)), f"{tmp_path}/orders")
+    assert append_new_settlements(spark, str(tmp_path), SETTLED_AT, bits=2) == 0
+    assert settled() == [(1, 3, 6), (2, 8, 3)]
+    assert append_new_settlements(spark, str(tmp_path), SETTLED_AT) == 1
+    assert settled() == [(1, 3, 6), (2, 8, 3)]
+    grown = make_orders((0, 100), (8, 100), (3, 200), (5, 300), (1, 400))
+    tables.write_version(grown, f"{tmp_path}/orders")
+    assert append_new_settlements(spark, str(tmp_path), SETTLED_AT) == 2
+    assert settled() == [(1, 3, 6), (2, 8, 3), (3, 1, 12), (4, 5, 9)]
+
+
 def test_jdbc_ranges_are_closed_and_cover_the_ids():
     assert jdbc.id_range_predicates(1, 10, 4) == [
         "id >= 1 AND id <= 3", "id >= 4 AND id <= 6", "id >= 7 AND id <= 9", "id >= 10 AND id <= 10",
