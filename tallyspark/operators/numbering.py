@@ -5,9 +5,9 @@ bucket and adds the counts up; a second numbers rows inside their bucket. No ste
 more than a bounded number of rows, whatever the id distribution:
 
 * a bucket holds at most 2**bits rows, because ids are unique;
-* a bucket group adds up at most 2**GROUP_BITS bucket counts in one task;
-* the groups themselves number at most 2**(64 - bits - GROUP_BITS): 4 million for the
-  default bits.
+* the at most 2**(64 - bits) buckets are added up in two levels: inside groups of buckets,
+  one task each, and across the groups. Both levels get half of the remaining bits, so a
+  task adds up at most 2**22 numbers for the default bits.
 
 The rows shuffle once, by bucket; the offsets join uses that partitioning.
 """
@@ -21,7 +21,6 @@ from tallyspark.functions.ids import bucket
 from tallyspark.schema import CHUNK_SIZE
 
 BUCKET_BITS = 20
-GROUP_BITS = 22
 
 
 def _before(window) -> F.Column:
@@ -30,10 +29,11 @@ def _before(window) -> F.Column:
 
 def bucket_offsets(rows: DataFrame, key: str = "id", bits: int = BUCKET_BITS) -> DataFrame:
     """(bucket, bucket_rows, rows_before) for every non-empty bucket of ids."""
+    group_bits = (64 - bits) // 2
     counts = (
         rows.groupBy(bucket(F.col(key), bits).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("bucket_rows"))
-        .withColumn("bucket_group", bucket(F.col("bucket"), GROUP_BITS))
+        .withColumn("bucket_group", bucket(F.col("bucket"), group_bits))
         # stated here, so that both readers of the counts share one exchange
         .filter(F.col("bucket_group").isNotNull())
     )

@@ -61,21 +61,20 @@ def run_report(steps: DataFrame) -> DataFrame:
 
 def case_speedup(steps: DataFrame) -> DataFrame:
     """How many times faster the improved case of each pair reads than the plain one."""
-    roles = {c: (axis, role) for axis, *pair in CASE_PAIRS for role, c in zip(("base", "opt"), pair)}
+    case = F.col("case_name")
+    axis = F.coalesce(*[F.when(case.isin(pair), F.lit(name)) for name, *pair in CASE_PAIRS])
 
-    def lookup(position: int):
-        pairs = [F.lit(part) for case, found in roles.items() for part in (case, found[position])]
-        return F.create_map(*pairs)[F.col("case_name")]
-
-    def rate(role: str):
-        return F.max(F.when(F.col("role") == role, F.col("rows_per_second")))
+    def rate(cases: list[str]):
+        return F.max(F.when(case.isin(cases), F.col("rows_per_second")))
 
     return (
-        _per_second(step_totals(steps).filter(F.col("case_name").isin(list(roles))))
-        .withColumn("axis", lookup(0))
-        .withColumn("role", lookup(1))
-        .groupBy("axis")
-        .agg(rate("base").alias("base"), rate("opt").alias("opt"))
+        _per_second(step_totals(steps))
+        .groupBy(axis.alias("axis"))
+        .agg(
+            rate([plain for _, plain, _ in CASE_PAIRS]).alias("base"),
+            rate([improved for _, _, improved in CASE_PAIRS]).alias("opt"),
+        )
+        .filter(F.col("axis").isNotNull())
         .select(
             "axis",
             F.round("base", 2).alias("base_rows_per_second"),

@@ -26,13 +26,15 @@ def append_new_settlements(
     """
     folder = f"{tables}/settlement_batches"
     settlements = read_batches(spark, folder, SETTLEMENTS)
-    unsettled = unsettled_orders(full_read(read_table(spark, f"{tables}/orders", ORDERS)), settlements)
+    orders = full_read(read_table(spark, f"{tables}/orders", ORDERS))
+    unsettled = settlement_projection(unsettled_orders(orders, settlements))
     scratch = scratch_folder(spark, "unsettled")
-    stamp(settlement_projection(unsettled), settled_at).write.parquet(scratch)
+    stamp(unsettled, settled_at).write.parquet(scratch)
 
     facts = spark.read.schema(SETTLEMENT_FACTS).parquet(scratch)
     highest = settlements.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rows = number_rows(facts, "order_id", bits=bits).withColumn("id", F.col("row_no") + F.lit(highest))
+    numbered = number_rows(facts, "order_id", bits=bits)
+    rows = numbered.withColumn("id", F.col("row_no") + F.lit(highest))
     batch = next_batch(spark, folder)
     append_batch(rows.select(SETTLEMENTS.names), folder, batch)
     return batch

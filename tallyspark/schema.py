@@ -54,3 +54,11 @@ STEP_EXECUTIONS = T.StructType(
         T.StructField("duration_ms", T.LongType(), False),
     ]
 )
+
+CHUNK_TIMINGS = T.StructType(
+    [
+        T.StructField("step", T.StringType(), False),
+        T.StructField("chunk_no", T.LongType(), False),
+        T.StructField("elapsed_ms", T.DoubleType(), False),
+    ]
+)

@@ -110,7 +110,7 @@ def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     User 0 stands for an unknown seller, and failed events bring no status.
     """
     return events(spark, sf_dir).selectExpr(
-        "event_id div 2 * 3 + 1 AS id",
+        "event_id div 2 * 4 + 1 AS id",
         "nullif(user_id, 0) AS seller_id",
         "CAST(round(value * 100) AS BIGINT) AS amount",
         f"CASE WHEN event_type <> 'error' THEN '{CONFIRMED}' END AS status",

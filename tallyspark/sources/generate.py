@@ -19,7 +19,7 @@ from tallyspark.schema import (
 
 SELLER_SEED = 11
 AMOUNT_SEED = 23
-ROWS_PER_TASK = 4_000_000
+ROWS_PER_TASK = 16_000_000
 
 
 def generate_orders(

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyspark.operators.scans import full_read
 from tallyspark.operators.settle import settlement_projection, stamp, unsettled_orders
-from tallyspark.schema import ORDERS, SETTLEMENT_FACTS
+from tallyspark.schema import CHUNK_TIMINGS, ORDERS, SETTLEMENT_FACTS
 from tallyspark.sources.tables import append_batch, read_batches
 
 
@@ -36,17 +36,23 @@ def orders_stream(
     )
 
 
+def to_settle(orders: DataFrame) -> DataFrame:
+    """The rows and columns a settlement needs. Applied to the stream itself, because a
+    micro-batch is handed over complete and nothing is pruned behind that point."""
+    return full_read(orders).select("id", "seller_id", "amount")
+
+
 def settle_batch(out: str, settled_at: dt.datetime) -> Callable[[DataFrame, int], None]:
-    """Writer of one micro-batch: orders not settled by an earlier one.
+    """Writer of one micro-batch of ``to_settle``: orders not settled by an earlier one.
 
     Earlier settlements are read only within the id range of the batch. Ids grow with
     time, so that touches the row groups of late arrivals rather than the whole table.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        arrived = full_read(batch).select("id", "seller_id", "amount").dropDuplicates(["id"])
+        arrived = batch.dropDuplicates(["id"])
         if batch_id > 0:
-            span = full_read(batch).agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+            span = batch.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
             if span["low"] is None:
                 return
             earlier = read_batches(batch.sparkSession, out, SETTLEMENT_FACTS, before=batch_id)
@@ -63,13 +69,21 @@ def start_settling(
 ) -> StreamingQuery:
     """Settles all that has arrived and then stops; start again to go on."""
     return (
-        orders.writeStream.foreachBatch(settle_batch(out, settled_at))
+        to_settle(orders)
+        .writeStream.foreachBatch(settle_batch(out, settled_at))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def chunk_timings(spark: SparkSession, query: StreamingQuery, step: str) -> DataFrame:
+    """(step, chunk_no, elapsed_ms) of the micro-batches the query still remembers, which
+    ``spark.sql.streaming.numRecentProgressUpdates`` bounds."""
+    timings = [(step, p.batchId + 1, float(p.batchDuration)) for p in query.recentProgress]
+    return spark.createDataFrame(timings, CHUNK_TIMINGS)
+
+
 def settle_arrived(
     orders: DataFrame, out: str, checkpoint: str, settled_at: dt.datetime
 ) -> DataFrame:

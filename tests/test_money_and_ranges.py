@@ -1,6 +1,8 @@
 """Fee arithmetic and id ranges on hand-written rows."""
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
@@ -57,6 +59,21 @@ def test_every_order_falls_into_the_range_that_contains_it(make_orders):
         assert home.min_id <= row.id <= home.max_id
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    low=st.integers(-(10**12), 10**12),
+    span=st.integers(0, 10**12) | st.integers(0, 9),
+    grid=st.integers(1, 40),
+)
+def test_ranges_are_disjoint_and_cover_the_bounds(make_orders, low, span, grid):
+    orders = make_orders((low, 1), (low + span, 1))
+    ranges = [(r.min_id, r.max_id) for r in range_partitions(orders, grid).collect()]
+    assert len(ranges) == grid
+    filled = sorted(r for r in ranges if r[0] <= r[1])
+    assert filled[0][0] == low and filled[-1][1] == low + span
+    assert all(before[1] + 1 == after[0] for before, after in zip(filled, filled[1:]))
+
+
 def test_no_confirmed_orders_means_no_ranges_and_no_rows(make_orders):
     orders = make_orders((1, 100, SETTLED), (2, 100, SETTLED))
     assert tuple(confirmed_bounds(orders).first()) == (None, None)

@@ -6,7 +6,6 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tallyspark.operators import numbering
 from tallyspark.operators.numbering import bucket_offsets, chunk_numbers, number_rows
 from tallyspark.operators.pages import keyset_page, offset_page
 from tallyspark.schema import CONFIRMED
@@ -17,6 +16,7 @@ ID_SETS = {
     "dense": list(range(1, 400)),
     "sparse": random.Random(1).sample(range(-(10**15), 10**15), 300),
     "clusters": [c * 10**9 + i for c in (-2, 0, 5) for i in range(90)],
+    "groups": [c * 2**44 + i * 2**21 for c in (-3, 0, 1, 7) for i in range(20)],
     "extremes": [LOWEST, LOWEST + 1, -1, 0, 1, HIGHEST - 1, HIGHEST],
     "one": [42],
     "none": [],
@@ -43,13 +43,6 @@ def test_numbers_are_dense_in_id_order(spark, ids, bits):
     assert len(rows) == len(ids)
 
 
-def test_several_bucket_groups(spark, monkeypatch):
-    monkeypatch.setattr(numbering, "GROUP_BITS", 2)
-    ids = ID_SETS["sparse"] + ID_SETS["dense"]
-    rows = number_rows(frame(spark, ids), bits=3).collect()
-    assert {r.id: r.row_no for r in rows} == {i: n for n, i in enumerate(sorted(ids), 1)}
-
-
 def test_bucket_bounds(spark):
     offsets = bucket_offsets(frame(spark, ID_SETS["clusters"]), bits=4).orderBy("bucket").collect()
     before = 0

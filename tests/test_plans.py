@@ -46,7 +46,8 @@ def test_settling_is_one_stage(spark, name):
 
 
 def test_ranged_settlement_shuffles_nothing_and_skips_outside_the_bounds(orders):
-    recent = orders.withColumn("status", F.when(F.col("id") > 900, "CONFIRMED").otherwise("SETTLED"))
+    status = F.when(F.col("id") > 900, "CONFIRMED").otherwise("SETTLED")
+    recent = orders.withColumn("status", status)
     text = plan(settle.settle_ranged(recent, SETTLED_AT))
     assert "Exchange" not in text
     assert "GreaterThanOrEqual(id,901), LessThanOrEqual(id,50000)" in text
@@ -64,7 +65,10 @@ def test_only_needed_columns_are_read(orders):
         (lambda o: scans.confirmed_scan(o), "EqualTo(status,CONFIRMED)"),
         (lambda o: scans.id_range_scan(o, 5, 9), "GreaterThanOrEqual(id,5), LessThanOrEqual(id,9)"),
         (lambda o: pages.keyset_page(o, 7, 5), "LessThanOrEqual(id,ScalarSubquery"),
-        (lambda o: pages.offset_page(o, 3, 5, 4), "GreaterThanOrEqual(id,16), LessThanOrEqual(id,31)"),
+        (
+            lambda o: pages.offset_page(o, 3, 5, bits=4),
+            "GreaterThanOrEqual(id,16), LessThanOrEqual(id,31)",
+        ),
     ],
 )
 def test_filters_reach_the_parquet_reader(orders, rows, pushed):
@@ -96,6 +100,15 @@ def test_numbering_shuffles_and_sorts_rows_once(orders):
     assert rows.count("Sort [bucket") == 1
 
 
+def test_few_orders_leave_the_settlements_in_place(orders, monkeypatch):
+    settlements = settle.settlement_projection(orders)
+    few = orders.filter(F.col("id") < 10)
+    monkeypatch.setattr(settle, "fits_broadcast", lambda rows: rows is few)
+    text = plan(settle.unsettled_orders(few, settlements))
+    scan_to_shuffle = text.split("Exchange hashpartitioning", 1)[1]
+    assert "LeftSemi, BuildRight" in scan_to_shuffle
+
+
 def test_small_upsert_leaves_the_orders_in_place(orders):
     incoming = orders.filter(F.col("id") < 10)
     text = plan(mutations.upsert_orders(orders, incoming))

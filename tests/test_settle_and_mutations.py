@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from tallyspark.operators import mutations
+from tallyspark.operators import mutations, settle
 from tallyspark.operators.constraints import (
     duplicate_settlements,
     null_violations,
@@ -95,14 +95,16 @@ def test_settling_twice_adds_nothing(make_orders, no_settlements):
     assert ids(insert_settlements(orders, once, SETTLED_AT)) == [1, 2]
 
 
-def test_repeated_keys_neither_multiply_nor_hide_orders(spark, make_orders):
+def test_repeated_keys_neither_multiply_nor_hide_orders(spark, make_orders, monkeypatch):
     orders = make_orders(*[(i, 1) for i in range(1, 6)])
     keys = spark.createDataFrame([(2,)] * 500 + [(4,), (77,)], "order_id long")
     settled = settle_orders(orders, keys).collect()
     assert sorted((r.id, r.status) for r in settled) == [
         (1, CONFIRMED), (2, SETTLED), (3, CONFIRMED), (4, SETTLED), (5, CONFIRMED),
     ]
-    assert ids(unsettled_orders(orders, keys)) == [1, 3, 5]
+    for small_orders in (True, False):
+        monkeypatch.setattr(settle, "fits_broadcast", lambda rows: small_orders == (rows is orders))
+        assert ids(unsettled_orders(orders, keys)) == [1, 3, 5]
 
 
 def test_reset(make_orders):
@@ -139,8 +141,8 @@ def test_upsert_takes_the_latest_version_of_a_hot_id(spark, make_orders, merge_p
     )
     merged = upsert_orders(make_orders((7, 0), (5_000, 0)), feed, "version")
     assert merged.filter("id = 7").first().amount == 3_000
-    # the fed ids, among them 7, and the untouched order 5000
-    assert merged.count() == merged.select("id").distinct().count() == 2_002
+    # the 2000 fed ids that 3 does not divide, 7 among them, and the untouched order 5000
+    assert merged.count() == merged.select("id").distinct().count() == 2_001
 
 
 def test_latest_keeps_null_values(spark):
@@ -149,8 +151,11 @@ def test_latest_keeps_null_values(spark):
 
 
 def test_size_check_follows_the_threshold(spark, make_orders):
-    small = make_orders((1, 1))
+    small = spark.range(10)
     assert fits_broadcast(small)
+    assert not fits_broadcast(spark.range(10_000_000))
+    # rows of unknown size count as large
+    assert not fits_broadcast(make_orders((1, 1)))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert not fits_broadcast(small)

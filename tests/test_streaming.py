@@ -2,11 +2,19 @@
 
 import pytest
 
+from tallyspark.operators.runlog import chunk_first_latest
 from tallyspark.schema import ORDERS, SETTLEMENT_FACTS
 from tallyspark.sources.fixtures import SETTLED_AT
 from tallyspark.sources.generate import generate_orders
 from tallyspark.sources.tables import read_batches
-from tallyspark.streaming.incremental import orders_stream, settle_arrived, settle_batch
+from tallyspark.streaming.incremental import (
+    chunk_timings,
+    orders_stream,
+    settle_arrived,
+    settle_batch,
+    start_settling,
+    to_settle,
+)
 
 
 @pytest.fixture
@@ -40,6 +48,17 @@ def test_one_batch_per_trigger_and_nothing_twice(spark, run, arrive, tmp_path):
     assert order_ids(run()) == list(range(1, 401))
 
 
+def test_chunk_timings_of_a_run(spark, arrive, tmp_path):
+    for first in (1, 11, 21):
+        arrive(first, 10)
+    stream = orders_stream(spark, f"{tmp_path}/in", files_per_trigger=1)
+    query = start_settling(stream, f"{tmp_path}/out", f"{tmp_path}/progress", SETTLED_AT)
+    query.awaitTermination()
+    timings = chunk_timings(spark, query, "settle")
+    assert {1, 2, 3} <= {r.chunk_no for r in timings.collect()}
+    assert chunk_first_latest(timings).first().first_ms > 0
+
+
 def test_restart_goes_on_with_new_files(run, arrive):
     arrive(1, 50)
     assert len(order_ids(run())) == 50
@@ -60,7 +79,7 @@ def test_replayed_batch_rewrites_the_same_rows(spark, make_orders, tmp_path):
     first = make_orders((0, 5), (1, 100), (2, 200), (2, 200))
     second = make_orders((2, 200), (3, 300))
     for batch_id, batch in ((0, first), (1, second), (1, second), (0, first)):
-        write(batch, batch_id)
+        write(to_settle(batch), batch_id)
     settled = read_batches(spark, out, SETTLEMENT_FACTS)
     assert sorted((r.order_id, r.fee) for r in settled.collect()) == [(1, 3), (2, 6), (3, 9)]
 
@@ -68,6 +87,6 @@ def test_replayed_batch_rewrites_the_same_rows(spark, make_orders, tmp_path):
 def test_batch_without_readable_orders(spark, make_orders, tmp_path):
     out = f"{tmp_path}/out"
     write = settle_batch(out, SETTLED_AT)
-    write(make_orders((1, 100)), 0)
-    write(spark.createDataFrame([], ORDERS), 1)
+    write(to_settle(make_orders((1, 100))), 0)
+    write(to_settle(spark.createDataFrame([], ORDERS)), 1)
     assert order_ids(read_batches(spark, out, SETTLEMENT_FACTS)) == [1]
