@@ -59,7 +59,11 @@ def bucket_offsets(rows: DataFrame, key: str = "id", bits: int = BUCKET_BITS) ->
 def number_rows(
     rows: DataFrame, key: str = "id", name: str = "row_no", bits: int = BUCKET_BITS
 ) -> DataFrame:
-    """Adds a 1-based dense ``name`` in ``key`` order."""
+    """Adds a 1-based dense ``name`` in ``key`` order. Keys are unique and not null.
+
+    ``rows`` is evaluated twice, the first time for its keys only; put down rows that are
+    costly to come by before numbering them.
+    """
     inside = Window.partitionBy("bucket").orderBy(key)
     numbered = rows.withColumn("bucket", bucket(F.col(key), bits)).withColumn(
         "inside_no", F.row_number().over(inside)

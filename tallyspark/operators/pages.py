@@ -23,7 +23,10 @@ def keyset_page(
     upto: int | None = None,
     bits: int = BUCKET_BITS,
 ) -> DataFrame:
-    """First ``size`` rows with id above ``after`` (and at most ``upto``)."""
+    """First ``size`` rows with id above ``after`` (and at most ``upto``).
+
+    Costs a pass over the id column between the two bounds, then a few row groups.
+    """
     rows = orders.filter(F.col("id") > after)
     if upto is not None:
         rows = rows.filter(F.col("id") <= upto)

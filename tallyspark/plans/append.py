@@ -24,7 +24,7 @@ def append_new_settlements(
     scratch folder first and the join with all settlements runs only once. A lost run is
     repeated by calling again: whatever it had appended is then settled already.
     """
-    folder = f"{tables}/settlement_batches"
+    folder = f"{tables}/appended_settlements"
     settlements = read_batches(spark, folder, SETTLEMENTS)
     orders = full_read(read_table(spark, f"{tables}/orders", ORDERS))
     unsettled = settlement_projection(unsettled_orders(orders, settlements))

@@ -25,7 +25,8 @@ from tallyspark.schema import (
     SETTLEMENT_FACTS,
     STEP_EXECUTIONS,
 )
-from tallyspark.sources.tables import read_table, truncate, write_version
+from tallyspark.sources.generate import missing_orders
+from tallyspark.sources.tables import append_rows, read_table, truncate, write_version
 
 
 class Case(NamedTuple):
@@ -59,6 +60,13 @@ CASES = {
 }
 
 
+def seed_orders(spark: SparkSession, tables: str, target: int, created_at: dt.datetime) -> None:
+    """Appends generated orders until ``tables``/orders holds ``target`` of them."""
+    root = f"{tables}/orders"
+    missing = missing_orders(read_table(spark, root, ORDERS), target, created_at)
+    append_rows(missing, root)
+
+
 def reset_tables(spark: SparkSession, tables: str) -> None:
     """No settlements, and every order confirmed. Orders are rewritten only if one is not;
     the check skips row groups that hold nothing but confirmed ones."""

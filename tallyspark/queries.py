@@ -33,7 +33,7 @@ from tallyspark.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Fixed values of the paged reads; a page size is the reference chunk of 1000 rows.
+# Fixed values of the paged reads; pages have the default size of 1000 rows.
 CURSOR = 5_000
 CURSOR_LIMIT = 5_500
 PAGE = 5

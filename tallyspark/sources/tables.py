@@ -55,6 +55,15 @@ def write_version(rows: DataFrame, root: str) -> int:
     return version
 
 
+def append_rows(rows: DataFrame, root: str) -> None:
+    """Adds rows to the current version."""
+    version = latest_version(rows.sparkSession, root)
+    if version < 0:
+        write_version(rows, root)
+    else:
+        rows.write.mode("append").parquet(version_folder(root, version))
+
+
 def read_table(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """The current version."""
     version = latest_version(spark, root)
@@ -78,16 +87,20 @@ def append_batch(rows: DataFrame, folder: str, batch: int) -> None:
 
 
 def read_batches(
-    spark: SparkSession, folder: str, schema: T.StructType, before: int | None = None
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    since: int = 0,
+    before: int | None = None,
 ) -> DataFrame:
-    """All appended batches, or only those numbered below ``before``.
+    """Appended batches from number ``since`` on and below ``before``.
 
-    The batch number is a folder name, so the bound prunes folders, not rows.
+    The batch number is a folder name, so the bounds prune folders, not rows.
     """
     if not exists(spark, folder):
         return spark.createDataFrame([], schema)
     with_batch = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    rows = spark.read.schema(with_batch).parquet(folder)
+    rows = spark.read.schema(with_batch).parquet(folder).filter(F.col(BATCH) >= since)
     if before is not None:
         rows = rows.filter(F.col(BATCH) < before)
     return rows.select(schema.names)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tallyspark.operators.scans import full_read
 from tallyspark.operators.settle import settlement_projection, stamp, unsettled_orders
 from tallyspark.schema import CHUNK_TIMINGS, ORDERS, SETTLEMENT_FACTS
-from tallyspark.sources.tables import append_batch, read_batches
+from tallyspark.sources.tables import append_batch, exists, read_batches
 
 
 def orders_stream(
@@ -67,7 +67,14 @@ def settle_batch(out: str, settled_at: dt.datetime) -> Callable[[DataFrame, int]
 def start_settling(
     orders: DataFrame, out: str, checkpoint: str, settled_at: dt.datetime
 ) -> StreamingQuery:
-    """Settles all that has arrived and then stops; start again to go on."""
+    """Settles all that has arrived and then stops; start again to go on.
+
+    ``out`` and ``checkpoint`` belong together: a new checkpoint would number its batches
+    from 0 again and overwrite settlements, so it is refused.
+    """
+    spark = orders.sparkSession
+    if exists(spark, out) and not exists(spark, checkpoint):
+        raise ValueError(f"{out} holds settlements of a run with another checkpoint")
     return (
         to_settle(orders)
         .writeStream.foreachBatch(settle_batch(out, settled_at))

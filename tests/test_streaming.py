@@ -66,6 +66,14 @@ def test_restart_goes_on_with_new_files(run, arrive):
     assert order_ids(run()) == list(range(1, 81))
 
 
+def test_another_checkpoint_is_refused(spark, run, arrive, tmp_path):
+    arrive(1, 10)
+    run()
+    stream = orders_stream(spark, f"{tmp_path}/in")
+    with pytest.raises(ValueError, match="another checkpoint"):
+        start_settling(stream, f"{tmp_path}/out", f"{tmp_path}/elsewhere", SETTLED_AT)
+
+
 def test_orders_sent_again_are_not_settled_again(run, arrive):
     arrive(1, 50)
     run()

@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.__main__ import main
 from tallyspark.operators.runlog import case_speedup, step_totals
 from tallyspark.operators.settle import settlement_projection, stamp, unsettled_orders
 from tallyspark.plans.append import append_new_settlements
-from tallyspark.plans.cases import CASES, run_case
+from tallyspark.plans.cases import CASES, run_case, seed_orders
 from tallyspark.schema import CONFIRMED, ORDERS, SETTLED, SETTLEMENT_FACTS, SETTLEMENTS, STEP_EXECUTIONS
 from tallyspark.session import scratch_folder
 from tallyspark.sources import jdbc, tables
@@ -151,7 +152,7 @@ def test_unread_orders_keep_their_status(spark, make_orders, tmp_path):
 
 def test_appending_new_settlements(spark, make_orders, tmp_path):
     def settled():
-        rows = tables.read_batches(spark, f"{tmp_path}/settlement_batches", SETTLEMENTS)
+        rows = tables.read_batches(spark, f"{tmp_path}/appended_settlements", SETTLEMENTS)
         return sorted((r.id, r.order_id, r.fee) for r in rows.collect())
 
     tables.write_version(make_orders((0, 100), (8, 100), (3, 200)), f"{tmp_path}/orders")
@@ -184,6 +185,23 @@ def test_range_workers_read_every_id(spark, make_orders, tmp_path):
     assert _all_settled(spark, str(tmp_path))
 
 
+def test_seeding_tops_the_stored_orders_up(spark, tmp_path):
+    for target, rows in ((30, 30), (30, 30), (20, 30), (45, 45)):
+        seed_orders(spark, str(tmp_path), target, SETTLED_AT)
+        orders = tables.read_table(spark, f"{tmp_path}/orders", ORDERS)
+        assert sorted(r.id for r in orders.collect()) == list(range(1, rows + 1))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    main([str(tmp_path), "reader-zero-offset", "sequential", "--orders", "1500"])
+    shown = capsys.readouterr().out
+    assert shown.count("1,500") == 4
+    steps = tables.read_batches(spark, f"{tmp_path}/steps", STEP_EXECUTIONS)
+    assert sorted(r.case_name for r in steps.collect()) == ["reader-zero-offset", "sequential"]
+    with pytest.raises(SystemExit):
+        main([str(tmp_path), "no-such-case"])
+
+
 def test_a_case_starts_from_a_reset(spark, make_orders, tmp_path):
     tables.write_version(make_orders((1, 1, SETTLED), (2, 1)), f"{tmp_path}/orders")
     run_case(spark, "sequential", str(tmp_path), SETTLED_AT)
