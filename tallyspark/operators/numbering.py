@@ -40,19 +40,18 @@ def bucket_offsets(rows: DataFrame, key: str = "id", bits: int = BUCKET_BITS) ->
     earlier = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy("bucket_group").orderBy("bucket").rowsBetween(*earlier)
     across = Window.orderBy("bucket_group").rowsBetween(*earlier)
+    counted = counts.withColumn("inside_before", _before(inside))
+    # read off the same sorted groups, so both levels share one exchange
+    group_rows = F.max(F.col("inside_before") + F.col("bucket_rows"))
     groups = (
-        counts.groupBy("bucket_group")
-        .agg(F.sum("bucket_rows").alias("bucket_rows"))
+        counted.groupBy("bucket_group")
+        .agg(group_rows.alias("bucket_rows"))
         .select("bucket_group", _before(across).alias("group_before"))
     )
-    return (
-        counts.withColumn("inside_before", _before(inside))
-        .join(groups, "bucket_group")
-        .select(
-            "bucket",
-            "bucket_rows",
-            (F.col("inside_before") + F.col("group_before")).alias("rows_before"),
-        )
+    return counted.join(groups, "bucket_group").select(
+        "bucket",
+        "bucket_rows",
+        (F.col("inside_before") + F.col("group_before")).alias("rows_before"),
     )
 
 

@@ -11,7 +11,7 @@ from tallyspark.functions.money import fee, net_amount
 from tallyspark.operators.numbering import BUCKET_BITS, number_rows
 from tallyspark.operators.ranges import assign_ranges
 from tallyspark.operators.scans import full_read, id_range_scan
-from tallyspark.operators.sizing import fits_broadcast
+from tallyspark.operators.sizing import fits_broadcast, looks_small
 from tallyspark.schema import CONFIRMED, GRID_SIZE, INSERT_COUNT, SETTLED, SETTLEMENTS
 
 
@@ -68,7 +68,7 @@ def unsettled_orders(orders: DataFrame, settlements: DataFrame) -> DataFrame:
     found to shuffle.
     """
     settled = settlements.select(F.col("order_id").alias("id"))
-    if fits_broadcast(orders) and not fits_broadcast(settlements):
+    if not looks_small(settlements) and fits_broadcast(orders.select("id")):
         settled = settled.join(F.broadcast(orders.select("id")), "id", "left_semi")
     return orders.join(settled.distinct(), "id", "left_anti")
 

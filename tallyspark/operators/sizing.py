@@ -1,15 +1,45 @@
-"""The size check behind every choice to broadcast."""
+"""The size check behind every broadcast hint."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+FIXED_WIDTH = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+# a value in a row, and what a row and its entry in the hash table cost beside the values
+VALUE_BYTES = 8
+ROW_BYTES = 32
+
+
+def _threshold(rows: DataFrame) -> int:
+    return rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
-def fits_broadcast(rows: DataFrame) -> bool:
-    """Whether the optimizer's size estimate is within the session's broadcast threshold.
 
-    The estimate errs high (filters do not shrink it); without one the answer is no.
+def looks_small(rows: DataFrame) -> bool:
+    """Whether the optimizer's estimate is within the session's broadcast threshold.
+
+    Costs nothing and errs high, except on well compressed files; rows of unknown size
+    are large.
     """
-    threshold = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= threshold
+    return int(str(size)) <= _threshold(rows)
+
+
+def fits_broadcast(rows: DataFrame) -> bool:
+    """Whether the rows, once measured, are within the session's broadcast threshold.
+
+    Only what already looks small is read to be measured.
+    """
+    if not looks_small(rows):
+        return False
+    width = F.lit(ROW_BYTES).cast("long")
+    for field in rows.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            width += VALUE_BYTES + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, FIXED_WIDTH):
+            width += VALUE_BYTES
+        else:
+            return False
+    measured = rows.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return measured <= _threshold(rows)

@@ -103,7 +103,7 @@ def test_numbering_shuffles_and_sorts_rows_once(orders):
 def test_few_orders_leave_the_settlements_in_place(orders, monkeypatch):
     settlements = settle.settlement_projection(orders)
     few = orders.filter(F.col("id") < 10)
-    monkeypatch.setattr(settle, "fits_broadcast", lambda rows: rows is few)
+    monkeypatch.setattr(settle, "looks_small", lambda rows: False)
     text = plan(settle.unsettled_orders(few, settlements))
     scan_to_shuffle = text.split("Exchange hashpartitioning", 1)[1]
     assert "LeftSemi, BuildRight" in scan_to_shuffle

@@ -20,7 +20,7 @@ from tallyspark.operators.settle import (
     settle_status,
     unsettled_orders,
 )
-from tallyspark.operators.sizing import fits_broadcast
+from tallyspark.operators.sizing import fits_broadcast, looks_small
 from tallyspark.schema import CONFIRMED, ORDER_DATE, ORDERS, SETTLED, SETTLEMENTS
 from tallyspark.sources.fixtures import SETTLED_AT, SETTLED_BEFORE
 
@@ -103,7 +103,7 @@ def test_repeated_keys_neither_multiply_nor_hide_orders(spark, make_orders, monk
         (1, CONFIRMED), (2, SETTLED), (3, CONFIRMED), (4, SETTLED), (5, CONFIRMED),
     ]
     for small_orders in (True, False):
-        monkeypatch.setattr(settle, "fits_broadcast", lambda rows: small_orders == (rows is orders))
+        monkeypatch.setattr(settle, "fits_broadcast", lambda rows: small_orders)
         assert ids(unsettled_orders(orders, keys)) == [1, 3, 5]
 
 
@@ -145,6 +145,16 @@ def test_upsert_takes_the_latest_version_of_a_hot_id(spark, make_orders, merge_p
     assert merged.count() == merged.select("id").distinct().count() == 2_001
 
 
+def test_size_is_measured_where_the_estimate_is_low(spark, tmp_path):
+    # a few kilobytes on disk, some 30 MB in memory
+    spark.range(3_000).selectExpr("id", "repeat('x', 10000) AS s").write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    assert looks_small(rows)
+    assert not fits_broadcast(rows)
+    assert fits_broadcast(rows.select("id"))
+    assert not fits_broadcast(spark.range(3).selectExpr("array(id) AS ids"))
+
+
 def test_latest_keeps_null_values(spark):
     rows = spark.createDataFrame([(1, "old", 1), (1, None, 2)], "id long, value string, n long")
     assert [tuple(r) for r in latest_per_id(rows, "n").collect()] == [(1, None)]
