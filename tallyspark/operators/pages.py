@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.ids import bucket_end, bucket_start
-from tallyspark.operators.numbering import BUCKET_BITS, bucket_offsets
+from tallyspark.operators.numbering import bucket_offsets
 from tallyspark.schema import CHUNK_SIZE
 
+# Finer buckets than for numbering: what they hold beside the page passes through a
+# top-k heap instead of a sort that spills.
+PAGE_BITS = 16
+
 
 def keyset_page(
     orders: DataFrame,
     after: int,
     size: int = CHUNK_SIZE,
     upto: int | None = None,
-    bits: int = BUCKET_BITS,
+    bits: int = PAGE_BITS,
 ) -> DataFrame:
     """First ``size`` rows with id above ``after`` (and at most ``upto``).
 
@@ -40,7 +44,7 @@ def keyset_page(
 
 
 def offset_page(
-    rows: DataFrame, page: int, size: int = CHUNK_SIZE, bits: int = BUCKET_BITS
+    rows: DataFrame, page: int, size: int = CHUNK_SIZE, bits: int = PAGE_BITS
 ) -> DataFrame:
     """Page ``page`` (from 0) of ``size`` rows; empty past the end.
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.operators.mutations import settle_orders
 from tallyspark.operators.numbering import BUCKET_BITS, number_rows
 from tallyspark.operators.scans import full_read
 from tallyspark.operators.settle import settlement_projection, stamp, unsettled_orders
@@ -14,6 +15,19 @@ from tallyspark.schema import ORDERS, SETTLEMENT_FACTS, SETTLEMENTS
 from tallyspark.session import scratch_folder
 from tallyspark.sources.tables import append_batch, next_batch, read_batches, read_table
 
+APPENDED = "appended_settlements"
+
+
+def appended_settlements(spark: SparkSession, tables: str) -> DataFrame:
+    return read_batches(spark, f"{tables}/{APPENDED}", SETTLEMENTS)
+
+
+def current_orders(spark: SparkSession, tables: str) -> DataFrame:
+    """The stored orders with the status their settlements imply. Nothing is rewritten to
+    settle an order; write this as a new version when a snapshot is wanted."""
+    orders = read_table(spark, f"{tables}/orders", ORDERS)
+    return settle_orders(orders, appended_settlements(spark, tables))
+
 
 def append_new_settlements(
     spark: SparkSession, tables: str, settled_at: dt.datetime, bits: int = BUCKET_BITS
@@ -24,8 +38,8 @@ def append_new_settlements(
     scratch folder first and the join with all settlements runs only once. A lost run is
     repeated by calling again: whatever it had appended is then settled already.
     """
-    folder = f"{tables}/appended_settlements"
-    settlements = read_batches(spark, folder, SETTLEMENTS)
+    folder = f"{tables}/{APPENDED}"
+    settlements = appended_settlements(spark, tables)
     orders = full_read(read_table(spark, f"{tables}/orders", ORDERS))
     unsettled = settlement_projection(unsettled_orders(orders, settlements))
     scratch = scratch_folder(spark, "unsettled")

@@ -7,12 +7,12 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Sizes are left to AQE: it starts from many shuffle partitions and merges them up to
-# the advisory size, so the same job fits 60 thousand rows and 100 TB.
-CLUSTER_SETTINGS = {
+PARTITION_BYTES = 128 * 1024 * 1024
+
+SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.ansi.enabled": "true",
@@ -23,11 +23,25 @@ CLUSTER_SETTINGS = {
 }
 
 
+def cluster_settings(shuffled_bytes: int) -> dict[str, str]:
+    """Settings for a job whose widest shuffle moves that many bytes.
+
+    AQE merges shuffle partitions up to the advisory size but starts no further ones, so
+    there must be enough of them to begin with.
+    """
+    partitions = max(200, -(-shuffled_bytes // PARTITION_BYTES))
+    return {
+        **SETTINGS,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 def local_session(app: str, cores: str | int = "*", **settings: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     defaults = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
-    for key, value in {**CLUSTER_SETTINGS, **defaults, **settings}.items():
+    for key, value in {**SETTINGS, **defaults, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -100,6 +100,20 @@ def test_numbering_shuffles_and_sorts_rows_once(orders):
     assert rows.count("Sort [bucket") == 1
 
 
+@pytest.mark.parametrize("join", [settle.unsettled_orders, mutations.settle_orders])
+def test_key_joins_shuffle_each_side_once_and_combine_keys_first(orders, join):
+    spark = orders.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(join(orders, settle.settlement_projection(orders)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning(id") == 2
+    keys = text.split("Exchange hashpartitioning(id")[2]
+    assert keys.split("HashAggregate(keys=[id", 1)[1].count("Scan") == 1
+    assert "SortMergeJoin" in text
+
+
 def test_few_orders_leave_the_settlements_in_place(orders, monkeypatch):
     settlements = settle.settlement_projection(orders)
     few = orders.filter(F.col("id") < 10)

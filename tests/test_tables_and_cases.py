@@ -1,15 +1,22 @@
 """Stored tables, the generator, the eight cases and JDBC settings."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.__main__ import main
 from tallyspark.operators.runlog import case_speedup, step_totals
+from tallyspark.operators.scans import confirmed_scan
 from tallyspark.operators.settle import settlement_projection, stamp, unsettled_orders
-from tallyspark.plans.append import append_new_settlements
+from tallyspark.plans.append import (
+    append_new_settlements,
+    appended_settlements,
+    current_orders,
+)
 from tallyspark.plans.cases import CASES, run_case, seed_orders
-from tallyspark.schema import CONFIRMED, ORDERS, SETTLED, SETTLEMENT_FACTS, SETTLEMENTS, STEP_EXECUTIONS
-from tallyspark.session import scratch_folder
+from tallyspark.schema import CONFIRMED, ORDERS, SETTLED, SETTLEMENT_FACTS, STEP_EXECUTIONS
+from tallyspark.session import cluster_settings, scratch_folder
 from tallyspark.sources import jdbc, tables
 from tallyspark.sources.fixtures import SETTLED_AT
 from tallyspark.sources.generate import generate_orders, missing_orders, top_up_orders
@@ -152,8 +159,8 @@ def test_unread_orders_keep_their_status(spark, make_orders, tmp_path):
 
 def test_appending_new_settlements(spark, make_orders, tmp_path):
     def settled():
-        rows = tables.read_batches(spark, f"{tmp_path}/appended_settlements", SETTLEMENTS)
-        return sorted((r.id, r.order_id, r.fee) for r in rows.collect())
+        rows = appended_settlements(spark, str(tmp_path)).collect()
+        return sorted((r.id, r.order_id, r.fee) for r in rows)
 
     tables.write_version(make_orders((0, 100), (8, 100), (3, 200)), f"{tmp_path}/orders")
     assert append_new_settlements(spark, str(tmp_path), SETTLED_AT, bits=2) == 0
@@ -164,6 +171,8 @@ def test_appending_new_settlements(spark, make_orders, tmp_path):
     tables.write_version(grown, f"{tmp_path}/orders")
     assert append_new_settlements(spark, str(tmp_path), SETTLED_AT) == 2
     assert settled() == [(1, 3, 6), (2, 8, 3), (3, 1, 12), (4, 5, 9)]
+    open_orders = confirmed_scan(current_orders(spark, str(tmp_path)))
+    assert [r.id for r in open_orders.collect()] == [0]
 
 
 def test_run_logs_feed_the_comparison(spark, make_orders, tmp_path):
@@ -247,3 +256,16 @@ def test_scratch_folder_is_under_the_shared_one(spark):
     folder = scratch_folder(spark, "x")
     assert folder != scratch_folder(spark, "x")
     assert root is None or folder.startswith(root)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    no_setting = SimpleNamespace(get=lambda key, default: default)
+    context = SimpleNamespace(master="yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_folder(SimpleNamespace(conf=no_setting, sparkContext=context), "x")
+
+
+def test_shuffle_partitions_grow_with_the_data():
+    key = "spark.sql.shuffle.partitions"
+    assert cluster_settings(10**9)[key] == "200"
+    assert int(cluster_settings(20 * 10**12)[key]) == 149_012
