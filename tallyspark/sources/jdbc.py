@@ -1,14 +1,19 @@
-"""Orders from and settlements to a relational database over JDBC.
+"""Orders from and settlements to a relational database.
 
-The driver jar is the cluster's business; nothing here connects before it is called.
+Reads and inserts go through Spark's JDBC source, whose driver jar is the cluster's
+business. It knows no updates, so those go through a Python database connection per
+partition. Nothing here connects before it is called.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from tallyspark.operators.scans import typed_orders
-from tallyspark.schema import CHUNK_SIZE
+from tallyspark.schema import CHUNK_SIZE, CONFIRMED, SETTLED
 
 # Fixed value: connections the database is willing to serve at once.
 POOL_SIZE = 10
@@ -29,6 +34,12 @@ def id_range_predicates(
     return [f"{column} >= {s} AND {column} <= {min(s + width - 1, max_id)}" for s in starts]
 
 
+def confirmed_bounds_query(table: str = "orders") -> str:
+    """Table expression that has the database compute both bounds in one statement."""
+    bounds = "SELECT MIN(id) AS min_id, MAX(id) AS max_id"
+    return f"({bounds} FROM {table} WHERE status = '{CONFIRMED}') bounds"
+
+
 def read_settings(batch: int = CHUNK_SIZE) -> dict[str, str]:
     """Rows come in batches instead of a whole result set, and local timestamps stay local."""
     return {"fetchsize": str(batch), "preferTimestampNTZ": "true"}
@@ -79,3 +90,33 @@ def append_rows(
     """
     settings = {**write_settings(connections, batch), **(properties or {})}
     statement_order(rows, key).write.jdbc(url, table, mode="append", properties=settings)
+
+
+def update_status(
+    keys: DataFrame,
+    connect: Callable[[], object],
+    key: str = "order_id",
+    table: str = "orders",
+    connections: int = POOL_SIZE,
+    batch: int = CHUNK_SIZE,
+    placeholder: str = "?",
+) -> None:
+    """Marks the orders in ``keys`` settled, ``batch`` at a time with a commit each.
+
+    ``connect`` opens a DB-API connection and runs in the tasks. An update that a retried
+    task repeats changes nothing, so lost executors are harmless.
+    """
+    statement = f"UPDATE {table} SET status = {placeholder} WHERE id = {placeholder}"
+    settled = SETTLED
+
+    def update(rows: Iterator[Row]) -> None:
+        connection = connect()
+        try:
+            cursor = connection.cursor()
+            while chunk := [(settled, row[0]) for row in islice(rows, batch)]:
+                cursor.executemany(statement, chunk)
+                connection.commit()
+        finally:
+            connection.close()
+
+    statement_order(keys.select(key).coalesce(connections), key).foreachPartition(update)

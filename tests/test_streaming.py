@@ -1,6 +1,7 @@
 """Incremental settlement: chunks of files, restarts, replays and late copies."""
 
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from tallyspark.operators.runlog import chunk_first_latest
 from tallyspark.schema import ORDERS, SETTLEMENT_FACTS
@@ -92,6 +93,30 @@ def test_replayed_batch_rewrites_the_same_rows(spark, make_orders, tmp_path):
     assert sorted((r.order_id, r.fee) for r in settled.collect()) == [(1, 3), (2, 6), (3, 9)]
 
 
+@pytest.mark.parametrize("after_writing", [False, True])
+def test_run_lost_in_the_middle_of_a_batch(spark, run, arrive, tmp_path, after_writing):
+    for first in (1, 101, 201):
+        arrive(first, 100)
+    write = settle_batch(f"{tmp_path}/out", SETTLED_AT)
+
+    def write_and_fail(batch, batch_id):
+        if batch_id != 1 or after_writing:
+            write(batch, batch_id)
+        if batch_id == 1:
+            raise RuntimeError("lost")
+
+    stream = to_settle(orders_stream(spark, f"{tmp_path}/in", files_per_trigger=1))
+    lost = (
+        stream.writeStream.foreachBatch(write_and_fail)
+        .option("checkpointLocation", f"{tmp_path}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    with pytest.raises(StreamingQueryException):
+        lost.awaitTermination()
+    assert order_ids(run()) == list(range(1, 301))
+
+
 def test_batch_without_readable_orders(spark, make_orders, tmp_path):
     out = f"{tmp_path}/out"
     write = settle_batch(out, SETTLED_AT)

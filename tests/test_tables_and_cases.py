@@ -1,5 +1,7 @@
 """Stored tables, the generator, the eight cases and JDBC settings."""
 
+import json
+import uuid
 from types import SimpleNamespace
 
 import pytest
@@ -245,6 +247,48 @@ def test_jdbc_rows_are_sorted_within_a_connection(spark):
     assert all(ids == sorted(ids) for ids in parts.values())
 
 
+def test_status_updates_go_out_in_ordered_batches(spark, tmp_path):
+    folder = str(tmp_path)
+
+    class Connection:
+        """Writes what a database would be sent to a file per connection."""
+
+        def __init__(self):
+            self.log = open(f"{folder}/{uuid.uuid4().hex}", "w")
+
+        def cursor(self):
+            return self
+
+        def executemany(self, statement, rows):
+            self.log.write(json.dumps([statement, rows]) + "\n")
+
+        def commit(self):
+            self.log.flush()
+
+        def close(self):
+            self.log.close()
+
+    keys = spark.range(1, 2_501).withColumnRenamed("id", "order_id").repartition(7)
+    jdbc.update_status(keys, Connection, connections=3, batch=400, placeholder="%s")
+    logs = [[json.loads(line) for line in path.open()] for path in tmp_path.iterdir()]
+    assert len(logs) == 3
+    updated = []
+    for log in logs:
+        assert all(s == "UPDATE orders SET status = %s WHERE id = %s" for s, _ in log)
+        assert all(len(rows) == 400 for _, rows in log[:-1])
+        ids = [i for _, rows in log for status, i in rows if status == SETTLED]
+        assert ids == sorted(ids)
+        updated += ids
+    assert sorted(updated) == list(range(1, 2_501))
+
+
+def test_bounds_are_left_to_the_database():
+    assert jdbc.confirmed_bounds_query() == (
+        "(SELECT MIN(id) AS min_id, MAX(id) AS max_id FROM orders"
+        " WHERE status = 'CONFIRMED') bounds"
+    )
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_case_without_orders(spark, tmp_path, name):
     log = run_case(spark, name, str(tmp_path), SETTLED_AT)
