@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import fee, net_amount
@@ -15,6 +15,11 @@ from tallyspark.operators.sizing import fits_broadcast, looks_small
 from tallyspark.schema import CONFIRMED, GRID_SIZE, INSERT_COUNT, SETTLED, SETTLEMENTS
 
 
+def to_settle(orders: DataFrame) -> DataFrame:
+    """The columns a settlement is computed from."""
+    return orders.select("id", "seller_id", "amount")
+
+
 def settlement_projection(orders: DataFrame, *keep: str) -> DataFrame:
     """What each order settles to; ``keep`` passes further order columns through."""
     amount = F.col("amount")
@@ -73,6 +78,18 @@ def unsettled_orders(orders: DataFrame, settlements: DataFrame) -> DataFrame:
     return orders.join(settled.distinct(), "id", "left_anti")
 
 
+def numbered_settlements(
+    orders: DataFrame, settled_at: dt.datetime, highest: Column, bits: int = BUCKET_BITS
+) -> DataFrame:
+    """Settlements of ``orders`` with ids going on from ``highest`` in order of their ids.
+
+    Numbering shuffles only what a settlement is computed from; the rest is added behind.
+    """
+    numbered = number_rows(to_settle(orders), bits=bits)
+    facts = stamp(settlement_projection(numbered, "row_no"), settled_at)
+    return facts.withColumn("id", highest + F.col("row_no")).select(SETTLEMENTS.names)
+
+
 def new_settlements(
     orders: DataFrame,
     settlements: DataFrame,
@@ -80,10 +97,9 @@ def new_settlements(
     bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Rows to append: orders not settled yet, with ids going on from the highest one."""
-    facts = stamp(settlement_projection(unsettled_orders(orders, settlements)), settled_at)
     highest = settlements.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = number_rows(facts, "order_id", bits=bits)
-    return numbered.withColumn("id", highest + F.col("row_no")).select(SETTLEMENTS.names)
+    unsettled = unsettled_orders(to_settle(orders), settlements)
+    return numbered_settlements(unsettled, settled_at, highest, bits)
 
 
 def insert_settlements(

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators.mutations import settle_orders
-from tallyspark.operators.numbering import BUCKET_BITS, number_rows
+from tallyspark.operators.numbering import BUCKET_BITS
 from tallyspark.operators.scans import full_read
-from tallyspark.operators.settle import settlement_projection, stamp, unsettled_orders
-from tallyspark.schema import ORDERS, SETTLEMENT_FACTS, SETTLEMENTS
+from tallyspark.operators.settle import numbered_settlements, to_settle, unsettled_orders
+from tallyspark.schema import ORDERS, SETTLEMENTS
 from tallyspark.session import scratch_folder
 from tallyspark.sources.tables import append_batch, next_batch, read_batches, read_table
 
@@ -40,15 +40,13 @@ def append_new_settlements(
     """
     folder = f"{tables}/{APPENDED}"
     settlements = appended_settlements(spark, tables)
-    orders = full_read(read_table(spark, f"{tables}/orders", ORDERS))
-    unsettled = settlement_projection(unsettled_orders(orders, settlements))
+    orders = to_settle(full_read(read_table(spark, f"{tables}/orders", ORDERS)))
     scratch = scratch_folder(spark, "unsettled")
-    stamp(unsettled, settled_at).write.parquet(scratch)
+    unsettled_orders(orders, settlements).write.parquet(scratch)
 
-    facts = spark.read.schema(SETTLEMENT_FACTS).parquet(scratch)
+    unsettled = spark.read.schema(orders.schema).parquet(scratch)
     highest = settlements.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = number_rows(facts, "order_id", bits=bits)
-    rows = numbered.withColumn("id", F.col("row_no") + F.lit(highest))
     batch = next_batch(spark, folder)
-    append_batch(rows.select(SETTLEMENTS.names), folder, batch)
+    rows = numbered_settlements(unsettled, settled_at, F.lit(highest), bits)
+    append_batch(rows, folder, batch)
     return batch

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyspark.operators.scans import full_read
-from tallyspark.operators.settle import settlement_projection, stamp, unsettled_orders
+from tallyspark.operators.settle import settlement_projection, stamp, to_settle, unsettled_orders
 from tallyspark.schema import CHUNK_TIMINGS, ORDERS, SETTLEMENT_FACTS
 from tallyspark.sources.tables import append_batch, exists, read_batches
 
@@ -36,14 +36,8 @@ def orders_stream(
     )
 
 
-def to_settle(orders: DataFrame) -> DataFrame:
-    """The rows and columns a settlement needs. Applied to the stream itself, because a
-    micro-batch is handed over complete and nothing is pruned behind that point."""
-    return full_read(orders).select("id", "seller_id", "amount")
-
-
 def settle_batch(out: str, settled_at: dt.datetime) -> Callable[[DataFrame, int], None]:
-    """Writer of one micro-batch of ``to_settle``: orders not settled by an earlier one.
+    """Writer of one micro-batch: orders not settled by an earlier one.
 
     Earlier settlements are read only within the id range of the batch. Ids grow with
     time, so that touches the row groups of late arrivals rather than the whole table.
@@ -69,6 +63,9 @@ def start_settling(
 ) -> StreamingQuery:
     """Settles all that has arrived and then stops; start again to go on.
 
+    The stream itself carries only what a settlement needs: a micro-batch is handed over
+    complete and nothing is pruned behind that point.
+
     ``out`` and ``checkpoint`` belong together: a new checkpoint would number its batches
     from 0 again and overwrite settlements, so it is refused.
     """
@@ -76,7 +73,7 @@ def start_settling(
     if exists(spark, out) and not exists(spark, checkpoint):
         raise ValueError(f"{out} holds settlements of a run with another checkpoint")
     return (
-        to_settle(orders)
+        to_settle(full_read(orders))
         .writeStream.foreachBatch(settle_batch(out, settled_at))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -39,8 +39,7 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_matches_duckdb(spark, duck, folder, name):
+def compare(spark, duck, folder, name):
     got = QUERIES[name](spark, folder)
     want = duck.sql(ORACLES[name])
     names = sorted(got.columns)
@@ -54,3 +53,31 @@ def test_matches_duckdb(spark, duck, folder, name):
     ours, theirs = f"SELECT {columns} FROM result", f"SELECT {columns} FROM ({ORACLES[name]})"
     for left, right in ((ours, theirs), (theirs, ours)):
         assert duck.sql(f"({left}) EXCEPT ALL ({right}) LIMIT 3").fetchall() == []
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_matches_duckdb(spark, duck, folder, name):
+    compare(spark, duck, folder, name)
+
+
+LARGE = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+@pytest.mark.parametrize(
+    "name",
+    "unsettled_orders insert_settlements settle_orders upsert_orders chunk_numbers offset_page"
+    " keyset_page bounded_keyset_page incremental_settle".split(),
+)
+def test_matches_duckdb_with_the_joins_of_large_tables(spark, duck, folder, name):
+    before = {key: spark.conf.get(key, None) for key in LARGE}
+    for key, value in LARGE.items():
+        spark.conf.set(key, value)
+    try:
+        compare(spark, duck, folder, name)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.errors import StreamingQueryException
 
 from tallyspark.operators.runlog import chunk_first_latest
+from tallyspark.operators.scans import full_read
+from tallyspark.operators.settle import to_settle
 from tallyspark.schema import ORDERS, SETTLEMENT_FACTS
 from tallyspark.sources.fixtures import SETTLED_AT
 from tallyspark.sources.generate import generate_orders
@@ -14,7 +16,6 @@ from tallyspark.streaming.incremental import (
     settle_arrived,
     settle_batch,
     start_settling,
-    to_settle,
 )
 
 
@@ -88,7 +89,7 @@ def test_replayed_batch_rewrites_the_same_rows(spark, make_orders, tmp_path):
     first = make_orders((0, 5), (1, 100), (2, 200), (2, 200))
     second = make_orders((2, 200), (3, 300))
     for batch_id, batch in ((0, first), (1, second), (1, second), (0, first)):
-        write(to_settle(batch), batch_id)
+        write(to_settle(full_read(batch)), batch_id)
     settled = read_batches(spark, out, SETTLEMENT_FACTS)
     assert sorted((r.order_id, r.fee) for r in settled.collect()) == [(1, 3), (2, 6), (3, 9)]
 
@@ -105,9 +106,10 @@ def test_run_lost_in_the_middle_of_a_batch(spark, run, arrive, tmp_path, after_w
         if batch_id == 1:
             raise RuntimeError("lost")
 
-    stream = to_settle(orders_stream(spark, f"{tmp_path}/in", files_per_trigger=1))
+    stream = orders_stream(spark, f"{tmp_path}/in", files_per_trigger=1)
     lost = (
-        stream.writeStream.foreachBatch(write_and_fail)
+        to_settle(full_read(stream))
+        .writeStream.foreachBatch(write_and_fail)
         .option("checkpointLocation", f"{tmp_path}/progress")
         .trigger(availableNow=True)
         .start()
