@@ -58,7 +58,8 @@ feed AS (
     SELECT event_id // 2 * 4 + 1 AS id, nullif(user_id, 0) AS seller_id,
            CAST(round(value * 100) AS BIGINT) AS amount,
            CASE WHEN event_type <> 'error' THEN 'CONFIRMED' END AS status,
-           CAST(ts AS DATE) AS order_date, ts AS created_at, event_id AS version
+           CAST(ts AS DATE) AS order_date,
+           CAST(date_trunc('day', ts) AS TIMESTAMP) AS created_at, event_id AS version
     FROM events
 )
 """

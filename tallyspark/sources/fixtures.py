@@ -107,7 +107,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unchecked incoming orders, one per event, two versions of each id in turn.
 
-    User 0 stands for an unknown seller, and failed events bring no status.
+    User 0 stands for an unknown seller, and failed events bring no status. As with the
+    given orders, an order counts as created at the start of its day.
     """
     return events(spark, sf_dir).selectExpr(
         "event_id div 2 * 4 + 1 AS id",
@@ -115,7 +116,7 @@ def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(round(value * 100) AS BIGINT) AS amount",
         f"CASE WHEN event_type <> 'error' THEN '{CONFIRMED}' END AS status",
         "CAST(ts AS DATE) AS order_date",
-        "ts AS created_at",
+        "CAST(CAST(ts AS DATE) AS TIMESTAMP_NTZ) AS created_at",
         "event_id AS version",
     )
 
