@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import quality, simhash
+from tallyspark.llm import decontam, mixing, quality, simhash, token_shards
 from tallyspark.llm.common import stash, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,9 +22,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of a mixture to target weights, each at most once."""
+    return mixing.mix(docs, epochs=1)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids in binary shards, read back by key: doc_id, start, n_tokens, ids_crc32, shard, ordinal."""
+    return token_shards.round_trip(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_classifier),
     ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix_sources),
+    ("token ids", write_tokens),
 ]
 
 #: Fingerprints and a trained classifier are beyond SQL; tests hold run() against brute force.

@@ -15,6 +15,7 @@ other than the named ones are ignored, or passed through by ``keep_good``.
 from __future__ import annotations
 
 import re
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,8 +56,9 @@ def shape(word: str) -> str:
     return re.sub(r"a+", "a", re.sub(r"A+", "A", _RUNS.sub(sign, word)))[:16]
 
 
-def _both(word: str) -> tuple[int, int]:
-    return word_hash(word.lower()), word_hash("\0" + shape(word))
+def _both(word: str) -> bytes:
+    """Hashes of the word's two tokens, 16 bytes."""
+    return struct.pack("<QQ", word_hash(word.lower()), word_hash("\0" + shape(word)))
 
 
 _HASHES = Remembered(_both)
@@ -68,7 +70,7 @@ def features(text: str | None) -> np.ndarray:
     words = (text or "").split()
     if not words:
         return np.empty(0, np.int64)
-    pairs = np.array(list(map(_HASHES.__getitem__, words)), np.uint64)
+    pairs = np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), np.uint64).reshape(-1, 2)
     plain, shapes = pairs[:, 0], pairs[:, 1].copy()
     shapes[1:][plain[1:] == plain[:-1]] = _SAME
     grams = [plain, shapes]
