@@ -75,18 +75,30 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.units: dict[str, bytes] = {}
+        # a token of this kind is written with one character for each of its bytes
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.bytes_of = np.array([len(name or "") for name in names])
 
     def whole(self, text: str) -> bytes:
         """The ids of a text encoded in one piece."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def _learn(self, units: list[str]) -> None:
-        found = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
-        ids, size = np.array(found.ids, self.type).tobytes(), self.type.itemsize
-        ends = np.searchsorted(np.array(found.word_ids), np.arange(len(units)), "right") * size
-        start = 0
-        for unit, end in zip(units, ends.tolist(), strict=True):
-            self.units[unit] = ids[start:end]
+        """Encodes units: those that may stand side by side as one text, cut by byte lengths."""
+        plain = [u for u in units if len(u) > 1 and u[0] == " " and not (u[1].isspace() or u[-1].isspace())]
+        others = sorted(set(units).difference(plain))
+        ids = self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids
+        through = np.cumsum(self.bytes_of[ids])
+        bytes_to = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in plain])
+        self._keep(plain, ids, np.searchsorted(through, bytes_to) + 1)
+        found = self.tokenizer.encode(others, is_pretokenized=True, add_special_tokens=False)
+        words = np.array(found.word_ids, np.int64)
+        self._keep(others, found.ids, np.searchsorted(words, np.arange(len(others)), "right"))
+
+    def _keep(self, units: list[str], ids: list[int], ends: np.ndarray) -> None:
+        data, start = np.array(ids, self.type).tobytes(), 0
+        for unit, end in zip(units, (ends * self.type.itemsize).tolist(), strict=True):
+            self.units[unit] = data[start:end]
             start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
