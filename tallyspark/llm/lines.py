@@ -1,21 +1,23 @@
 """Line dedup by a tree of log templates: lines that recur across documents are dropped.
 
-A line's tokens are its runs without white space; a token with a digit, ``@`` or ``://`` is a
-variable field and becomes ``<*>``. A leaf of the tree is a number of tokens and the first
-LEADING tokens. Two kinds of templates are found:
+A line's tokens are what spaces part; a token with a digit, ``@`` or ``://`` is a variable
+field and becomes ``<*>``. A leaf of the tree is a number of tokens and the first LEADING
+tokens. Two kinds of templates are found:
 
 - a line as it reads once its variable fields are masked;
-- a leaf's own template: at each place the token that most documents of the leaf have there.
-  Lines that agree with it at ALIKE of their places are its instances; the other places are
-  variable fields as well.
+- a leaf's own template: the tokens are cut into SEGMENTS even parts, and each part is the
+  one that most texts of the leaf have there. Lines that agree with it in ALIKE parts are its
+  instances; parts that differ hold variable fields.
 
 A template is dropped, with all its lines, if it occurs in enough different texts: in
 MIN_TEXTS for lines of LONG tokens and more, in SHORT_TEXTS for shorter ones, which recur by
 chance. Exact copies of a document count as one text, so that copies alone do not make a
-line recur. Lines of fewer than MIN_TOKENS tokens always stay.
+line recur. Lines of fewer than MIN_TOKENS tokens always stay; leaves below LONG tokens have
+no template of their own.
 
-Counting is by partial sums in two steps (template and text, then template), and joins are on
-plain columns of written tables, which AQE splits where one line has made a key large.
+The texts are read twice, once for hashes of lines and parts, once to drop lines. Counting is
+by partial sums in two steps (template and text, then template), and joins are on plain
+columns of written tables, which AQE splits where one line has made a key large.
 
 Defined results: a null text is empty and has one empty line; repeated rows are cleaned
 alike and count once; a document of dropped lines alone gets the text ``""``. Extra columns
@@ -34,116 +36,105 @@ MIN_TOKENS = 3
 LONG = 8
 MIN_TEXTS = 3
 SHORT_TEXTS = 20
-ALIKE = 0.7
+SEGMENTS, ALIKE = 8, 6
 
-_VARIABLE = r"(?<!\S)(?:[^\s0-9@:]|:(?!//))*+(?:[0-9@]|://)\S*"
+_FIELD = r"[0-9@]|://"
+_VARIABLE = r"(?<![^ ])(?:[^ 0-9@:]|:(?!//))*+(?:[0-9@]|://)[^ ]*"
+#: A text is known by its hash and its length.
+TEXT = ["text_hash", "text_bytes"]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, place, tokens) of every line, its variable fields masked."""
+def _known_by(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("text_bytes")]
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """(text, place, tokens, line, leaf, parts) of every line; hashes for line, leaf, parts."""
     text = F.coalesce("text", F.lit(""))
+    line = F.trim("col")
+    masked = F.when(F.rlike(line, F.lit(_FIELD)), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line)
+    tokens = F.split(masked, " ")
+    size = F.size("tokens")
+
+    def part(i: int) -> Column:
+        start, end = F.floor(size * i / SEGMENTS), F.floor(size * (i + 1) / SEGMENTS)
+        return F.hash(F.slice("tokens", (start + 1).cast("int"), (end - start).cast("int")))
+
+    parts = F.array(*(part(i) for i in range(SEGMENTS)))
     return (
-        docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")))
-        .withColumn("masked", F.trim(F.regexp_replace(F.regexp_replace("col", _VARIABLE, "<*>"), r"\s+", " ")))
+        docs.select(*_known_by(text), F.posexplode(F.split(text, "\n")).alias("place", "col"))
+        .select(*TEXT, "place", masked.alias("masked"), tokens.alias("tokens"))
         .select(
-            "doc_id", "text_hash", F.col("pos").alias("place"), F.split("masked", " ").alias("tokens"), "masked"
+            *TEXT,
+            "place",
+            size.alias("tokens"),
+            F.xxhash64("masked").alias("line"),
+            F.xxhash64(size, F.slice("tokens", 1, LEADING)).alias("leaf"),
+            F.when(size >= LONG, parts).alias("parts"),
         )
     )
 
 
-def _leaf() -> Column:
-    return F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING))
-
-
 def _enough(texts: str, tokens: str) -> Column:
     return F.col(texts) >= F.when(F.col(tokens) >= LONG, MIN_TEXTS).otherwise(SHORT_TEXTS)
 
 
-def _instances(docs: DataFrame, counted: DataFrame) -> DataFrame:
-    """line (hash) of the lines that their leaf's template covers and that recur together.
+def _recurring_leaves(lines: DataFrame) -> DataFrame:
+    """leaf of the leaves with several different lines that have enough texts together."""
+    held = lines.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("texts").alias("texts"))
+    return stash(held.filter((F.col("different") > 1) & (F.col("texts") >= MIN_TEXTS)).select("leaf"), "leaves")
 
-    Only leaves with several different lines and enough texts are read again.
-    """
-    leaves = stash(
-        counted.groupBy("leaf", "tokens")
-        .agg(F.count("*").alias("different"), F.sum("texts").alias("texts"))
-        .filter((F.col("different") > 1) & _enough("texts", "tokens"))
-        .select("leaf"),
-        "leaves",
-    )
-    distinct = counted.join(leaves, "leaf", "left_semi").select("line", "leaf", "texts")
-    words = (
-        _lines(docs)
-        .select(F.xxhash64("masked").alias("line"), "tokens")
-        .join(stash(distinct, "distinct"), "line")
-        .groupBy("line", "leaf", "texts")
-        .agg(F.first("tokens").alias("tokens"))
-        .select("line", "leaf", "texts", F.posexplode("tokens").alias("place", "token"))
-    )
-    words = stash(words, "words")
-    usual = stash(
-        words.groupBy("leaf", "place", "token")
+
+def _instances(counted: DataFrame) -> DataFrame:
+    """line of the lines that their leaf's template covers and that recur together."""
+    long_lines = counted.filter(F.col("tokens") >= LONG)
+    lines = stash(long_lines.join(_recurring_leaves(long_lines), "leaf", "left_semi"), "long")
+    usual = (
+        lines.select("leaf", "texts", F.posexplode("parts").alias("at", "part"))
+        .groupBy("leaf", "at", "part")
         .agg(F.sum("texts").alias("texts"))
-        .groupBy("leaf", "place")
-        .agg(F.max(F.struct("texts", "token")).alias("most"))
-        .select("leaf", "place", F.col("most.token").alias("usual")),
-        "usual",
+        .groupBy("leaf", "at")
+        .agg(F.max(F.struct("texts", "part")).alias("most"))
+        .groupBy("leaf")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "most.part"))).alias("usual"))
     )
+    same = F.zip_with("parts", "usual", lambda part, most: (part == most["part"]).cast("int"))
+    agreeing = F.aggregate(same, F.lit(0), lambda total, one: total + one)
     alike = stash(
-        words.join(usual, ["leaf", "place"])
-        .groupBy("line", "leaf", "texts")
-        .agg(F.count("*").alias("tokens"), F.avg((F.col("token") == F.col("usual")).cast("int")).alias("alike"))
-        .filter(F.col("alike") >= ALIKE),
+        lines.join(stash(usual, "usual"), "leaf")
+        .filter(agreeing >= ALIKE)
+        .select("leaf", "line", "texts"),
         "alike",
     )
-    recurring = (
-        alike.groupBy("leaf", "tokens")
-        .agg(F.count("*").alias("different"), F.sum("texts").alias("texts"))
-        .filter((F.col("different") > 1) & _enough("texts", "tokens"))
-    )
-    return alike.join(stash(recurring.select("leaf"), "recurring"), "leaf", "left_semi").select("line")
+    return alike.join(_recurring_leaves(alike), "leaf", "left_semi").select("line")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """doc_id, text without dropped lines, n_lines, n_dropped of every document."""
-    placed = stash(
-        _lines(docs)
-        .filter(F.size("tokens") >= MIN_TOKENS)
-        .select(
-            "doc_id",
-            "text_hash",
-            "place",
-            F.size("tokens").alias("tokens"),
-            F.xxhash64("masked").alias("line"),
-            _leaf().alias("leaf"),
-        ),
-        "placed",
-    )
+    placed = stash(_placed(docs), "placed")
     counted = stash(
-        placed.groupBy("line", "leaf", "tokens", "text_hash")
+        placed.filter(F.col("tokens") >= MIN_TOKENS)
+        .groupBy("line", "leaf", "tokens", "parts", *TEXT)
         .agg(F.lit(1).alias("one"))
-        .groupBy("line", "leaf", "tokens")
+        .groupBy("line", "leaf", "tokens", "parts")
         .agg(F.count("*").alias("texts")),
         "counted",
     )
     recurring = counted.filter(_enough("texts", "tokens")).select("line")
-    dropped = stash(recurring.unionByName(_instances(docs, counted)).distinct(), "dropped")
-    hits = stash(
-        placed.select("text_hash", "place", "line").join(dropped, "line").select("text_hash", "place"), "hits"
-    )
-    places = hits.groupBy("text_hash").agg(F.collect_set("place").alias("places"))
+    dropped = stash(recurring.unionByName(_instances(counted)).distinct(), "dropped")
+    short = F.col("tokens") < MIN_TOKENS
+    hits = stash(placed.filter(~short).select(*TEXT, "place", "line").join(dropped, "line").drop("line"), "hits")
+    places = stash(hits.groupBy(*TEXT).agg(F.collect_set("place").alias("places")), "places")
     text = F.coalesce("text", F.lit(""))
-    whole = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
     lines = F.split("text", "\n")
-    none = F.array().cast("array<int>")
     kept = F.filter(lines, lambda _, i: ~F.array_contains("places", i))
     return (
-        whole.join(stash(places, "places"), "text_hash", "left")
-        .withColumn("places", F.coalesce("places", none))
+        docs.select("doc_id", text.alias("text"), *_known_by(text))
+        .join(places, TEXT, "left")
         .select(
             "doc_id",
-            F.when(F.size("places") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+            F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
             F.size(lines).alias("n_lines"),
-            F.size("places").alias("n_dropped"),
+            F.coalesce(F.size("places"), F.lit(0)).alias("n_dropped"),
         )
     )
