@@ -17,7 +17,7 @@ import tallyspark
 from tallyspark.session import scratch_folder
 
 #: Most words whose hashes a Python worker remembers; others are hashed again.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,17 @@ def labelled_sample(labels: DataFrame, column: str, in_training: Column, rows: i
     )
 
 
+_claimed: list[dict] = []
+
+
+def claim(memory: dict) -> None:
+    """Empties the memory that another operator has filled in this Python worker before."""
+    if not _claimed or _claimed[0] is not memory:
+        for other in _claimed:
+            other.clear()
+        _claimed[:] = [memory]
+
+
 class Remembered(dict):
     """A bounded memory of a pure function's values: looks like a dict that has every key."""
 
@@ -93,6 +104,7 @@ class Remembered(dict):
         self.function, self.most = function, most
 
     def __missing__(self, key):
+        claim(self)
         value = self.function(key)
         if len(self) < self.most:
             self[key] = value

@@ -4,7 +4,7 @@ A line's tokens are what spaces part; a token with a digit, ``@`` or ``://`` is
 field and becomes ``<*>``. A leaf of the tree is a number of tokens and the first LEADING
 tokens. Two kinds of templates are found:
 
-- a line as it reads once its variable fields are masked;
+- a line as it reads once its variable fields are masked, if they are at most half of it;
 - a leaf's own template: the tokens are cut into SEGMENTS even parts, and each part is the
   one that most texts of the leaf have there. Lines that agree with it in ALIKE parts are its
   instances; parts that differ hold variable fields.
@@ -52,8 +52,10 @@ def _placed(docs: DataFrame) -> DataFrame:
     """(text, place, tokens, line, leaf, parts) of every line; hashes for line, leaf, parts."""
     text = F.coalesce("text", F.lit(""))
     line = F.trim("col")
-    masked = F.when(F.rlike(line, F.lit(_FIELD)), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line)
-    tokens = F.split(masked, " ")
+    masked = F.when(F.rlike(line, F.lit(_FIELD)), F.regexp_replace(line, _VARIABLE, "<*>"))
+    # a line of fields for the most part tells nothing once they are masked
+    fields = F.size(F.filter(F.split("masked", " "), lambda token: token == "<*>"))
+    told = F.when(fields * 2 <= F.size(F.split("masked", " ")), F.col("masked"))
     size = F.size("tokens")
 
     def part(i: int) -> Column:
@@ -63,7 +65,9 @@ def _placed(docs: DataFrame) -> DataFrame:
     parts = F.array(*(part(i) for i in range(SEGMENTS)))
     return (
         docs.select(*_known_by(text), F.posexplode(F.split(text, "\n")).alias("place", "col"))
-        .select(*TEXT, "place", masked.alias("masked"), tokens.alias("tokens"))
+        .select(*TEXT, "place", line.alias("line"), masked.alias("masked"))
+        .select(*TEXT, "place", F.coalesce(told, "line").alias("masked"))
+        .withColumn("tokens", F.split("masked", " "))
         .select(
             *TEXT,
             "place",

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ TRAINING_ROWS = 20_000
 #: Dimensions of the hashed feature space, a power of two.
 DIMENSIONS = 1 << 18
 #: Shards that are fitted side by side and averaged.
-SHARDS = 4
+SHARDS = 8
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
 #: Features are parts of one; this brings them near one.
@@ -97,7 +98,7 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(dot + self.intercept, -30, 30))))
 
 
-def follow_the_leader(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
+def follow_the_leader(rows: Iterable[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
     """FTRL-proximal over the rows in order; the last weight is the intercept's."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
 
@@ -109,7 +110,7 @@ def follow_the_leader(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS)
     for found, label in rows:
         at, counts = np.unique(found, return_counts=True)
         values = np.append(SCALE * counts / max(1, len(found)), 1.0)
-        sparse.append((np.append(at, DIMENSIONS), values, label))
+        sparse.append((np.append(at, DIMENSIONS).astype(np.int32), values.astype(np.float32), label))
     for _ in range(epochs):
         for at, values, label in sparse:
             w = weights(at)
@@ -137,8 +138,8 @@ def fit(
     def fit_shards(shards):
         for number, shard in _gathered(shards):
             shard = shard.sort_values(["order", "doc_id", "text"], kind="stable")
-            found = [features(text) for text in shard["text"]]
-            w = follow_the_leader(list(zip(found, shard["label"], strict=True)))
+            rows = zip(map(features, shard["text"]), shard["label"], strict=True)
+            w = follow_the_leader(rows)
             at = np.flatnonzero(w)
             yield pd.DataFrame({"shard": number, "at": at, "weight": w[at]})
 

@@ -74,4 +74,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_token_shards": op10_token_shards,
 }
-ORACLES: dict[str, str] = {}
+
+
+def _filled(level: str, parents: str, weight: str, above: str) -> str:
+    """SQL: each parent's budget (of table above) shared among its nodes, as mixing.share does."""
+    node = f"{parents}, {level}" if parents else level
+    by = f"partition by {parents}" if parents else ""
+    join = f"join {above} using ({parents})" if parents else f"cross join {above}"
+    # nodes of null names do not occur in the given tables
+    return f"""
+nodes_{level} as (
+  select {node}, sum(tokens) * {mixing.EPOCHS} as capacity, {weight} as weight, any_value({above}.budget) as pot
+  from leaves {join} group by all),
+levels_{level} as (
+  select *, case when weight > 0 then
+    (pot - coalesce(sum(capacity) over (w rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (w rows between current row and unbounded following) end as lev
+  from nodes_{level} where weight > 0
+  window w as ({by} order by capacity / weight, {node})),
+finals_{level} as (
+  select *, max(case when capacity / weight > lev then lev end) over ({by}) as fin from levels_{level}),
+budget_{level} as (
+  select {node}, case when fin is null then capacity
+    else least(capacity, floor(weight * greatest(fin, 0.0))::bigint) end::bigint as budget
+  from finals_{level})"""
+
+
+def _weights(level: str) -> str:
+    cases = "".join(f" when {level} = '{n}' then {w}" for (at, n), w in mixing.WEIGHTS.items() if at == level)
+    return f"case{cases} else {mixing.DEFAULT_WEIGHT} end" if cases else str(mixing.DEFAULT_WEIGHT)
+
+
+_MIXING = f"""
+with docs as (
+  select doc_id, lang, source, text,
+    'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) as int), 0) % 4) as domain,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as words,
+    md5(coalesce(text, '')) as tie
+  from documents),
+leaves as (select domain, lang, source, count(*) as held, sum(words)::bigint as tokens from docs group by all),
+root as (select (sum(tokens) * {mixing.BUDGET[0]} // {mixing.BUDGET[1]})::bigint as budget from leaves),
+{_filled("domain", "", _weights("domain"), "root")},
+{_filled("lang", "domain", _weights("lang"), "budget_domain")},
+{_filled("source", "domain, lang", _weights("source"), "budget_lang")},
+plan as (
+  select *, case when tokens > 0 then budget // tokens else 0 end as full_epochs
+  from leaves join budget_source using (domain, lang, source) where budget > 0),
+placed as (
+  select docs.*, budget, full_epochs, budget - full_epochs * tokens as rest, tokens,
+    ('0x' || substr(md5('{mixing.SEED}:' || full_epochs || ':' || coalesce(doc_id::varchar, '')), 1, 15))::bigint
+      as place
+  from docs join plan using (domain, lang, source)),
+run as (
+  select *, sum(words) over (partition by domain, lang, source order by place, doc_id, tie
+    rows between unbounded preceding and current row) as until from placed),
+taken as (
+  select *, full_epochs as epoch from run where until <= rest or tokens <= rest
+  union all
+  select * from (select *, unnest(range(full_epochs)) as epoch from run))
+select doc_id, epoch::int as epoch, words::bigint as words, domain, lang, source, budget from taken
+"""
+
+ORACLES: dict[str, str] = {"op4_mixing": _MIXING}

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import ship, stash
+from tallyspark.llm.common import claim, ship, stash
 from tallyspark.session import scratch_folder
 
 END_ID = 0
@@ -50,7 +50,7 @@ FEW_KEYS, MANY_PARTS, MOST_KEYS = 2048, 4096, 1_000_000
 #: Bits of a level's array for each key that reaches it.
 GAMMA = 2
 #: Text units whose ids a Python worker remembers before it starts anew.
-REMEMBERED_UNITS = 900_000
+REMEMBERED_UNITS = 500_000
 
 RECORD = "doc_id long, ordinal long, shard int, first long, n_tokens long"
 _MAGIC = b"TLYMPH01"
@@ -103,6 +103,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id."""
+        claim(self.units)
         if len(self.units) > REMEMBERED_UNITS:
             self.units.clear()
         cut: list[list[str] | None] = []
