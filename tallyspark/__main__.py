@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 
 from tallyspark.operators.runlog import run_report
 from tallyspark.plans.cases import CASES, run_case, seed_orders
-from tallyspark.schema import STEP_EXECUTIONS
+from tallyspark.schema import GRID_SIZE, INSERT_COUNT, STEP_EXECUTIONS
+from tallyspark.session import SETTINGS
 from tallyspark.sources.tables import append_batch, next_batch, read_batches
 
 
@@ -18,20 +19,28 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("tables", help="folder of the orders and settlements tables")
     parser.add_argument("cases", nargs="*", metavar="case", help=f"default all: {' '.join(CASES)}")
     parser.add_argument("--orders", type=int, default=0, help="generate orders up to this number")
+    parser.add_argument("--insert-count", type=int, default=INSERT_COUNT, help="ids the insert cases settle")
+    parser.add_argument("--grid", type=int, default=GRID_SIZE, help="ranges of the partitioned case")
     parser.add_argument("--settled-at", type=dt.datetime.fromisoformat, default=None)
     chosen = parser.parse_args(arguments)
     unknown = set(chosen.cases) - set(CASES)
     if unknown:
         parser.error(f"unknown case: {', '.join(sorted(unknown))}")
 
-    spark = SparkSession.builder.appName("tallyspark").getOrCreate()
+    builder = SparkSession.builder.appName("tallyspark")
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     settled_at = chosen.settled_at or dt.datetime.now()
     if chosen.orders:
         seed_orders(spark, chosen.tables, chosen.orders, settled_at)
     steps = f"{chosen.tables}/steps"
     first = next_batch(spark, steps)
     for batch, name in enumerate(chosen.cases or CASES, first):
-        append_batch(run_case(spark, name, chosen.tables, settled_at), steps, batch)
+        log = run_case(
+            spark, name, chosen.tables, settled_at, chosen.insert_count, chosen.grid
+        )
+        append_batch(log, steps, batch)
     run_report(read_batches(spark, steps, STEP_EXECUTIONS, since=first)).show(truncate=False)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators.sizing import fits_broadcast
 from tallyspark.schema import CONFIRMED, SETTLED
 
 
@@ -59,16 +58,12 @@ def upsert_orders(
     ``created_at`` of an existing order never changes. ``sequence`` orders several
     versions of one id; without it ids in ``incoming`` are taken to be unique.
 
-    Where the incoming rows fit a broadcast the orders stay where they are: they are read
-    twice, the second time for ids only, and never shuffled. Otherwise both sides meet in
-    one full outer join.
+    Both sides meet in one full outer join, whatever their sizes. An incoming row without an
+    id raises an error.
     """
+    missing = F.raise_error(F.lit("an incoming order has no id")).cast("long")
+    incoming = incoming.withColumn("id", F.coalesce("id", missing))
     latest = latest_per_id(incoming, sequence) if sequence else incoming
     was, came = orders.alias("was"), latest.alias("came")
     same_id = F.col("was.id") == F.col("came.id")
-    if not fits_broadcast(incoming):
-        return _merged(was.join(came, same_id, "full"), orders.columns, "was", "came")
-    updated = _merged(was.join(F.broadcast(came), same_id, "left"), orders.columns, "was", "came")
-    present = orders.select("id").join(F.broadcast(latest.select("id")), "id", "left_semi")
-    inserted = latest.join(present, "id", "left_anti").select(orders.columns)
-    return updated.unionByName(inserted)
+    return _merged(was.join(came, same_id, "full"), orders.columns, "was", "came")

@@ -23,6 +23,11 @@ from tallyspark.schema import CHUNK_SIZE
 BUCKET_BITS = 20
 
 
+def _present(key: str) -> F.Column:
+    """The key, or an error where there is none: such a row could not be numbered."""
+    return F.coalesce(F.col(key), F.raise_error(F.lit(f"{key} is null")).cast("long"))
+
+
 def _before(window) -> F.Column:
     return F.coalesce(F.sum("bucket_rows").over(window), F.lit(0))
 
@@ -31,7 +36,7 @@ def bucket_offsets(rows: DataFrame, key: str = "id", bits: int = BUCKET_BITS) ->
     """(bucket, bucket_rows, rows_before) for every non-empty bucket of ids."""
     group_bits = (64 - bits) // 2
     counts = (
-        rows.groupBy(bucket(F.col(key), bits).alias("bucket"))
+        rows.groupBy(bucket(_present(key), bits).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("bucket_rows"))
         .withColumn("bucket_group", bucket(F.col("bucket"), group_bits))
         # stated here, so that both readers of the counts share one exchange
@@ -58,13 +63,13 @@ def bucket_offsets(rows: DataFrame, key: str = "id", bits: int = BUCKET_BITS) ->
 def number_rows(
     rows: DataFrame, key: str = "id", name: str = "row_no", bits: int = BUCKET_BITS
 ) -> DataFrame:
-    """Adds a 1-based dense ``name`` in ``key`` order. Keys are unique and not null.
+    """Adds a 1-based dense ``name`` in ``key`` order. Keys are unique; a null one raises an error.
 
     ``rows`` is evaluated twice, the first time for its keys only; put down rows that are
     costly to come by before numbering them.
     """
     inside = Window.partitionBy("bucket").orderBy(key)
-    numbered = rows.withColumn("bucket", bucket(F.col(key), bits)).withColumn(
+    numbered = rows.withColumn("bucket", bucket(_present(key), bits)).withColumn(
         "inside_no", F.row_number().over(inside)
     )
     offsets = bucket_offsets(rows.select(key), key, bits).select("bucket", "rows_before")

@@ -11,7 +11,6 @@ from tallyspark.functions.money import fee, net_amount
 from tallyspark.operators.numbering import BUCKET_BITS, number_rows
 from tallyspark.operators.ranges import assign_ranges
 from tallyspark.operators.scans import full_read, id_range_scan
-from tallyspark.operators.sizing import fits_broadcast, looks_small
 from tallyspark.schema import CONFIRMED, GRID_SIZE, INSERT_COUNT, SETTLED, SETTLEMENTS
 
 
@@ -68,13 +67,10 @@ def settle_ranged(
 def unsettled_orders(orders: DataFrame, settlements: DataFrame) -> DataFrame:
     """Orders no settlement refers to.
 
-    Keys are made distinct first: a repeated key then collapses before the shuffle. A few
-    orders against many settlements are broadcast to them, which leaves only the keys
-    found to shuffle.
+    Keys are made distinct first: a repeated key then collapses before the shuffle. AQE turns
+    the join into a broadcast when the keys prove small at run time.
     """
     settled = settlements.select(F.col("order_id").alias("id"))
-    if not looks_small(settlements) and fits_broadcast(orders.select("id")):
-        settled = settled.join(F.broadcast(orders.select("id")), "id", "left_semi")
     return orders.join(settled.distinct(), "id", "left_anti")
 
 

@@ -79,7 +79,7 @@ ORACLES: dict[str, str] = {
     "bounded_keyset_page": f"""{_WITH}
         SELECT * FROM o WHERE id > 5000 AND id <= 5500 ORDER BY id LIMIT 1000""",
     "full_read": f"{_WITH} SELECT * FROM o WHERE id > 0",
-    "id_range_scan": f"{_WITH} SELECT * FROM o WHERE id BETWEEN 1 AND 100000",
+    "id_range_scan": f"{_WITH} SELECT * FROM o WHERE id BETWEEN 1 AND 5000",
     "settlement_projection": f"{_WITH} SELECT id AS order_id, seller_id, {_FACTS} FROM o",
     "settle_status": f"""{_WITH}
         SELECT id, seller_id, amount, 'SETTLED' AS status, order_date, created_at
@@ -89,7 +89,7 @@ ORACLES: dict[str, str] = {
         FROM o WHERE id > 0""",
     "settle_bounded": f"""{_WITH}
         SELECT id AS order_id, seller_id, {_FACTS}, {_AT}, 'CONFIRMED' AS order_status
-        FROM o WHERE id BETWEEN 1 AND 100000""",
+        FROM o WHERE id BETWEEN 1 AND 5000""",
     "settle_ranged": f"""
         WITH o AS (SELECT * REPLACE ('CONFIRMED' AS status) FROM ({_ORDERS})), {_BOUNDS}
         SELECT id AS order_id, seller_id, {_FACTS}, {_AT}, 'SETTLED' AS order_status,

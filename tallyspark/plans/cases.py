@@ -9,20 +9,23 @@ from __future__ import annotations
 import datetime as dt
 import time
 from collections.abc import Callable
+from functools import partial
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators.mutations import reset_orders
+from tallyspark.operators.numbering import number_rows
 from tallyspark.operators.scans import confirmed_scan, full_read
 from tallyspark.operators.settle import settle_bounded, settle_full, settle_ranged
 from tallyspark.schema import (
     CONFIRMED,
     GRID_SIZE,
+    INSERT_COUNT,
     ORDERS,
     SETTLED,
-    SETTLEMENT_FACTS,
+    SETTLEMENTS,
     STEP_EXECUTIONS,
 )
 from tallyspark.sources.generate import missing_orders
@@ -70,7 +73,7 @@ def seed_orders(spark: SparkSession, tables: str, target: int, created_at: dt.da
 def reset_tables(spark: SparkSession, tables: str) -> None:
     """No settlements, and every order confirmed. Orders are rewritten only if one is not;
     the check skips row groups that hold nothing but confirmed ones."""
-    truncate(spark, f"{tables}/settlements", SETTLEMENT_FACTS)
+    truncate(spark, f"{tables}/settlements", SETTLEMENTS)
     orders = read_table(spark, f"{tables}/orders", ORDERS)
     if not orders.filter(F.col("status") != CONFIRMED).isEmpty():
         write_version(reset_orders(orders), f"{tables}/orders")
@@ -87,15 +90,28 @@ def settle_read_orders(orders: DataFrame, case: Case) -> DataFrame:
     return orders.withColumn("status", status)
 
 
-def run_case(spark: SparkSession, name: str, tables: str, settled_at: dt.datetime) -> DataFrame:
+def run_case(
+    spark: SparkSession,
+    name: str,
+    tables: str,
+    settled_at: dt.datetime,
+    insert_count: int = INSERT_COUNT,
+    grid: int = GRID_SIZE,
+) -> DataFrame:
     """Runs a case on ``tables``/orders and returns its run log.
 
+    ``insert_count`` is the highest id that the insert cases settle, ``grid`` the number of
+    ranges of the partitioned one.
     Writing cases start from reset tables, which is not part of the time taken.
     Settlements become the next version of their table and updated orders that of theirs.
     Settlements are written first and decide what is settled, so a job lost between the
     two writes is completed by running it again.
     """
     case = CASES[name]
+    if case.rows is settle_bounded:
+        case = case._replace(rows=partial(settle_bounded, count=insert_count))
+    if case.grid:
+        case = case._replace(rows=partial(settle_ranged, grid=grid), grid=grid)
     if case.inserts or case.updates:
         reset_tables(spark, tables)
     orders = read_table(spark, f"{tables}/orders", ORDERS)
@@ -106,8 +122,9 @@ def run_case(spark: SparkSession, name: str, tables: str, settled_at: dt.datetim
 
     started = time.monotonic()
     if case.inserts:
-        settled = case.rows(orders, settled_at).observe(seen, *counters)
-        write_version(settled.select(SETTLEMENT_FACTS.names), f"{tables}/settlements")
+        settled = number_rows(case.rows(orders, settled_at), "order_id", "id")
+        stored = settled.observe(seen, *counters).select(SETTLEMENTS.names)
+        write_version(stored, f"{tables}/settlements")
         if case.updates:
             write_version(settle_read_orders(orders, case), f"{tables}/orders")
     elif case.updates:

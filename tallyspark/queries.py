@@ -19,7 +19,6 @@ from tallyspark.operators import (
 )
 from tallyspark.schema import (
     CONFIRMED,
-    INSERT_COUNT,
     MAX_AMOUNT,
     MIN_AMOUNT,
     ORDER_DATE,
@@ -37,8 +36,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 CURSOR = 5_000
 CURSOR_LIMIT = 5_500
 PAGE = 5
-# Narrow enough that the smaller scale factors span several buckets.
-BITS = 12
+# The highest id of the bounded reads, within the smaller tables.
+BOUND = 5_000
 
 
 def _reset(spark: SparkSession, sf_dir: str, after: int | None = 0) -> DataFrame:
@@ -54,16 +53,16 @@ def confirmed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.offset_page(fixtures.confirmed_orders(spark, sf_dir), PAGE, bits=BITS)
+    return pages.offset_page(fixtures.confirmed_orders(spark, sf_dir), PAGE)
 
 
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.keyset_page(fixtures.orders(spark, sf_dir, after=CURSOR), CURSOR, bits=BITS)
+    return pages.keyset_page(fixtures.orders(spark, sf_dir, after=CURSOR), CURSOR)
 
 
 def bounded_keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = fixtures.orders(spark, sf_dir, after=CURSOR, upto=CURSOR_LIMIT)
-    return pages.keyset_page(orders, CURSOR, upto=CURSOR_LIMIT, bits=BITS)
+    return pages.keyset_page(orders, CURSOR, upto=CURSOR_LIMIT)
 
 
 def full_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +70,8 @@ def full_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = fixtures.orders(spark, sf_dir, after=0, upto=INSERT_COUNT)
-    return scans.id_range_scan(orders, 1, INSERT_COUNT)
+    orders = fixtures.orders(spark, sf_dir, after=0, upto=BOUND)
+    return scans.id_range_scan(orders, 1, BOUND)
 
 
 def settlement_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +87,7 @@ def settle_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settle_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = fixtures.orders(spark, sf_dir, after=0, upto=INSERT_COUNT)
+    orders = fixtures.orders(spark, sf_dir, after=0, upto=BOUND)
     return settle.settle_bounded(mutations.reset_orders(orders), SETTLED_AT)
 
 
@@ -104,7 +103,7 @@ def unsettled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insert_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     earlier = fixtures.settlements(spark, sf_dir)
-    return settle.insert_settlements(fixtures.orders(spark, sf_dir), earlier, SETTLED_AT, BITS)
+    return settle.insert_settlements(fixtures.orders(spark, sf_dir), earlier, SETTLED_AT)
 
 
 def settle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +141,7 @@ def partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = fixtures.confirmed_orders(spark, sf_dir).select("id")
-    return numbering.chunk_numbers(ids, bits=BITS)
+    return numbering.chunk_numbers(ids)
 
 
 def duplicate_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +221,7 @@ def chunk_timing_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = incremental.orders_stream(spark, sf_dir, fixtures.RAW_ORDERS, "orders.parquet")
+    raw = incremental.table_stream(spark, f"{sf_dir}/orders.parquet", fixtures.RAW_ORDERS)
     orders = mutations.reset_orders(fixtures.orders_from_raw(raw))
     run = scratch_folder(spark, "incremental-settle")
     return incremental.settle_arrived(orders, f"{run}/settlements", f"{run}/progress", SETTLED_AT)

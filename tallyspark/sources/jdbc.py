@@ -64,13 +64,14 @@ def read_orders(
 
 
 def write_settings(connections: int = POOL_SIZE, batch: int = CHUNK_SIZE) -> dict[str, str]:
-    """``numPartitions`` caps the connections by merging partitions, without a shuffle."""
+    """``numPartitions`` caps the connections; ``statement_order`` has dealt out as many."""
     return {"batchsize": str(batch), "numPartitions": str(connections)}
 
 
-def statement_order(rows: DataFrame, key: str) -> DataFrame:
-    """Key order within each connection, so that a batch touches neighbouring rows."""
-    return rows.sortWithinPartitions(key)
+def statement_order(rows: DataFrame, key: str, connections: int = POOL_SIZE) -> DataFrame:
+    """A range of keys for each connection, in key order, so that a batch touches neighbouring
+    rows. The exchange keeps what comes before it on all executors."""
+    return rows.repartitionByRange(connections, key).sortWithinPartitions(key)
 
 
 def append_rows(
@@ -89,7 +90,7 @@ def append_rows(
     and append again to go on.
     """
     settings = {**write_settings(connections, batch), **(properties or {})}
-    statement_order(rows, key).write.jdbc(url, table, mode="append", properties=settings)
+    statement_order(rows, key, connections).write.jdbc(url, table, mode="append", properties=settings)
 
 
 def update_status(
@@ -119,4 +120,4 @@ def update_status(
         finally:
             connection.close()
 
-    statement_order(keys.select(key).coalesce(connections), key).foreachPartition(update)
+    statement_order(keys.select(key), key, connections).foreachPartition(update)

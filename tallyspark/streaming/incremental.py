@@ -8,6 +8,7 @@ overwrites that folder and looks only at earlier ones, hence adds nothing twice.
 from __future__ import annotations
 
 import datetime as dt
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +37,33 @@ def orders_stream(
     )
 
 
-def settle_batch(out: str, settled_at: dt.datetime) -> Callable[[DataFrame, int], None]:
+def table_stream(
+    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1_000
+) -> DataFrame:
+    """A stored table as a stream, be it one file or a folder of part files."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getFileStatus(location).isDirectory():
+        return orders_stream(spark, path, schema, files_per_trigger=files_per_trigger)
+    folder, file = path.rsplit("/", 1)
+    return orders_stream(spark, folder, schema, file, files_per_trigger)
+
+
+def settle_batch(
+    out: str, settled_at: dt.datetime, step: str = "settle"
+) -> Callable[[DataFrame, int], None]:
     """Writer of one micro-batch: orders not settled by an earlier one.
 
     Earlier settlements are read only within the id range of the batch. Ids grow with
     time, so that touches the row groups of late arrivals rather than the whole table.
+    Of several copies of an order in one batch the smallest (seller, amount) is settled,
+    the same one in a replay. The batch's time is appended to ``out``_timings.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.dropDuplicates(["id"])
+        started = time.monotonic()
+        one = F.min(F.struct("seller_id", "amount")).alias("one")
+        arrived = batch.groupBy("id").agg(one).select("id", "one.*")
         if batch_id > 0:
             span = batch.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
             if span["low"] is None:
@@ -54,6 +73,9 @@ def settle_batch(out: str, settled_at: dt.datetime) -> Callable[[DataFrame, int]
             arrived = unsettled_orders(arrived, earlier.filter(in_span))
         facts = stamp(settlement_projection(arrived), settled_at).select(SETTLEMENT_FACTS.names)
         append_batch(facts, out, batch_id)
+        elapsed = (time.monotonic() - started) * 1000
+        timing = [(step, batch_id + 1, elapsed)]
+        append_batch(batch.sparkSession.createDataFrame(timing, CHUNK_TIMINGS), f"{out}_timings", batch_id)
 
     return write
 
@@ -81,11 +103,9 @@ def start_settling(
     )
 
 
-def chunk_timings(spark: SparkSession, query: StreamingQuery, step: str) -> DataFrame:
-    """(step, chunk_no, elapsed_ms) of the micro-batches the query still remembers, which
-    ``spark.sql.streaming.numRecentProgressUpdates`` bounds."""
-    timings = [(step, p.batchId + 1, float(p.batchDuration)) for p in query.recentProgress]
-    return spark.createDataFrame(timings, CHUNK_TIMINGS)
+def chunk_timings(spark: SparkSession, out: str) -> DataFrame:
+    """(step, chunk_no, elapsed_ms) of every micro-batch that was settled into ``out``."""
+    return read_batches(spark, f"{out}_timings", CHUNK_TIMINGS)
 
 
 def settle_arrived(

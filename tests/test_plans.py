@@ -114,17 +114,7 @@ def test_key_joins_shuffle_each_side_once_and_combine_keys_first(orders, join):
     assert "SortMergeJoin" in text
 
 
-def test_few_orders_leave_the_settlements_in_place(orders, monkeypatch):
-    settlements = settle.settlement_projection(orders)
-    few = orders.filter(F.col("id") < 10)
-    monkeypatch.setattr(settle, "looks_small", lambda rows: False)
-    text = plan(settle.unsettled_orders(few, settlements))
-    scan_to_shuffle = text.split("Exchange hashpartitioning", 1)[1]
-    assert "LeftSemi, BuildRight" in scan_to_shuffle
-
-
-def test_small_upsert_leaves_the_orders_in_place(orders):
+def test_upsert_meets_in_one_full_join(orders):
     incoming = orders.filter(F.col("id") < 10)
     text = plan(mutations.upsert_orders(orders, incoming))
-    assert "SortMergeJoin FullOuter" not in text
-    assert text.count("BroadcastHashJoin") >= 2
+    assert text.count("FullOuter") == 1 and "Broadcast" not in text

@@ -4,13 +4,13 @@ import datetime as dt
 
 import pytest
 
-from tallyspark.operators import mutations, settle
 from tallyspark.operators.constraints import (
     duplicate_settlements,
     null_violations,
     status_length_violations,
 )
 from tallyspark.operators.mutations import latest_per_id, reset_orders, settle_orders, upsert_orders
+from tallyspark.operators.numbering import number_rows
 from tallyspark.operators.scans import confirmed_scan, full_read, id_range_scan, typed_orders
 from tallyspark.operators.settle import (
     insert_settlements,
@@ -20,7 +20,6 @@ from tallyspark.operators.settle import (
     settle_status,
     unsettled_orders,
 )
-from tallyspark.operators.sizing import fits_broadcast, looks_small
 from tallyspark.schema import CONFIRMED, ORDER_DATE, ORDERS, SETTLED, SETTLEMENTS
 from tallyspark.sources.fixtures import SETTLED_AT, SETTLED_BEFORE
 
@@ -95,16 +94,14 @@ def test_settling_twice_adds_nothing(make_orders, no_settlements):
     assert ids(insert_settlements(orders, once, SETTLED_AT)) == [1, 2]
 
 
-def test_repeated_keys_neither_multiply_nor_hide_orders(spark, make_orders, monkeypatch):
+def test_repeated_keys_neither_multiply_nor_hide_orders(spark, make_orders):
     orders = make_orders(*[(i, 1) for i in range(1, 6)])
     keys = spark.createDataFrame([(2,)] * 500 + [(4,), (77,)], "order_id long")
     settled = settle_orders(orders, keys).collect()
     assert sorted((r.id, r.status) for r in settled) == [
         (1, CONFIRMED), (2, SETTLED), (3, CONFIRMED), (4, SETTLED), (5, CONFIRMED),
     ]
-    for small_orders in (True, False):
-        monkeypatch.setattr(settle, "fits_broadcast", lambda rows: small_orders)
-        assert ids(unsettled_orders(orders, keys)) == [1, 3, 5]
+    assert ids(unsettled_orders(orders, keys)) == [1, 3, 5]
 
 
 def test_reset(make_orders):
@@ -113,12 +110,7 @@ def test_reset(make_orders):
     }
 
 
-@pytest.fixture(params=["broadcast", "full join"])
-def merge_path(request, monkeypatch):
-    monkeypatch.setattr(mutations, "fits_broadcast", lambda rows: request.param == "broadcast")
-
-
-def test_upsert_updates_inserts_and_keeps_created_at(spark, make_orders, merge_path):
+def test_upsert_updates_inserts_and_keeps_created_at(spark, make_orders):
     later = dt.datetime(2026, 4, 1)
     incoming = spark.createDataFrame(
         [(2, 5, 50, SETTLED, ORDER_DATE, later), (9, 6, 60, SETTLED, ORDER_DATE, later)], ORDERS
@@ -133,7 +125,7 @@ def test_upsert_updates_inserts_and_keeps_created_at(spark, make_orders, merge_p
     ]
 
 
-def test_upsert_takes_the_latest_version_of_a_hot_id(spark, make_orders, merge_path):
+def test_upsert_takes_the_latest_version_of_a_hot_id(spark, make_orders):
     feed = spark.range(1, 3_001).selectExpr(
         "IF(id % 3 = 0, 7L, id) AS id", "1L AS seller_id", "id AS amount", "'SETTLED' AS status",
         "DATE '2026-03-25' AS order_date", "TIMESTAMP_NTZ '2026-03-25 00:00:00' AS created_at",
@@ -145,34 +137,11 @@ def test_upsert_takes_the_latest_version_of_a_hot_id(spark, make_orders, merge_p
     assert merged.count() == merged.select("id").distinct().count() == 2_001
 
 
-def test_size_is_measured_where_the_estimate_is_low(spark, tmp_path):
-    # a few kilobytes on disk, some 30 MB in memory
-    spark.range(3_000).selectExpr("id", "repeat('x', 10000) AS s").write.parquet(f"{tmp_path}/t")
-    rows = spark.read.parquet(f"{tmp_path}/t")
-    assert looks_small(rows)
-    assert not fits_broadcast(rows)
-    assert fits_broadcast(rows.select("id"))
-    assert not fits_broadcast(spark.range(3).selectExpr("array(id) AS ids"))
-
-
 def test_latest_keeps_null_values(spark):
     rows = spark.createDataFrame([(1, "old", 1), (1, None, 2)], "id long, value string, n long")
     assert [tuple(r) for r in latest_per_id(rows, "n").collect()] == [(1, None)]
 
 
-def test_size_check_follows_the_threshold(spark, make_orders):
-    small = spark.range(10)
-    assert fits_broadcast(small)
-    assert not fits_broadcast(spark.range(10_000_000))
-    # rows of unknown size count as large
-    assert not fits_broadcast(make_orders((1, 1)))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert not fits_broadcast(small)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_constraints(spark):
     settlements = spark.createDataFrame([(1,), (2,), (2,), (3,), (3,), (3,)], "order_id long")
     assert sorted(map(tuple, duplicate_settlements(settlements).collect())) == [(2, 2), (3, 3)]
@@ -182,3 +151,17 @@ def test_constraints(spark):
     nulls = null_violations(rows, ["id", "status"]).collect()
     assert sorted(map(tuple, nulls)) == [("id", 1), ("status", 1)]
     assert [tuple(r) for r in status_length_violations(rows).collect()] == [(2, "y" * 21, 21)]
+
+
+def test_upsert_refuses_a_row_without_an_id(spark, make_orders):
+    incoming = spark.createDataFrame(
+        [(None, 5, 50, SETTLED, ORDER_DATE, dt.datetime(2026, 4, 1))],
+        "id long, seller_id long, amount long, status string, order_date date, created_at timestamp_ntz",
+    )
+    with pytest.raises(Exception, match="no id"):
+        upsert_orders(make_orders((1, 10)), incoming).collect()
+
+
+def test_numbering_refuses_a_null_key(spark):
+    with pytest.raises(Exception, match="id is null"):
+        number_rows(spark.createDataFrame([(1,), (None,)], "id long")).collect()

@@ -3,10 +3,12 @@
 import pytest
 from pyspark.errors import StreamingQueryException
 
+from tallyspark.operators.mutations import reset_orders
 from tallyspark.operators.runlog import chunk_first_latest
 from tallyspark.operators.scans import full_read
 from tallyspark.operators.settle import to_settle
 from tallyspark.schema import ORDERS, SETTLEMENT_FACTS
+from tallyspark.sources import fixtures
 from tallyspark.sources.fixtures import SETTLED_AT
 from tallyspark.sources.generate import generate_orders
 from tallyspark.sources.tables import read_batches
@@ -16,6 +18,7 @@ from tallyspark.streaming.incremental import (
     settle_arrived,
     settle_batch,
     start_settling,
+    table_stream,
 )
 
 
@@ -56,7 +59,7 @@ def test_chunk_timings_of_a_run(spark, arrive, tmp_path):
     stream = orders_stream(spark, f"{tmp_path}/in", files_per_trigger=1)
     query = start_settling(stream, f"{tmp_path}/out", f"{tmp_path}/progress", SETTLED_AT)
     query.awaitTermination()
-    timings = chunk_timings(spark, query, "settle")
+    timings = chunk_timings(spark, f"{tmp_path}/out")
     assert {1, 2, 3} <= {r.chunk_no for r in timings.collect()}
     assert chunk_first_latest(timings).first().first_ms > 0
 
@@ -125,3 +128,29 @@ def test_batch_without_readable_orders(spark, make_orders, tmp_path):
     write(to_settle(make_orders((1, 100))), 0)
     write(to_settle(spark.createDataFrame([], ORDERS)), 1)
     assert order_ids(read_batches(spark, out, SETTLEMENT_FACTS)) == [1]
+
+
+def test_timings_outlast_the_progress_that_spark_remembers(spark, arrive, tmp_path):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        for first in range(1, 60, 10):
+            arrive(first, 10)
+        stream = orders_stream(spark, f"{tmp_path}/in", files_per_trigger=1)
+        start_settling(stream, f"{tmp_path}/out", f"{tmp_path}/progress", SETTLED_AT).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    chunks = {r.chunk_no for r in chunk_timings(spark, f"{tmp_path}/out").collect()}
+    assert {1, 2, 3, 4, 5, 6} <= chunks
+
+
+def test_a_folder_and_a_file_of_orders_settle_alike(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    raw = spark.read.parquet(f"{source}/orders.parquet")
+    raw.repartition(7).write.parquet(f"{tmp_path}/given/orders.parquet")
+    settled = []
+    for name, folder in (("file", source), ("folder", f"{tmp_path}/given")):
+        stream = table_stream(spark, f"{folder}/orders.parquet", fixtures.RAW_ORDERS, files_per_trigger=2)
+        orders = reset_orders(fixtures.orders_from_raw(stream))
+        out = settle_arrived(orders, f"{tmp_path}/{name}", f"{tmp_path}/{name}_progress", SETTLED_AT)
+        settled.append(sorted(tuple(r) for r in out.select(SETTLEMENT_FACTS.names).collect()))
+    assert settled[0] == settled[1] and len(settled[0]) == 1_500
