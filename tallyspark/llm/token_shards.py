@@ -28,11 +28,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,8 +49,10 @@ MOST_SHARDS = 20_000
 FEW_KEYS, MANY_PARTS, MOST_KEYS = 2048, 4096, 1_000_000
 #: Bits of a level's array for each key that reaches it.
 GAMMA = 2
-#: Text units whose ids a Python worker remembers before it starts anew.
-REMEMBERED_UNITS = 500_000
+#: Text units whose ids a Python worker remembers before it starts anew: some 200 MB.
+REMEMBERED_UNITS = 1_000_000
+#: Units whose ids are gathered at a time, which bounds memory in very long texts.
+GATHERED_UNITS = 500_000
 
 RECORD = "doc_id long, ordinal long, shard int, first long, n_tokens long"
 _MAGIC = b"TLYMPH01"
@@ -58,14 +60,22 @@ _MAGIC = b"TLYMPH01"
 _OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(
     map(chr, range(0x2000, 0x200B))
 )
+_CUT = "\0"
+_IN_ONE_PIECE = f" [ {_OTHER_SPACE}]|{_CUT}"
+# letters and others on which all versions of Unicode agree
+_WORD_END = r"([A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωЀ-ҁ])([\t\n\r!-@\[-`{-~])"
 
 
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library.
 
-    The pre-tokenizer always starts a new unit at a space between two other characters, so a
-    text may be cut there and units met before need no second encoding. Texts where a space
-    lies inside a longer run of white space are encoded in one piece.
+    The pre-tokenizer always starts a new unit at a space between two other characters and
+    behind the last letter of a word, so a text may be cut there and units met before need no
+    second encoding. Texts where a space lies inside a longer run of white space, or that hold
+    the sign for a cut, are encoded in one piece.
+
+    Texts are cut and their different units found by Arrow; the ids of all units met lie in
+    one pool, from which those of a text are gathered.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -74,66 +84,98 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.units: dict[str, bytes] = {}
         # a token of this kind is written with one character for each of its bytes
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.bytes_of = np.array([len(name or "") for name in names])
+        self.places: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty pool but for place 0, the end id."""
+        self.places.clear()
+        self.pool = np.array([END_ID], self.type)
+        self.bounds = np.array([0, 1], np.int64)
 
-    def whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> np.ndarray:
         """The ids of a text encoded in one piece."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def _learn(self, units: list[str]) -> None:
-        """Encodes units: those that may stand side by side as one text, cut by byte lengths."""
-        plain = [u for u in units if len(u) > 1 and u[0] == " " and not (u[1].isspace() or u[-1].isspace())]
-        others = sorted(set(units).difference(plain))
-        ids = self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids
-        through = np.cumsum(self.bytes_of[ids])
-        bytes_to = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in plain])
-        self._keep(plain, ids, np.searchsorted(through, bytes_to) + 1)
-        found = self.tokenizer.encode(others, is_pretokenized=True, add_special_tokens=False)
-        words = np.array(found.word_ids, np.int64)
-        self._keep(others, found.ids, np.searchsorted(words, np.arange(len(others)), "right"))
-
-    def _keep(self, units: list[str], ids: list[int], ends: np.ndarray) -> None:
-        data, start = np.array(ids, self.type).tobytes(), 0
-        for unit, end in zip(units, (ends * self.type.itemsize).tolist(), strict=True):
-            self.units[unit] = data[start:end]
-            start = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id."""
-        claim(self.units)
-        if len(self.units) > REMEMBERED_UNITS:
-            self.units.clear()
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if "  " in text or any(c in text and " " + c in text for c in _OTHER_SPACE):
-                cut.append(None)
-            else:
-                first, *others = text.split(" ")
-                cut.append([first, *(" " + other for other in others)] if text else [])
-        known, new = self.units, set()
-        for units in cut:
-            new.update(unit for unit in units or () if unit not in known)
-        self._learn(sorted(new))
-        end = np.array([END_ID], self.type).tobytes()
-        return [
-            (self.whole(text) if units is None else b"".join(map(known.__getitem__, units))) + end
-            for text, units in zip(texts, cut, strict=True)
-        ]
-
-
-def _slices(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
-    """The texts in runs of about that many characters."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    yield held
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """Adds different new units to the pool and returns their places.
+
+        Those that may stand side by side are encoded as one text, cut by byte lengths.
+        """
+        plain, others = [], []
+        for unit in units:
+            inner = unit[1:]
+            alone = unit[:1] != " " or not inner or inner.strip() != inner
+            (others if alone else plain).append(unit)
+        found = self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids
+        ids = np.array(found, np.int64)
+        bytes_to = np.cumsum(np.fromiter(map(len, map(str.encode, plain)), np.int64, len(plain)))
+        self._keep(plain, ids, np.searchsorted(np.cumsum(self.bytes_of[ids]), bytes_to) + 1)
+        pieces = self.tokenizer.encode(others, is_pretokenized=True, add_special_tokens=False)
+        words = np.array(pieces.word_ids, np.int64)
+        ends = np.searchsorted(words, np.arange(len(others)), "right")
+        self._keep(others, np.array(pieces.ids, np.int64), ends)
+        return np.fromiter(map(self.places.__getitem__, units), np.int64, len(units))
+
+    def _keep(self, units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        first = len(self.bounds) - 1
+        self.places.update(zip(units, range(first, first + len(units)), strict=True))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + ends])
+        self.pool = np.concatenate([self.pool, ids.astype(self.type)])
+
+    def _placed(self, units: pa.Array) -> np.ndarray:
+        """The place of each unit; new ones are learned."""
+        coded = units.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        known = np.fromiter((self.places.get(name, -1) for name in names), np.int64, len(names))
+        new = np.flatnonzero(known < 0)
+        known[new] = self._learn([names[i] for i in new.tolist()])
+        return known[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _gathered(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the units at those places, one after the other."""
+        parts = [np.empty(0, self.type)]
+        for start in range(0, len(places), GATHERED_UNITS):
+            part = places[start : start + GATHERED_UNITS]
+            low, sizes = self.bounds[part], self.bounds[part + 1] - self.bounds[part]
+            moved = np.repeat(low - np.cumsum(sizes) + sizes, sizes)
+            parts.append(self.pool[moved + np.arange(len(moved))])
+        return np.concatenate(parts)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each text has."""
+        claim(self.places)
+        if len(self.places) > REMEMBERED_UNITS or not self.places:
+            self._forget()
+        odd = pc.match_substring_regex(texts, _IN_ONE_PIECE)
+        marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), _WORD_END, rf"\1{_CUT}\2")
+        units = pc.split_pattern(pc.replace_substring(marked, " ", f"{_CUT} "), _CUT)
+        ends = np.cumsum(units.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        placed = np.insert(self._placed(units.flatten()), ends, 0)
+        through = np.cumsum(self.bounds[placed + 1] - self.bounds[placed])
+        counts = np.diff(through[ends + np.arange(len(ends))], prepend=0)
+        ids = self._gathered(placed)
+        pieces = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(pieces):
+            found = [self.whole(texts[int(at)].as_py()) for at in pieces]
+            sizes = np.array([len(one) for one in found])
+            ids = np.insert(ids, np.repeat((np.cumsum(counts) - counts)[pieces], sizes), np.concatenate(found))
+            counts[pieces] += sizes
+        return ids, counts
+
+
+def _slices(texts: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of about that many characters."""
+    through = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = int(through[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(through, before + chars, "right")))
+        yield first, texts.slice(first, last - first)
+        first = last
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -293,15 +335,15 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str) -> tuple[DataFrame,
         encoder, shard = _encoder(model.value), TaskContext.get().partitionId()
         file, first, before, ordinal = None, 0, None, -1
         for batch in batches:
-            records, texts = [], batch.column(1).to_pylist()
-            encoded = chain.from_iterable(map(encoder.encode, _slices(texts)))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+            records, doc_ids = [], batch.column(0).to_pylist()
+            for start, texts in _slices(batch.column(1)):
+                ids, counts = encoder.encode(texts)
                 file = file or _Written(folder, "shard", shard)
-                file.stream.write(ids)
-                ordinal = ordinal + 1 if ordinal >= 0 and doc_id == before else 0
-                count = len(ids) // encoder.type.itemsize
-                records.append((doc_id, ordinal, shard, first, count))
-                first, before = first + count, doc_id
+                file.stream.write(ids.tobytes())
+                for doc_id, count in zip(doc_ids[start : start + len(texts)], counts.tolist(), strict=True):
+                    ordinal = ordinal + 1 if ordinal >= 0 and doc_id == before else 0
+                    records.append((doc_id, ordinal, shard, first, count))
+                    first, before = first + count, doc_id
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
             columns = zip(*records, strict=True) if records else [()] * len(kinds)
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]

@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,22 @@ def test_perfect_hash_is_minimal_and_knows_its_keys(tmp_path):
     assert (strangers["shard"] == -1).mean() > 0.999
 
 
+@pytest.mark.parametrize("remembered", [3, 1_000_000])
+def test_encoder_equals_the_tokenizer(monkeypatch, remembered):
+    monkeypatch.setattr(token_shards, "REMEMBERED_UNITS", remembered)
+    monkeypatch.setattr(token_shards, "GATHERED_UNITS", 50)
+    encoder = token_shards.Encoder(token_shards.public_tokenizer())
+    pieces = ["a", "b é", " ", "  ", "\n", "\t", " \n", "\u3000", "\x85", "1'", "'s", "中文", "<|endoftext|>"]
+    pieces += ["\0", "it's", "don't.", "9a", "a9", "ж", "ы.", "ß\r", "a\u0301", "ab.\nCd", "a\n\n", "🙂", "!", "..."]
+    draw = random.Random(3)
+    texts = ["".join(draw.choices(pieces, k=draw.randrange(12))) for _ in range(2000)]
+    for first, some in token_shards._slices(pa.array(texts), 4000):
+        ids, counts = encoder.encode(some)
+        wanted = [[*encoder.whole(text).tolist(), 0] for text in texts[first : first + len(some)]]
+        assert counts.tolist() == list(map(len, wanted))
+        assert ids.tolist() == [one for row in wanted for one in row]
+
+
 def test_token_shards_round_trip(spark):
     from tokenizers import Tokenizer
 
