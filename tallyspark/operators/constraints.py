@@ -23,6 +23,14 @@ def null_violations(rows: DataFrame, columns: list[str]) -> DataFrame:
     return counts.unpivot([], columns, "column_name", "null_count")
 
 
+def without_nulls(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that have all of these columns, and the others: together all rows."""
+    complete = F.lit(True)
+    for name in columns:
+        complete = complete & F.col(name).isNotNull()
+    return rows.filter(complete), rows.filter(~complete)
+
+
 def status_length_violations(orders: DataFrame, limit: int = STATUS_LENGTH) -> DataFrame:
     """Orders whose status is longer than the column allows."""
     status_length = F.length("status").cast("long")

@@ -2,8 +2,8 @@
 
 A plain ``orderBy.limit`` keeps the top rows of every input split and merges them all in
 one task, and a deep offset pulls every skipped row through it. Both pages here first
-locate the id buckets the page lies in from counts of the id column, then read only those:
-the bucket bounds reach the Parquet reader as row-group filters.
+locate the ids the page lies in, then read only those: the bounds reach the Parquet reader
+as row-group filters, so on a table clustered by id a page costs a few row groups.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tallyspark.schema import CHUNK_SIZE
 # Finer buckets than for numbering: what they hold beside the page passes through a
 # top-k heap instead of a sort that spills.
 PAGE_BITS = 16
+HIGHEST_ID = 2**63 - 1
 
 
 def keyset_page(
@@ -29,18 +30,19 @@ def keyset_page(
 ) -> DataFrame:
     """First ``size`` rows with id above ``after`` (and at most ``upto``).
 
-    Costs a pass over the id column between the two bounds, then a few row groups.
+    Looks at the 2**bits ids behind the cursor, and at sixteen times as many as long as they
+    hold no full page. Each look is a job that stops at ``size`` rows; the number of rows
+    beyond the window does not matter. Bounds that lie within one window need no look.
     """
+    last = HIGHEST_ID if upto is None else upto
     rows = orders.filter(F.col("id") > after)
-    if upto is not None:
-        rows = rows.filter(F.col("id") <= upto)
-    reached = (
-        bucket_offsets(rows.select("id"), bits=bits)
-        .filter(F.col("rows_before") < size)
-        .agg(bucket_end(F.max("bucket"), bits).alias("last_id"))
-    )
-    # at most size + 2**bits rows are left to sort
-    return rows.filter(F.col("id") <= reached.scalar()).orderBy("id").limit(size)
+    width = 1 << bits
+    while after + width < last:
+        near = rows.filter(F.col("id") <= after + width)
+        if near.select("id").limit(size).count() == size:
+            return near.orderBy("id").limit(size)
+        width <<= 4
+    return rows.filter(F.col("id") <= last).orderBy("id").limit(size)
 
 
 def offset_page(

@@ -150,6 +150,19 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'status', count(*) - count(status) FROM feed
         UNION ALL SELECT 'order_date', count(*) - count(order_date) FROM feed
         UNION ALL SELECT 'created_at', count(*) - count(created_at) FROM feed""",
+    "settlement_null_violations": f"""WITH {_FEED}, s AS (
+            SELECT version AS id, id AS order_id, seller_id, {_FACTS}, {_AT} FROM feed)
+        SELECT 'id' AS column_name, count(*) - count(id) AS null_count FROM s
+        UNION ALL SELECT 'order_id', count(*) - count(order_id) FROM s
+        UNION ALL SELECT 'seller_id', count(*) - count(seller_id) FROM s
+        UNION ALL SELECT 'amount', count(*) - count(amount) FROM s
+        UNION ALL SELECT 'fee', count(*) - count(fee) FROM s
+        UNION ALL SELECT 'net_amount', count(*) - count(net_amount) FROM s
+        UNION ALL SELECT 'settled_at', count(*) - count(settled_at) FROM s""",
+    "rejected_orders": f"""WITH {_FEED}
+        SELECT * FROM feed
+        WHERE id IS NULL OR seller_id IS NULL OR amount IS NULL OR status IS NULL
+           OR order_date IS NULL OR created_at IS NULL""",
     "status_length_violations": """
         WITH tagged AS (
             SELECT o_orderkey + 1 AS id,

@@ -22,8 +22,10 @@ from tallyspark.schema import (
     MAX_AMOUNT,
     MIN_AMOUNT,
     ORDER_DATE,
+    ORDERS,
     SELLER_COUNT,
     SETTLED,
+    SETTLEMENTS,
 )
 from tallyspark.session import scratch_folder
 from tallyspark.sources import fixtures, generate
@@ -114,11 +116,17 @@ def settle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = fixtures.order_feed(spark, sf_dir).dropna(subset=["seller_id", "status"])
-    incoming = feed.withColumn("status", F.lit(SETTLED))
+    """The feed's complete rows merged; the others are those of ``rejected_orders``."""
+    complete, _ = constraints.without_nulls(fixtures.order_feed(spark, sf_dir), ORDERS.names)
+    incoming = complete.withColumn("status", F.lit(SETTLED))
     return mutations.upsert_orders(fixtures.orders(spark, sf_dir), incoming, "version")
 
 
+def rejected_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed rows that ``upsert_orders`` does not merge, as they lack a value."""
+    return constraints.without_nulls(fixtures.order_feed(spark, sf_dir), ORDERS.names)[1]
+
+
 def reset_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reset(spark, sf_dir, after=None)
 
@@ -150,8 +158,12 @@ def duplicate_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = fixtures.order_feed(spark, sf_dir)
-    columns = ["id", "seller_id", "amount", "status", "order_date", "created_at"]
-    return constraints.null_violations(feed, columns)
+    return constraints.null_violations(feed, ORDERS.names)
+
+
+def settlement_null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.feed_settlements(spark, sf_dir)
+    return constraints.null_violations(rows, SETTLEMENTS.names)
 
 
 def status_length_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +258,7 @@ QUERIES: dict[str, Query] = {
         insert_settlements,
         settle_orders,
         upsert_orders,
+        rejected_orders,
         reset_orders,
         confirmed_bounds,
         order_count,
@@ -254,6 +267,7 @@ QUERIES: dict[str, Query] = {
         chunk_numbers,
         duplicate_settlements,
         null_violations,
+        settlement_null_violations,
         status_length_violations,
         generate_orders,
         top_up_orders,

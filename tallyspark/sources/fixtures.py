@@ -121,6 +121,12 @@ def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def feed_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the unchecked feed would settle to, with the version as settlement id."""
+    facts = stamp(settlement_projection(order_feed(spark, sf_dir), "version"), SETTLED_AT)
+    return facts.withColumnRenamed("version", "id").select(SETTLEMENTS.names)
+
+
 def step_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run log of the eight cases: each one's worker steps and the master summing them."""
     cases = F.array(*[F.lit(case) for _, *pair in CASE_PAIRS for case in pair])

@@ -93,17 +93,16 @@ def read_batches(
     since: int = 0,
     before: int | None = None,
 ) -> DataFrame:
-    """Appended batches from number ``since`` on and below ``before``.
-
-    The batch number is a folder name, so the bounds prune folders, not rows.
-    """
-    if not exists(spark, folder):
+    """Appended batches from number ``since`` on and below ``before``, complete ones only."""
+    found = [
+        f"{folder}/{BATCH}={batch}"
+        for batch in _numbers(spark, folder, BATCH)
+        if batch >= since and (before is None or batch < before)
+    ]
+    complete = [name for name in found if exists(spark, f"{name}/_SUCCESS")]
+    if not complete:
         return spark.createDataFrame([], schema)
-    with_batch = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    rows = spark.read.schema(with_batch).parquet(folder).filter(F.col(BATCH) >= since)
-    if before is not None:
-        rows = rows.filter(F.col(BATCH) < before)
-    return rows.select(schema.names)
+    return spark.read.schema(schema).parquet(*complete)
 
 
 def cluster_by_id(rows: DataFrame, key: str = "id") -> DataFrame:

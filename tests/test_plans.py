@@ -64,7 +64,8 @@ def test_only_needed_columns_are_read(orders):
         (lambda o: scans.full_read(o), "GreaterThan(id,0)"),
         (lambda o: scans.confirmed_scan(o), "EqualTo(status,CONFIRMED)"),
         (lambda o: scans.id_range_scan(o, 5, 9), "GreaterThanOrEqual(id,5), LessThanOrEqual(id,9)"),
-        (lambda o: pages.keyset_page(o, 7, 5), "LessThanOrEqual(id,ScalarSubquery"),
+        (lambda o: pages.keyset_page(o, 7, 5, bits=4), "GreaterThan(id,7), LessThanOrEqual(id,23)"),
+        (lambda o: pages.keyset_page(o, 7, 50, bits=4), "LessThanOrEqual(id,263)"),
         (
             lambda o: pages.offset_page(o, 3, 5, bits=4),
             "GreaterThanOrEqual(id,16), LessThanOrEqual(id,31)",
@@ -78,6 +79,13 @@ def test_filters_reach_the_parquet_reader(orders, rows, pushed):
     assert pushed in formatted
 
 
+def test_keyset_pages_are_plain_inside_their_window(orders):
+    for rows in (pages.keyset_page(orders, 7, 50), pages.keyset_page(orders, 7, 50, upto=70)):
+        text = plan(rows)
+        assert "TakeOrderedAndProject" in text
+        assert "Exchange" not in text and "Join" not in text and "Window" not in text
+
+
 def test_fixture_bounds_reach_the_parquet_reader(spark):
     text = plan(fixtures.orders(spark, FOLDER, after=5, upto=9))
     assert "GreaterThan(o_orderkey,4), LessThanOrEqual(o_orderkey,8)" in text

@@ -2,6 +2,7 @@
 
 import json
 import uuid
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -54,6 +55,9 @@ def test_appending_a_batch_again_replaces_it(spark, make_orders, tmp_path):
         tables.append_batch(make_orders(*rows), folder, batch)
     assert sorted(r.id for r in tables.read_batches(spark, folder, ORDERS).collect()) == [1, 2]
     assert [r.id for r in tables.read_batches(spark, folder, ORDERS, before=1).collect()] == [1]
+    tables.append_batch(make_orders((9, 9)), folder, 2)
+    (Path(folder) / "batch_id=2" / "_SUCCESS").unlink()
+    assert sorted(r.id for r in tables.read_batches(spark, folder, ORDERS).collect()) == [1, 2]
 
 
 def test_clustered_files_hold_disjoint_id_ranges(spark, tmp_path):
