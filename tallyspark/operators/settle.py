@@ -12,6 +12,7 @@ from tallyspark.operators.numbering import BUCKET_BITS, number_rows
 from tallyspark.operators.ranges import assign_ranges
 from tallyspark.operators.scans import full_read, id_range_scan
 from tallyspark.schema import CONFIRMED, GRID_SIZE, INSERT_COUNT, SETTLED, SETTLEMENTS
+from tallyspark.session import put_down
 
 
 def to_settle(orders: DataFrame) -> DataFrame:
@@ -92,9 +93,13 @@ def new_settlements(
     settled_at: dt.datetime,
     bits: int = BUCKET_BITS,
 ) -> DataFrame:
-    """Rows to append: orders not settled yet, with ids going on from the highest one."""
+    """Rows to append: orders not settled yet, with ids going on from the highest one.
+
+    Numbering reads its input twice, so the unsettled orders are written to the shared
+    scratch folder first, a job of its own, and the join with all settlements runs once.
+    """
     highest = settlements.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    unsettled = unsettled_orders(to_settle(orders), settlements)
+    unsettled = put_down(unsettled_orders(to_settle(orders), settlements), "unsettled")
     return numbered_settlements(unsettled, settled_at, highest, bits)
 
 

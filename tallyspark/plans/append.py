@@ -12,7 +12,7 @@ from tallyspark.operators.numbering import BUCKET_BITS
 from tallyspark.operators.scans import full_read
 from tallyspark.operators.settle import numbered_settlements, to_settle, unsettled_orders
 from tallyspark.schema import ORDERS, SETTLEMENTS
-from tallyspark.session import scratch_folder
+from tallyspark.session import put_down
 from tallyspark.sources.tables import append_batch, next_batch, read_batches, read_table
 
 APPENDED = "appended_settlements"
@@ -34,17 +34,14 @@ def append_new_settlements(
 ) -> int:
     """Settles the orders not settled yet as one more batch and returns its number.
 
-    Numbering reads its input twice, so the unsettled orders are written to the shared
-    scratch folder first and the join with all settlements runs only once. A lost run is
-    repeated by calling again: whatever it had appended is then settled already.
+    Numbering reads its input twice, so the unsettled orders are put down first and the join
+    with all settlements runs only once. A lost run is repeated by calling again: whatever it
+    had appended is then settled already.
     """
     folder = f"{tables}/{APPENDED}"
     settlements = appended_settlements(spark, tables)
     orders = to_settle(full_read(read_table(spark, f"{tables}/orders", ORDERS)))
-    scratch = scratch_folder(spark, "unsettled")
-    unsettled_orders(orders, settlements).write.parquet(scratch)
-
-    unsettled = spark.read.schema(orders.schema).parquet(scratch)
+    unsettled = put_down(unsettled_orders(orders, settlements), "unsettled")
     highest = settlements.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     batch = next_batch(spark, folder)
     rows = numbered_settlements(unsettled, settled_at, F.lit(highest), bits)

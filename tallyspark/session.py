@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PARTITION_BYTES = 128 * 1024 * 1024
 
@@ -57,3 +57,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tallyspark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def put_down(rows: DataFrame, label: str) -> DataFrame:
+    """Writes rows to a scratch folder and reads them back: what made them runs once."""
+    folder = scratch_folder(rows.sparkSession, label)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

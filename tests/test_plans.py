@@ -91,6 +91,11 @@ def test_fixture_bounds_reach_the_parquet_reader(spark):
     assert "GreaterThan(o_orderkey,4), LessThanOrEqual(o_orderkey,8)" in text
 
 
+def test_inserting_joins_with_earlier_settlements_before_it_numbers(spark):
+    text = plan(QUERIES["insert_settlements"](spark, FOLDER))
+    assert "LeftAnti" not in text  # it ran once, and its rows were put down
+
+
 def test_aggregates_combine_before_the_shuffle(orders):
     assert "partial_sum" in plan(partition_stats(orders))
 
