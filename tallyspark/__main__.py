@@ -11,7 +11,7 @@ from tallyspark.operators.runlog import run_report
 from tallyspark.plans.cases import CASES, run_case, seed_orders
 from tallyspark.schema import GRID_SIZE, INSERT_COUNT, STEP_EXECUTIONS
 from tallyspark.session import SETTINGS
-from tallyspark.sources.tables import append_batch, next_batch, read_batches
+from tallyspark.sources.tables import append_batch, drop_old_versions, next_batch, read_batches
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -21,6 +21,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--orders", type=int, default=0, help="generate orders up to this number")
     parser.add_argument("--insert-count", type=int, default=INSERT_COUNT, help="ids the insert cases settle")
     parser.add_argument("--grid", type=int, default=GRID_SIZE, help="ranges of the partitioned case")
+    parser.add_argument("--keep", type=int, default=2, help="versions of each table to keep")
     parser.add_argument("--settled-at", type=dt.datetime.fromisoformat, default=None)
     chosen = parser.parse_args(arguments)
     unknown = set(chosen.cases) - set(CASES)
@@ -41,6 +42,8 @@ def main(arguments: list[str] | None = None) -> None:
             spark, name, chosen.tables, settled_at, chosen.insert_count, chosen.grid
         )
         append_batch(log, steps, batch)
+        for table in ("orders", "settlements"):
+            drop_old_versions(spark, f"{chosen.tables}/{table}", chosen.keep)
     run_report(read_batches(spark, steps, STEP_EXECUTIONS, since=first)).show(truncate=False)
 
 

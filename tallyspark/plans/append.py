@@ -6,20 +6,39 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyspark.operators.mutations import settle_orders
 from tallyspark.operators.numbering import BUCKET_BITS
 from tallyspark.operators.scans import full_read
 from tallyspark.operators.settle import numbered_settlements, to_settle, unsettled_orders
 from tallyspark.schema import ORDERS, SETTLEMENTS
-from tallyspark.session import put_down
-from tallyspark.sources.tables import append_batch, next_batch, read_batches, read_table
+from tallyspark.session import held
+from tallyspark.sources.tables import (
+    append_rows,
+    highest_id,
+    latest_version,
+    read_batches,
+    read_table,
+    truncate,
+    version_folder,
+)
+from tallyspark.streaming.incremental import start_settling
 
-APPENDED = "appended_settlements"
+#: Folder of the stream's batches inside a version of the settlements.
+ARRIVED = "arrived"
+
+
+def _settlements_folder(spark: SparkSession, tables: str) -> str:
+    root = f"{tables}/settlements"
+    return version_folder(root, latest_version(spark, root))
 
 
 def appended_settlements(spark: SparkSession, tables: str) -> DataFrame:
-    return read_batches(spark, f"{tables}/{APPENDED}", SETTLEMENTS)
+    """The one record of what is settled, by cases, appends or the stream."""
+    arrived = f"{_settlements_folder(spark, tables)}/{ARRIVED}"
+    stored = read_table(spark, f"{tables}/settlements", SETTLEMENTS)
+    return stored.unionByName(read_batches(spark, arrived, SETTLEMENTS))
 
 
 def current_orders(spark: SparkSession, tables: str) -> DataFrame:
@@ -38,12 +57,25 @@ def append_new_settlements(
     with all settlements runs only once. A lost run is repeated by calling again: whatever it
     had appended is then settled already.
     """
-    folder = f"{tables}/{APPENDED}"
-    settlements = appended_settlements(spark, tables)
+    folder = _settlements_folder(spark, tables)
     orders = to_settle(full_read(read_table(spark, f"{tables}/orders", ORDERS)))
-    unsettled = put_down(unsettled_orders(orders, settlements), "unsettled")
-    highest = settlements.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    batch = next_batch(spark, folder)
-    rows = numbered_settlements(unsettled, settled_at, F.lit(highest), bits)
-    append_batch(rows, folder, batch)
-    return batch
+    highest = max(highest_id(spark, folder), highest_id(spark, f"{folder}/{ARRIVED}"))
+    with held(unsettled_orders(orders, appended_settlements(spark, tables)), "unsettled") as unsettled:
+        rows = numbered_settlements(unsettled, settled_at, F.lit(highest), bits)
+        return append_rows(rows, f"{tables}/settlements")
+
+
+def settle_stream(
+    orders: DataFrame, tables: str, checkpoint: str, settled_at: dt.datetime
+) -> StreamingQuery:
+    """Settles a stream of orders into the settlements of ``tables`` and stops when all is read.
+
+    What cases and appends have settled is not settled again. A reset during a run is not
+    foreseen; after one, the next run goes on with new files, and ``append_new_settlements``
+    settles the orders of earlier ones.
+    """
+    spark = orders.sparkSession
+    if latest_version(spark, f"{tables}/settlements") < 0:
+        truncate(spark, f"{tables}/settlements", SETTLEMENTS)
+    folder = _settlements_folder(spark, tables)
+    return start_settling(orders, f"{folder}/{ARRIVED}", checkpoint, settled_at, beside=folder)

@@ -103,7 +103,7 @@ def run_case(
     ``insert_count`` is the highest id that the insert cases settle, ``grid`` the number of
     ranges of the partitioned one.
     Writing cases start from reset tables, which is not part of the time taken.
-    Settlements become the next version of their table and updated orders that of theirs.
+    Settlements are appended to the emptied table, updated orders are its next version.
     Settlements are written first and decide what is settled, so a job lost between the
     two writes is completed by running it again.
     """
@@ -124,7 +124,7 @@ def run_case(
     if case.inserts:
         settled = number_rows(case.rows(orders, settled_at), "order_id", "id")
         stored = settled.observe(seen, *counters).select(SETTLEMENTS.names)
-        write_version(stored, f"{tables}/settlements")
+        append_rows(stored, f"{tables}/settlements")
         if case.updates:
             write_version(settle_read_orders(orders, case), f"{tables}/orders")
     elif case.updates:

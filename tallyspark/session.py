@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,16 @@ def put_down(rows: DataFrame, label: str) -> DataFrame:
     folder = scratch_folder(rows.sparkSession, label)
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+@contextmanager
+def held(rows: DataFrame, label: str) -> Iterator[DataFrame]:
+    """As ``put_down``, for as long as the block runs; then its files are removed."""
+    spark = rows.sparkSession
+    folder = scratch_folder(spark, label)
+    try:
+        rows.write.parquet(folder)
+        yield spark.read.schema(rows.schema).parquet(folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

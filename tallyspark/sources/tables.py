@@ -2,15 +2,17 @@
 
 A table is a folder of complete versions ``v=0``, ``v=1``, …; replacing rows means writing
 the next version, because Spark cannot overwrite what it is reading and plain files know
-no MERGE. A version counts once its ``_SUCCESS`` marker exists, so a job that dies half way
-changes nothing and its leftovers are overwritten by the next attempt.
-
-A table that only grows is a folder of ``batch_id=…`` folders instead; writing one batch
-again replaces it, so a retried append never doubles rows. One writer per table is assumed.
+no MERGE. A version is a folder of ``batch_id=…`` folders, and appending means writing the
+next of them. A batch counts once its ``_SUCCESS`` marker exists, a version once its first
+batch does: a job that dies half way changes nothing, and its leftovers are overwritten by
+the next attempt. Writing one batch again replaces it, so a retried append never doubles
+rows. One writer per table is assumed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,11 @@ def exists(spark: SparkSession, name: str) -> bool:
     return files.exists(path)
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    path, files = _path(spark, name)
+    files.delete(path, True)
+
+
 def _numbers(spark: SparkSession, root: str, label: str) -> list[int]:
     """Numbers of the ``label=…`` folders, highest first."""
     path, files = _path(spark, root)
@@ -38,30 +45,55 @@ def _numbers(spark: SparkSession, root: str, label: str) -> list[int]:
     return sorted(map(int, found), reverse=True)
 
 
-def latest_version(spark: SparkSession, root: str) -> int:
-    """Highest complete version, -1 for none."""
-    complete = (v for v in _numbers(spark, root, "v") if exists(spark, f"{root}/v={v}/_SUCCESS"))
-    return next(complete, -1)
+def _complete(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished batches, highest first."""
+    found = _numbers(spark, folder, BATCH)
+    return [batch for batch in found if exists(spark, f"{batch_folder(folder, batch)}/_SUCCESS")]
 
 
 def version_folder(root: str, version: int) -> str:
     return f"{root}/v={version}"
 
 
+def batch_folder(folder: str, batch: int) -> str:
+    return f"{folder}/{BATCH}={batch}"
+
+
+def _versions(spark: SparkSession, root: str) -> Iterator[int]:
+    """Complete versions, highest first."""
+    for version in _numbers(spark, root, "v"):
+        if exists(spark, f"{batch_folder(version_folder(root, version), 0)}/_SUCCESS"):
+            yield version
+
+
+def latest_version(spark: SparkSession, root: str) -> int:
+    """Highest complete version, -1 for none."""
+    return next(_versions(spark, root), -1)
+
+
 def write_version(rows: DataFrame, root: str) -> int:
-    """Writes the next version and returns its number."""
-    version = latest_version(rows.sparkSession, root) + 1
-    rows.write.mode("overwrite").parquet(version_folder(root, version))
+    """Writes the next version and returns its number.
+
+    Leftovers of a lost attempt at it go first: a batch behind its first one would count.
+    """
+    spark = rows.sparkSession
+    version = latest_version(spark, root) + 1
+    remove(spark, version_folder(root, version))
+    append_batch(rows, version_folder(root, version), 0)
     return version
 
 
-def append_rows(rows: DataFrame, root: str) -> None:
-    """Adds rows to the current version."""
-    version = latest_version(rows.sparkSession, root)
+def append_rows(rows: DataFrame, root: str) -> int:
+    """Adds rows to the current version as one more batch and returns its number."""
+    spark = rows.sparkSession
+    version = latest_version(spark, root)
     if version < 0:
         write_version(rows, root)
-    else:
-        rows.write.mode("append").parquet(version_folder(root, version))
+        return 0
+    folder = version_folder(root, version)
+    batch = next_batch(spark, folder)
+    append_batch(rows, folder, batch)
+    return batch
 
 
 def read_table(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
@@ -69,7 +101,7 @@ def read_table(spark: SparkSession, root: str, schema: T.StructType) -> DataFram
     version = latest_version(spark, root)
     if version < 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(version_folder(root, version))
+    return read_batches(spark, version_folder(root, version), schema)
 
 
 def truncate(spark: SparkSession, root: str, schema: T.StructType) -> int:
@@ -77,13 +109,28 @@ def truncate(spark: SparkSession, root: str, schema: T.StructType) -> int:
     return write_version(spark.createDataFrame([], schema), root)
 
 
+def drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Removes all but the ``keep`` latest complete versions; returns those removed.
+
+    Unfinished versions stay for the next attempt. A query that still reads an old version
+    loses its files, so keep as many as may be in use.
+    """
+    if keep < 1:
+        raise ValueError("keep at least the current version")
+    old = list(_versions(spark, root))[keep:]
+    for version in old:
+        remove(spark, version_folder(root, version))
+    return old
+
+
 def next_batch(spark: SparkSession, folder: str) -> int:
-    return max(_numbers(spark, folder, BATCH), default=-1) + 1
+    """The number behind the last finished batch: an unfinished one there is replaced."""
+    return max(_complete(spark, folder), default=-1) + 1
 
 
 def append_batch(rows: DataFrame, folder: str, batch: int) -> None:
     """Adds one batch, replacing an earlier attempt at it."""
-    rows.write.mode("overwrite").parquet(f"{folder}/{BATCH}={batch}")
+    rows.write.mode("overwrite").parquet(batch_folder(folder, batch))
 
 
 def read_batches(
@@ -94,17 +141,31 @@ def read_batches(
     before: int | None = None,
 ) -> DataFrame:
     """Appended batches from number ``since`` on and below ``before``, complete ones only."""
-    found = [
-        f"{folder}/{BATCH}={batch}"
-        for batch in _numbers(spark, folder, BATCH)
+    complete = [
+        batch_folder(folder, batch)
+        for batch in _complete(spark, folder)
         if batch >= since and (before is None or batch < before)
     ]
-    complete = [name for name in found if exists(spark, f"{name}/_SUCCESS")]
     if not complete:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*complete)
 
 
+def highest_id(spark: SparkSession, folder: str, before: int | None = None) -> int:
+    """Highest id of the batches below ``before``, 0 without rows.
+
+    Each batch is numbered on from those before it, so the latest one that holds rows decides
+    and the others are not read.
+    """
+    for batch in _complete(spark, folder):
+        if before is None or batch < before:
+            rows = spark.read.schema("id bigint").parquet(batch_folder(folder, batch))
+            highest = rows.agg(F.max("id")).first()[0]
+            if highest is not None:
+                return highest
+    return 0
+
+
 def cluster_by_id(rows: DataFrame, key: str = "id") -> DataFrame:
     """Rows ranged and sorted by id.
 

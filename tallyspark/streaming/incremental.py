@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyspark.operators.scans import full_read
-from tallyspark.operators.settle import settlement_projection, stamp, to_settle, unsettled_orders
+from tallyspark.operators.settle import numbered_settlements, to_settle, unsettled_orders
 from tallyspark.schema import CHUNK_TIMINGS, ORDERS, SETTLEMENT_FACTS
-from tallyspark.sources.tables import append_batch, exists, read_batches
+from tallyspark.session import held
+from tallyspark.sources.tables import append_batch, exists, highest_id, read_batches
 
 
 def orders_stream(
@@ -50,38 +51,51 @@ def table_stream(
 
 
 def settle_batch(
-    out: str, settled_at: dt.datetime, step: str = "settle"
+    out: str, settled_at: dt.datetime, step: str = "settle", beside: str | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """Writer of one micro-batch: orders not settled by an earlier one.
+    """Writer of one micro-batch: orders not settled by an earlier one, nor in the batches of
+    the folder ``beside``. Ids go on from the highest of both.
 
-    Earlier settlements are read only within the id range of the batch. Ids grow with
-    time, so that touches the row groups of late arrivals rather than the whole table.
-    Of several copies of an order in one batch the smallest (seller, amount) is settled,
-    the same one in a replay. The batch's time is appended to ``out``_timings.
+    The batch is read once and put down. Earlier settlements are read only within its id
+    range. Ids grow with time, so that touches the row groups of late arrivals rather than
+    the whole table. Of several copies of an order in one batch the smallest (seller, amount)
+    is settled, the same one in a replay. The batch's time is appended to ``out``_timings.
     """
 
+    def settled_between(spark: SparkSession, batch_id: int, low: int, high: int) -> DataFrame:
+        earlier = read_batches(spark, out, SETTLEMENT_FACTS, before=batch_id)
+        if beside:
+            earlier = earlier.unionByName(read_batches(spark, beside, SETTLEMENT_FACTS))
+        return earlier.filter(F.col("order_id").between(low, high))
+
     def write(batch: DataFrame, batch_id: int) -> None:
         started = time.monotonic()
+        spark = batch.sparkSession
         one = F.min(F.struct("seller_id", "amount")).alias("one")
-        arrived = batch.groupBy("id").agg(one).select("id", "one.*")
-        if batch_id > 0:
-            span = batch.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
-            if span["low"] is None:
+        with held(batch.groupBy("id").agg(one).select("id", "one.*"), "arrived") as arrived:
+            low, high = arrived.agg(F.min("id"), F.max("id")).first()
+            if low is None:
                 return
-            earlier = read_batches(batch.sparkSession, out, SETTLEMENT_FACTS, before=batch_id)
-            in_span = F.col("order_id").between(span["low"], span["high"])
-            arrived = unsettled_orders(arrived, earlier.filter(in_span))
-        facts = stamp(settlement_projection(arrived), settled_at).select(SETTLEMENT_FACTS.names)
-        append_batch(facts, out, batch_id)
+            earlier = settled_between(spark, batch_id, low, high)
+            highest = highest_id(spark, out, before=batch_id)
+            if beside:
+                highest = max(highest, highest_id(spark, beside))
+            with held(unsettled_orders(arrived, earlier), "unsettled") as unsettled:
+                rows = numbered_settlements(unsettled, settled_at, F.lit(highest))
+                append_batch(rows, out, batch_id)
         elapsed = (time.monotonic() - started) * 1000
         timing = [(step, batch_id + 1, elapsed)]
-        append_batch(batch.sparkSession.createDataFrame(timing, CHUNK_TIMINGS), f"{out}_timings", batch_id)
+        append_batch(spark.createDataFrame(timing, CHUNK_TIMINGS), f"{out}_timings", batch_id)
 
     return write
 
 
 def start_settling(
-    orders: DataFrame, out: str, checkpoint: str, settled_at: dt.datetime
+    orders: DataFrame,
+    out: str,
+    checkpoint: str,
+    settled_at: dt.datetime,
+    beside: str | None = None,
 ) -> StreamingQuery:
     """Settles all that has arrived and then stops; start again to go on.
 
@@ -96,7 +110,7 @@ def start_settling(
         raise ValueError(f"{out} holds settlements of a run with another checkpoint")
     return (
         to_settle(full_read(orders))
-        .writeStream.foreachBatch(settle_batch(out, settled_at))
+        .writeStream.foreachBatch(settle_batch(out, settled_at, beside=beside))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -16,13 +16,15 @@ from tallyspark.plans.append import (
     append_new_settlements,
     appended_settlements,
     current_orders,
+    settle_stream,
 )
-from tallyspark.plans.cases import CASES, run_case, seed_orders
+from tallyspark.plans.cases import CASES, reset_tables, run_case, seed_orders
 from tallyspark.schema import CONFIRMED, ORDERS, SETTLED, SETTLEMENT_FACTS, STEP_EXECUTIONS
-from tallyspark.session import cluster_settings, scratch_folder
+from tallyspark.session import cluster_settings, held, scratch_folder
 from tallyspark.sources import jdbc, tables
 from tallyspark.sources.fixtures import SETTLED_AT
 from tallyspark.sources.generate import generate_orders, missing_orders, top_up_orders
+from tallyspark.streaming.incremental import orders_stream
 
 
 def test_versions(spark, make_orders, tmp_path):
@@ -181,6 +183,80 @@ def test_appending_new_settlements(spark, make_orders, tmp_path):
     assert [r.id for r in open_orders.collect()] == [0]
 
 
+def test_a_reset_confirms_what_an_append_settled(spark, make_orders, tmp_path):
+    folder = str(tmp_path)
+    tables.write_version(make_orders((1, 100), (2, 200), (3, 300)), f"{folder}/orders")
+    append_new_settlements(spark, folder, SETTLED_AT)
+    assert confirmed_scan(current_orders(spark, folder)).count() == 0
+    reset_tables(spark, folder)
+    assert confirmed_scan(current_orders(spark, folder)).count() == 3
+    run_case(spark, "insert-identity", folder, SETTLED_AT, insert_count=2)
+    assert [r.id for r in confirmed_scan(current_orders(spark, folder)).collect()] == [3]
+    append_new_settlements(spark, folder, SETTLED_AT)
+    settled = appended_settlements(spark, folder).collect()
+    assert sorted((r.id, r.order_id) for r in settled) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_stream_and_appends_share_their_settlements(spark, make_orders, tmp_path):
+    folder = str(tmp_path)
+
+    def arrive(*rows):
+        make_orders(*rows).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = orders_stream(spark, f"{folder}/in")
+        settle_stream(stream, folder, f"{folder}/progress", SETTLED_AT).awaitTermination()
+
+    def settled():
+        rows = appended_settlements(spark, folder).collect()
+        return sorted((r.id, r.order_id) for r in rows)
+
+    every = make_orders((1, 100), (2, 200), (3, 300), (4, 400), (5, 500))
+    tables.write_version(every.filter("id <= 3"), f"{folder}/orders")
+    arrive((2, 200))
+    append_new_settlements(spark, folder, SETTLED_AT)
+    assert settled() == [(1, 2), (2, 1), (3, 3)]
+    arrive((3, 300), (4, 400))
+    tables.write_version(every, f"{folder}/orders")
+    append_new_settlements(spark, folder, SETTLED_AT)
+    assert settled() == [(1, 2), (2, 1), (3, 3), (4, 4), (5, 5)]
+    assert confirmed_scan(current_orders(spark, folder)).count() == 0
+    reset_tables(spark, folder)
+    assert settled() == []
+
+
+def test_rows_of_a_lost_append_are_not_seen(spark, make_orders, tmp_path):
+    root = f"{tmp_path}/orders"
+    tables.write_version(make_orders((1, 1)), root)
+    tables.append_rows(make_orders((2, 2)), root)
+    (tmp_path / "orders" / "v=0" / "batch_id=1" / "_SUCCESS").unlink()
+    assert [r.id for r in tables.read_table(spark, root, ORDERS).collect()] == [1]
+    failing = make_orders((3, 3)).withColumn("amount", F.raise_error(F.lit("lost")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        tables.append_rows(failing, root)
+    assert [r.id for r in tables.read_table(spark, root, ORDERS).collect()] == [1]
+    assert tables.append_rows(make_orders((2, 2)), root) == 1
+    assert sorted(r.id for r in tables.read_table(spark, root, ORDERS).collect()) == [1, 2]
+
+
+def test_old_versions_are_dropped(spark, make_orders, tmp_path):
+    root = f"{tmp_path}/orders"
+    for n in range(4):
+        tables.write_version(make_orders((n, n)), root)
+    make_orders((9, 9)).write.parquet(f"{root}/v=4/batch_id=0")
+    (tmp_path / "orders" / "v=4" / "batch_id=0" / "_SUCCESS").unlink()
+    assert tables.drop_old_versions(spark, root, keep=2) == [1, 0]
+    assert sorted(p.name for p in Path(root).iterdir()) == ["v=2", "v=3", "v=4"]
+    assert tables.read_table(spark, root, ORDERS).first().id == 3
+    with pytest.raises(ValueError):
+        tables.drop_old_versions(spark, root, keep=0)
+
+
+def test_held_rows_are_removed_after_use(spark, make_orders):
+    with held(make_orders((1, 1)), "x") as rows:
+        files = rows.inputFiles()
+        assert rows.count() == 1 and files
+    assert not any(Path(name.removeprefix("file://")).exists() for name in files)
+
+
 def test_run_logs_feed_the_comparison(spark, make_orders, tmp_path):
     tables.write_version(make_orders((1, 100), (2, 200)), f"{tmp_path}/orders")
     for number, name in enumerate(CASES):
