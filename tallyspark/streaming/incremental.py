@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,11 @@ def settle_batch(
             highest = highest_id(spark, out, before=batch_id)
             if beside:
                 highest = max(highest, highest_id(spark, beside))
-            with held(unsettled_orders(arrived, earlier), "unsettled") as unsettled:
+            # before the first batch nothing is settled: no join, and nothing more to put down
+            joined = nullcontext(arrived)
+            if batch_id > 0 or beside:
+                joined = held(unsettled_orders(arrived, earlier), "unsettled")
+            with joined as unsettled:
                 rows = numbered_settlements(unsettled, settled_at, F.lit(highest))
                 append_batch(rows, out, batch_id)
         elapsed = (time.monotonic() - started) * 1000
