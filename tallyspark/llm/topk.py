@@ -101,12 +101,15 @@ def candidates(v: np.ndarray, norm: float, least: float, unit: np.ndarray, norms
     for at in np.argsort(-np.abs(q), kind="stable")[:COORDINATES]:
         spread = np.sqrt(max(0.0, (1 - cosine**2) * (1 - q[at] ** 2))) + 1e-9
         column = unit[rows, at]
-        rows = rows[(column >= q[at] * cosine - spread) & _below(column, q[at], cosine, spread)]
+        rows = rows[_below(-column, -q[at], cosine, spread) & _below(column, q[at], cosine, spread)]
     return rows
 
 
 def _below(column: np.ndarray, q: float, cosine: float, spread: float) -> np.ndarray:
-    """The upper end of the range; one if the query's own direction lies beyond it."""
+    """The upper end of the range; one if the axis itself lies within the local cosine.
+
+    The lower end is the upper one of the other direction.
+    """
     high = 1.0 if q >= cosine else q * cosine + spread
     return column <= high + 1e-9
 

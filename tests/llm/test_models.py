@@ -169,6 +169,37 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_topk_of_negative_coordinates_equals_brute_force(spark):
+    draw = np.random.default_rng(6)
+    matrix = draw.normal(size=(4000, 16))
+    matrix *= 1.2 / np.linalg.norm(matrix, axis=1)[:, None]  # the longest lie in all directions
+    matrix[1200:] *= draw.choice((0.02, 0.2, 0.4), (2800, 1))
+    matrix[np.arange(1200, 4000), draw.integers(0, 16, 2800)] = -0.95
+    matrix[2001::50] = matrix[2000::50]  # copies of queries
+    matrix[3000:3040] = -np.eye(16)[0]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(matrix)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    whole, ids = np.floor(matrix * 256).astype(np.int64), np.arange(4000)
+    for at in range(0, 4000, 50):
+        scores = whole @ whole[at]
+        order = [i for i in np.lexsort((ids, -scores)) if i != at][:5]
+        mine = found[found["query_id"] == at].sort_values("rank")
+        assert mine["vec_id"].tolist() == order and mine["score"].tolist() == scores[order].tolist()
+
+
+def test_pruning_keeps_what_reaches_the_score():
+    draw = np.random.default_rng(7)
+    matrix = np.concatenate([draw.normal(size=(3000, 4)), -np.eye(4)])
+    matrix[:2000, 0] = -np.abs(matrix[:2000, 0]) * 8
+    unit = matrix / np.linalg.norm(matrix, axis=1)[:, None]
+    for v in (*unit[:40], *unit[-4:], *-unit[:20]):
+        for least in (0.5, 0.6, 0.8, 0.99, 1.0):
+            kept = topk.candidates(v, 1.0, least, unit, np.ones(len(unit)))
+            assert set(np.flatnonzero(unit @ v >= least + 1e-12)) <= set(kept)
+            same = np.flatnonzero((unit == v).all(axis=1))
+            assert set(same) <= set(kept)
+
+
 # --- token shards
 
 
