@@ -45,7 +45,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("token ids", write_tokens),
 ]
 
-#: Fingerprints and a trained classifier are beyond SQL; tests hold run() against brute force.
+#: Fingerprints and a trained classifier are beyond SQL; tests hold what run() makes of the
+#: documents that the classifier keeps against brute force.
 ORACLE_SQL: str | None = None
 
 

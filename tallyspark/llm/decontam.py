@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash over windows as long as the benchmark's items.
 
 A document is read in windows of as many words as each item has, at every position that can
-share a shingle with an item: elsewhere the similarity is zero. Each window's SimHash is
-looked up in multi-index tables, one per block of 8 bits: fingerprints within RADIUS bits
+share a shingle with an item: elsewhere the similarity is zero. A document of fewer words than
+an item is one window, the whole of it. Each window's SimHash is looked up in multi-index tables, one per block of 8 bits: fingerprints within RADIUS bits
 agree in at least one of 8 blocks up to RADIUS // 8 bits, so the tables miss none of them.
 Candidates within RADIUS are verified by the exact similarity of their five-word shingles,
 weighted by how often each occurs (sum of the smaller counts over sum of the larger).
@@ -157,9 +157,14 @@ class Index:
             if len(at):
                 spots[width] = shingles, at
         for number, group in enumerate(self.groups):
-            if group.width not in spots or len(words) < group.length:
+            if group.width not in spots:
                 continue
             shingles, at = spots[group.width]
+            if len(words) < group.length:
+                # the similarity is this ratio at most
+                if len(shingles) / group.shingles >= least:
+                    self._verify(number, group, words, shingles, np.zeros(1, np.int64), least, best)
+                continue
             at = at[np.isin(shingles[at], group.hashes)]
             reach = np.arange(group.shingles)
             for first in range(0, len(at), REGION // group.shingles + 1):
@@ -179,7 +184,8 @@ class Index:
             self._verify(number, group, words, shingles, starts[:half], least, best)
             self._verify(number, group, words, shingles, starts[half:], least, best)
             return
-        prints = window_prints(shingles[low:high], starts - low, group.shingles)
+        held = min(group.shingles, len(shingles))
+        prints = window_prints(shingles[low:high], starts - low, held)
         seen: dict[int, Counter] = {}
         for window, item, distance in zip(*group.candidates(prints), strict=True):
             start = int(starts[window])
@@ -191,7 +197,7 @@ class Index:
                 best[key] = {
                     "item_id": group.ids[item],
                     "start": start,
-                    "end": start + group.length,
+                    "end": min(start + group.length, len(words)),
                     "distance": int(distance),
                     "similarity": alike,
                 }

@@ -192,6 +192,52 @@ def test_radius_misses_no_similar_window():
     assert total > 50 and missed == 0
 
 
+def plain_best_or_whole(text, item):
+    """As plain_best; a document shorter than the item is one window."""
+    words, wanted = decontam.words_of(text), decontam.words_of(item)
+    if len(words) >= len(wanted):
+        return plain_best(text, item)
+    width = min(5, len(wanted))
+    return decontam.similarity(decontam.counted(words, width), decontam.counted(wanted, width))
+
+
+def test_documents_shorter_than_the_item(spark):
+    items = [(i, sentences(200 + i, n)) for i, n in enumerate((59, 58, 45, 30, 20, 14, 5, 3))]
+    texts = []
+    for _, item in items:
+        words = item.split()
+        for cut in (1, 2, 4, 6, 12):
+            texts += [" ".join(words[:-cut]), " ".join(words[cut:])]
+        texts.append(" ".join(words[: len(words) // 2] + words[len(words) // 2 + 1 :]))
+        texts.append(" ".join(["other", *words[2:]]))
+    docs = docs_of(spark, *texts)
+    expected = {}
+    for doc_id, text in enumerate(texts, 1):
+        for item_id, item in items:
+            best = plain_best_or_whole(text, item)
+            if best >= 0.8:
+                expected[doc_id, item_id] = (0, len(text.split()), best)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contaminated(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["similarity"]) for r in found} == expected
+    assert expected[5, 0][2] > 0.9 and expected[11, 0][2] > 0.8
+    kept = {r["doc_id"] for r in decontam.keep_clean(docs, benchmark).collect()}
+    assert kept == set(range(1, len(texts) + 1)) - {doc_id for doc_id, _ in expected}
+
+
+def test_radius_misses_no_similar_short_document():
+    total = 0
+    for seed in range(400):
+        draw = random.Random(seed)
+        words = sentences(seed, draw.choice((14, 20, 30, 45, 59))).split()
+        first, last = draw.randrange(4), len(words) - draw.randrange(4)
+        text = " ".join(words[first:last])
+        if last - first < len(words) and plain_best_or_whole(text, " ".join(words)) >= 0.8:
+            total += 1
+            assert decontam.Index([(1, " ".join(words))]).matches(text)
+    assert total > 150
+
+
 # --- secrets
 
 
