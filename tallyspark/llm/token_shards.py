@@ -24,6 +24,7 @@ have keys of their own; an empty table gives no files and no rows. Extra columns
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -72,7 +73,7 @@ class Encoder:
     The pre-tokenizer always starts a new unit at a space between two other characters and
     behind the last letter of a word, so a text may be cut there and units met before need no
     second encoding. Texts where a space lies inside a longer run of white space, or that hold
-    the sign for a cut, are encoded in one piece.
+    the sign for a cut or an added token such as ``<|endoftext|>``, are encoded in one piece.
 
     Texts are cut and their different units found by Arrow; the ids of all units met lie in
     one pool, from which those of a text are gathered.
@@ -82,7 +83,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.in_one_piece = "|".join([_IN_ONE_PIECE, *(re.escape(token.content) for token in added)])
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # a token of this kind is written with one character for each of its bytes
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
@@ -150,7 +152,7 @@ class Encoder:
         claim(self.places)
         if len(self.places) > REMEMBERED_UNITS or not self.places:
             self._forget()
-        odd = pc.match_substring_regex(texts, _IN_ONE_PIECE)
+        odd = pc.match_substring_regex(texts, self.in_one_piece)
         marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), _WORD_END, rf"\1{_CUT}\2")
         units = pc.split_pattern(pc.replace_substring(marked, " ", f"{_CUT} "), _CUT)
         ends = np.cumsum(units.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))

@@ -253,6 +253,23 @@ def test_token_shards_round_trip(spark):
     assert token_shards.round_trip(docs.limit(0)).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_str(token_shards.public_tokenizer())
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"word{end}{end}\nnext", f"  {end}  x", "<|endoftext |>", "<|endof", "text|> plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = token_shards.round_trip(docs).orderBy("start").collect()
+    start = 0
+    for row, text in zip(found, texts, strict=True):
+        ids = [*model.encode(text, add_special_tokens=False).ids, 0]
+        assert (row["start"], row["n_tokens"]) == (start, len(ids))
+        assert row["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    assert model.encode(texts[0], add_special_tokens=False).ids == [50256]
+
+
 # --- pipeline
 
 
