@@ -83,34 +83,62 @@ def _enough(texts: str, tokens: str) -> Column:
     return F.col(texts) >= F.when(F.col(tokens) >= LONG, MIN_TEXTS).otherwise(SHORT_TEXTS)
 
 
-def _recurring_leaves(lines: DataFrame) -> DataFrame:
-    """leaf of the leaves with several different lines that have enough texts together."""
+def _possible_leaves(lines: DataFrame) -> DataFrame:
+    """leaf of the leaves with several different lines; a text may count here for each of them."""
     held = lines.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("texts").alias("texts"))
     return stash(held.filter((F.col("different") > 1) & (F.col("texts") >= MIN_TEXTS)).select("leaf"), "leaves")
 
 
-def _instances(counted: DataFrame) -> DataFrame:
-    """line of the lines that their leaf's template covers and that recur together."""
-    long_lines = counted.filter(F.col("tokens") >= LONG)
-    lines = stash(long_lines.join(_recurring_leaves(long_lines), "leaf", "left_semi"), "long")
+def _instances(placed: DataFrame, counted: DataFrame) -> DataFrame:
+    """line of the lines that their leaf's template covers and that recur together.
+
+    A text counts once for a part and once for a template, however many of its lines have it.
+    """
+    long_lines = F.col("tokens") >= LONG
+    held = stash(
+        placed.filter(long_lines)
+        .join(_possible_leaves(counted.filter(long_lines)), "leaf", "left_semi")
+        .groupBy("leaf", *TEXT)
+        .agg(F.collect_set(F.struct("line", "parts")).alias("held")),
+        "long",
+    )
+
+    def different(i: int) -> Column:
+        return F.array_distinct(F.transform("held", lambda one: one["parts"][i]))
+
     usual = (
-        lines.select("leaf", "texts", F.posexplode("parts").alias("at", "part"))
+        held.select("leaf", F.posexplode(F.array(*map(different, range(SEGMENTS)))).alias("at", "found"))
+        .select("leaf", "at", F.explode("found").alias("part"))
         .groupBy("leaf", "at", "part")
-        .agg(F.sum("texts").alias("texts"))
+        .agg(F.count("*").alias("texts"))
         .groupBy("leaf", "at")
         .agg(F.max(F.struct("texts", "part")).alias("most"))
         .groupBy("leaf")
         .agg(F.array_sort(F.collect_list(F.struct("at", "most.part"))).alias("usual"))
     )
-    same = F.zip_with("parts", "usual", lambda part, most: (part == most["part"]).cast("int"))
-    agreeing = F.aggregate(same, F.lit(0), lambda total, one: total + one)
+
+    def agreeing(parts: Column) -> Column:
+        same = F.zip_with(parts, "usual", lambda part, most: (part == most["part"]).cast("int"))
+        return F.aggregate(same, F.lit(0), lambda total, one: total + one)
+
+    covered = F.filter("held", lambda one: agreeing(one["parts"]) >= ALIKE)
     alike = stash(
-        lines.join(stash(usual, "usual"), "leaf")
-        .filter(agreeing >= ALIKE)
-        .select("leaf", "line", "texts"),
+        held.join(stash(usual, "usual"), "leaf")
+        .select("leaf", F.transform(covered, lambda one: one["line"]).alias("lines"))
+        .filter(F.size("lines") > 0),
         "alike",
     )
-    return alike.join(_recurring_leaves(alike), "leaf", "left_semi").select("line")
+    recurring = (
+        alike.groupBy("leaf")
+        .agg(
+            F.count("*").alias("texts"),
+            F.min(F.array_min("lines")).alias("low"),
+            F.max(F.array_max("lines")).alias("high"),
+        )
+        .filter((F.col("low") != F.col("high")) & (F.col("texts") >= MIN_TEXTS))
+        .select("leaf")
+    )
+    return alike.join(stash(recurring, "recurring"), "leaf", "left_semi").select(F.explode("lines").alias("line"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -125,7 +153,7 @@ def clean(docs: DataFrame) -> DataFrame:
         "counted",
     )
     recurring = counted.filter(_enough("texts", "tokens")).select("line")
-    dropped = stash(recurring.unionByName(_instances(counted)).distinct(), "dropped")
+    dropped = stash(recurring.unionByName(_instances(placed, counted)).distinct(), "dropped")
     short = F.col("tokens") < MIN_TOKENS
     hits = stash(placed.filter(~short).select(*TEXT, "place", "line").join(dropped, "line").drop("line"), "hits")
     places = stash(hits.groupBy(*TEXT).agg(F.collect_set("place").alias("places")), "places")

@@ -134,6 +134,17 @@ def test_copies_alone_keep_their_lines(spark):
     assert lines.clean(docs.limit(0)).count() == 0
 
 
+def test_a_template_within_one_document_stays(spark):
+    words = ("sleeps", "sings", "turns", "waits", "shines", "burns", "breaks", "fades", "moves", "rests")
+    poem = "\n".join(f"and the old sea {word} under the pale moon" for word in words)
+    single = {r["doc_id"]: r for r in lines.clean(docs_of(spark, poem, "another text", sentences(5, 30))).collect()}
+    assert single[1]["text"] == poem and single[1]["n_dropped"] == 0
+    others = [f"and the old sea is {word} calm at night" for word in ("very", "often", "rather")]
+    found = {r["doc_id"]: r for r in lines.clean(docs_of(spark, poem, *others, "another text")).collect()}
+    assert found[1]["text"] == poem and found[1]["n_dropped"] == 0
+    assert [found[i]["text"] for i in (2, 3, 4, 5)] == ["", "", "", "another text"]
+
+
 # --- decontamination
 
 
