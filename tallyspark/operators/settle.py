@@ -15,9 +15,9 @@ from tallyspark.schema import CONFIRMED, GRID_SIZE, INSERT_COUNT, SETTLED, SETTL
 from tallyspark.session import put_down
 
 
-def to_settle(orders: DataFrame) -> DataFrame:
-    """The columns a settlement is computed from."""
-    return orders.select("id", "seller_id", "amount")
+def to_settle(orders: DataFrame, *keep: str) -> DataFrame:
+    """The columns a settlement is computed from; ``keep`` passes others through."""
+    return orders.select("id", "seller_id", "amount", *keep)
 
 
 def settlement_projection(orders: DataFrame, *keep: str) -> DataFrame:
@@ -75,6 +75,15 @@ def unsettled_orders(orders: DataFrame, settlements: DataFrame) -> DataFrame:
     return orders.join(settled.distinct(), "id", "left_anti")
 
 
+def settle_numbered(
+    orders: DataFrame, settled_at: dt.datetime, highest: Column | None = None
+) -> DataFrame:
+    """Settlements of orders that have a ``row_no``: their ids go on from ``highest``."""
+    number = F.col("row_no") if highest is None else highest + F.col("row_no")
+    facts = stamp(settlement_projection(orders, "row_no"), settled_at)
+    return facts.withColumn("id", number).select(SETTLEMENTS.names)
+
+
 def numbered_settlements(
     orders: DataFrame, settled_at: dt.datetime, highest: Column, bits: int = BUCKET_BITS
 ) -> DataFrame:
@@ -82,9 +91,7 @@ def numbered_settlements(
 
     Numbering shuffles only what a settlement is computed from; the rest is added behind.
     """
-    numbered = number_rows(to_settle(orders), bits=bits)
-    facts = stamp(settlement_projection(numbered, "row_no"), settled_at)
-    return facts.withColumn("id", highest + F.col("row_no")).select(SETTLEMENTS.names)
+    return settle_numbered(number_rows(to_settle(orders), bits=bits), settled_at, highest)
 
 
 def new_settlements(

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.mutations import reset_orders
 from tallyspark.operators.numbering import number_rows
-from tallyspark.operators.scans import confirmed_scan, full_read
-from tallyspark.operators.settle import settle_bounded, settle_full, settle_ranged
+from tallyspark.operators.ranges import assign_ranges
+from tallyspark.operators.scans import confirmed_scan, full_read, id_range_scan
+from tallyspark.operators.settle import settle_numbered, to_settle
 from tallyspark.schema import (
     CONFIRMED,
     GRID_SIZE,
@@ -33,33 +34,33 @@ from tallyspark.sources.tables import append_rows, read_table, truncate, write_v
 
 
 class Case(NamedTuple):
-    """``rows`` reads or settles; ``inserts`` and ``updates`` say which tables change."""
+    """``reads`` are the orders it reads, with their range if there is a ``grid``; ``inserts``
+    and ``updates`` say which tables change."""
 
-    rows: Callable[[DataFrame, dt.datetime], DataFrame]
+    reads: Callable[[DataFrame], DataFrame]
     inserts: bool = False
     updates: bool = False
     grid: int = 0
 
 
-def _confirmed(orders: DataFrame, settled_at: dt.datetime) -> DataFrame:
-    return confirmed_scan(orders)
+def _first_ids(orders: DataFrame, count: int = INSERT_COUNT) -> DataFrame:
+    return id_range_scan(orders, 1, count)
 
 
-def _all(orders: DataFrame, settled_at: dt.datetime) -> DataFrame:
-    return full_read(orders)
-
+#: A million dense ids are sixteen buckets of that width, so numbering them is sixteen tasks.
+CASE_BITS = 16
 
 # The case names. Pairs that differ only in how a database driver batches
 # its statements are one and the same Spark job.
 CASES = {
-    "reader-offset": Case(_confirmed),
-    "reader-zero-offset": Case(_all),
-    "writer-jpa": Case(_all, updates=True),
-    "writer-jdbc-batch": Case(settle_full, inserts=True, updates=True),
-    "insert-identity": Case(settle_bounded, inserts=True),
-    "insert-jdbc-rewrite": Case(settle_bounded, inserts=True),
-    "sequential": Case(settle_full, inserts=True, updates=True),
-    "partitioning": Case(settle_ranged, inserts=True, updates=True, grid=GRID_SIZE),
+    "reader-offset": Case(confirmed_scan),
+    "reader-zero-offset": Case(full_read),
+    "writer-jpa": Case(full_read, updates=True),
+    "writer-jdbc-batch": Case(full_read, inserts=True, updates=True),
+    "insert-identity": Case(_first_ids, inserts=True),
+    "insert-jdbc-rewrite": Case(_first_ids, inserts=True),
+    "sequential": Case(full_read, inserts=True, updates=True),
+    "partitioning": Case(assign_ranges, inserts=True, updates=True, grid=GRID_SIZE),
 }
 
 
@@ -108,10 +109,10 @@ def run_case(
     two writes is completed by running it again.
     """
     case = CASES[name]
-    if case.rows is settle_bounded:
-        case = case._replace(rows=partial(settle_bounded, count=insert_count))
+    if case.reads is _first_ids:
+        case = case._replace(reads=partial(_first_ids, count=insert_count))
     if case.grid:
-        case = case._replace(rows=partial(settle_ranged, grid=grid), grid=grid)
+        case = case._replace(reads=partial(assign_ranges, grid=grid), grid=grid)
     if case.inserts or case.updates:
         reset_tables(spark, tables)
     orders = read_table(spark, f"{tables}/orders", ORDERS)
@@ -122,9 +123,9 @@ def run_case(
 
     started = time.monotonic()
     if case.inserts:
-        settled = number_rows(case.rows(orders, settled_at), "order_id", "id")
-        stored = settled.observe(seen, *counters).select(SETTLEMENTS.names)
-        append_rows(stored, f"{tables}/settlements")
+        taken = to_settle(case.reads(orders), *(["partition_no"] if case.grid else []))
+        numbered = number_rows(taken, bits=CASE_BITS).observe(seen, *counters)
+        append_rows(settle_numbered(numbered, settled_at), f"{tables}/settlements")
         if case.updates:
             write_version(settle_read_orders(orders, case), f"{tables}/orders")
     elif case.updates:
@@ -132,7 +133,7 @@ def run_case(
         updated = settle_read_orders(orders, case).observe(seen, read)
         write_version(updated, f"{tables}/orders")
     else:
-        rows = case.rows(orders, settled_at).observe(seen, *counters)
+        rows = case.reads(orders).observe(seen, *counters)
         rows.write.format("noop").mode("overwrite").save()
     elapsed = round((time.monotonic() - started) * 1000)
     return _run_log(spark, name, case.grid, seen.get, elapsed)
