@@ -75,23 +75,47 @@ def unsettled_orders(orders: DataFrame, settlements: DataFrame) -> DataFrame:
     return orders.join(settled.distinct(), "id", "left_anti")
 
 
+def settled_among(orders: DataFrame, settlements: DataFrame) -> DataFrame:
+    """The ids of ``orders`` that a settlement refers to, for few orders and many settlements.
+
+    Arriving ids reduce the settlements, not the other way round: small ones are broadcast,
+    more of them become a Bloom filter that settlements pass before they shuffle. The bound
+    on ids excludes nothing; a filter is only built from a side that has a condition.
+    """
+    lowest = -(2**63)
+    arriving = orders.filter(F.col("id") >= lowest).select(F.col("id").alias("order_id"))
+    return settlements.select("order_id").join(arriving, "order_id", "left_semi")
+
+
+def newly_arrived(orders: DataFrame, settlements: DataFrame) -> DataFrame:
+    """As ``unsettled_orders``, moving rows by the number of arrivals and not of settlements."""
+    settled = settled_among(orders, settlements).select(F.col("order_id").alias("id"))
+    return orders.join(settled, "id", "left_anti")
+
+
 def settle_numbered(
-    orders: DataFrame, settled_at: dt.datetime, highest: Column | None = None
+    orders: DataFrame, settled_at: dt.datetime, highest: Column | None = None, *keep: str
 ) -> DataFrame:
     """Settlements of orders that have a ``row_no``: their ids go on from ``highest``."""
     number = F.col("row_no") if highest is None else highest + F.col("row_no")
-    facts = stamp(settlement_projection(orders, "row_no"), settled_at)
-    return facts.withColumn("id", number).select(SETTLEMENTS.names)
+    facts = stamp(settlement_projection(orders, "row_no", *keep), settled_at)
+    return facts.withColumn("id", number).select(*SETTLEMENTS.names, *keep)
 
 
 def numbered_settlements(
-    orders: DataFrame, settled_at: dt.datetime, highest: Column, bits: int = BUCKET_BITS
+    orders: DataFrame,
+    settled_at: dt.datetime,
+    highest: Column,
+    bits: int = BUCKET_BITS,
+    repeats: str | None = None,
 ) -> DataFrame:
     """Settlements of ``orders`` with ids going on from ``highest`` in order of their ids.
 
     Numbering shuffles only what a settlement is computed from; the rest is added behind.
+    ``repeats`` names a column to tell orders that come up again.
     """
-    return settle_numbered(number_rows(to_settle(orders), bits=bits), settled_at, highest)
+    numbered = number_rows(to_settle(orders), bits=bits, repeats=repeats)
+    return settle_numbered(numbered, settled_at, highest, *([repeats] if repeats else []))
 
 
 def new_settlements(

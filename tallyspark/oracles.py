@@ -70,6 +70,17 @@ WITH t AS (
 )
 """
 
+_INSERTED = f"""{_WITH},
+        earlier AS (
+            SELECT id, id AS order_id, seller_id, {_FACTS}, {_BEFORE}
+            FROM o WHERE status = 'SETTLED'),
+        added AS (
+            SELECT (SELECT max(id) FROM earlier) + row_number() OVER (ORDER BY id) AS id,
+                   id AS order_id, seller_id, {_FACTS}, {_AT}
+            FROM o WHERE status = 'CONFIRMED')
+        SELECT * FROM earlier UNION ALL SELECT * FROM added
+"""
+
 ORACLES: dict[str, str] = {
     "orders_scan": f"{_WITH} SELECT * FROM o",
     "confirmed_scan": f"{_WITH} SELECT * FROM o WHERE status = 'CONFIRMED'",
@@ -98,15 +109,19 @@ ORACLES: dict[str, str] = {
     "unsettled_orders": f"""{_WITH}
         SELECT * FROM o
         WHERE id NOT IN (SELECT o_orderkey + 1 FROM orders WHERE o_orderstatus = 'F')""",
-    "insert_settlements": f"""{_WITH},
-        earlier AS (
-            SELECT id, id AS order_id, seller_id, {_FACTS}, {_BEFORE}
-            FROM o WHERE status = 'SETTLED'),
-        added AS (
-            SELECT (SELECT max(id) FROM earlier) + row_number() OVER (ORDER BY id) AS id,
-                   id AS order_id, seller_id, {_FACTS}, {_AT}
-            FROM o WHERE status = 'CONFIRMED')
-        SELECT * FROM earlier UNION ALL SELECT * FROM added""",
+    "insert_settlements": _INSERTED,
+    "audited_settlements": _INSERTED,
+    "append_audits": f"""{_WITH}, {_FEED},
+        f AS (SELECT count(*) AS n FROM o WHERE status = 'SETTLED'),
+        c AS (SELECT count(*) AS n FROM o WHERE status = 'CONFIRMED'),
+        again AS (SELECT count(*) AS n FROM (SELECT id FROM feed GROUP BY id HAVING count(*) > 1))
+        SELECT 0::BIGINT AS batch, n AS row_count, 0::BIGINT AS null_count,
+               0::BIGINT AS repeated_keys, 0::BIGINT AS settled_before, true AS published FROM f
+        UNION ALL
+        SELECT 1, count(*), CAST(count_if(seller_id IS NULL) + 3 * count_if(amount IS NULL) AS BIGINT),
+               any_value(again.n), 0, false FROM feed, again
+        UNION ALL SELECT 2, n, 0, 0, 0, true FROM c
+        UNION ALL SELECT 3, n, 0, 0, n, false FROM f""",
     "settle_orders": f"""{_WITH},
         s AS (SELECT id FROM o WHERE status = 'SETTLED')
         SELECT r.* REPLACE (CASE WHEN s.id IS NOT NULL THEN 'SETTLED' ELSE r.status END AS status)

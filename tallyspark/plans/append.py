@@ -12,14 +12,17 @@ from tallyspark.operators.mutations import settle_orders
 from tallyspark.operators.numbering import BUCKET_BITS
 from tallyspark.operators.scans import full_read
 from tallyspark.operators.settle import numbered_settlements, to_settle, unsettled_orders
+from tallyspark.plans.audited import audited_append
 from tallyspark.schema import ORDERS, SETTLEMENTS
 from tallyspark.session import held
 from tallyspark.sources.tables import (
-    append_rows,
+    current_folder,
     highest_id,
     latest_version,
+    next_batch,
     read_batches,
     read_table,
+    remove,
     truncate,
     version_folder,
 )
@@ -55,14 +58,21 @@ def append_new_settlements(
 
     Numbering reads its input twice, so the unsettled orders are put down first and the join
     with all settlements runs only once. A lost run is repeated by calling again: whatever it
-    had appended is then settled already.
+    had appended is then settled already. An order that the table holds twice, or without a
+    value, fails the append (``plans.audited``) and leaves nothing visible.
     """
-    folder = _settlements_folder(spark, tables)
+    root = f"{tables}/settlements"
+    folder = current_folder(spark, root)
+    if folder is None:
+        folder = version_folder(root, 0)
+        remove(spark, folder)
     orders = to_settle(full_read(read_table(spark, f"{tables}/orders", ORDERS)))
     highest = max(highest_id(spark, folder), highest_id(spark, f"{folder}/{ARRIVED}"))
     with held(unsettled_orders(orders, appended_settlements(spark, tables)), "unsettled") as unsettled:
-        rows = numbered_settlements(unsettled, settled_at, F.lit(highest), bits)
-        return append_rows(rows, f"{tables}/settlements")
+        rows = numbered_settlements(unsettled, settled_at, F.lit(highest), bits, repeats="repeated")
+        batch = next_batch(spark, folder)
+        audited_append(rows, folder, batch, repeats="repeated")
+        return batch
 
 
 def settle_stream(

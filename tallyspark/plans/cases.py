@@ -20,6 +20,7 @@ from tallyspark.operators.numbering import number_rows
 from tallyspark.operators.ranges import assign_ranges
 from tallyspark.operators.scans import confirmed_scan, full_read, id_range_scan
 from tallyspark.operators.settle import settle_numbered, to_settle
+from tallyspark.plans.audited import audited_append
 from tallyspark.schema import (
     CONFIRMED,
     GRID_SIZE,
@@ -30,7 +31,14 @@ from tallyspark.schema import (
     STEP_EXECUTIONS,
 )
 from tallyspark.sources.generate import missing_orders
-from tallyspark.sources.tables import append_rows, read_table, truncate, write_version
+from tallyspark.sources.tables import (
+    append_rows,
+    current_folder,
+    next_batch,
+    read_table,
+    truncate,
+    write_version,
+)
 
 
 class Case(NamedTuple):
@@ -124,8 +132,10 @@ def run_case(
     started = time.monotonic()
     if case.inserts:
         taken = to_settle(case.reads(orders), *(["partition_no"] if case.grid else []))
-        numbered = number_rows(taken, bits=CASE_BITS).observe(seen, *counters)
-        append_rows(settle_numbered(numbered, settled_at), f"{tables}/settlements")
+        numbered = number_rows(taken, bits=CASE_BITS, repeats="repeated").observe(seen, *counters)
+        folder = current_folder(spark, f"{tables}/settlements")
+        rows = settle_numbered(numbered, settled_at, None, "repeated")
+        audited_append(rows, folder, next_batch(spark, folder), repeats="repeated")
         if case.updates:
             write_version(settle_read_orders(orders, case), f"{tables}/orders")
     elif case.updates:

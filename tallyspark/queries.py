@@ -17,6 +17,7 @@ from tallyspark.operators import (
     scans,
     settle,
 )
+from tallyspark.plans import audited
 from tallyspark.schema import (
     CONFIRMED,
     MAX_AMOUNT,
@@ -28,7 +29,7 @@ from tallyspark.schema import (
     SETTLEMENTS,
 )
 from tallyspark.session import scratch_folder
-from tallyspark.sources import fixtures, generate
+from tallyspark.sources import fixtures, generate, tables
 from tallyspark.sources.fixtures import SETTLED_AT
 from tallyspark.streaming import incremental
 
@@ -108,6 +109,36 @@ def insert_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle.insert_settlements(fixtures.orders(spark, sf_dir), earlier, SETTLED_AT)
 
 
+def _tried_appends(spark: SparkSession, sf_dir: str) -> tuple[str, list[audited.Audit]]:
+    """Four appends: earlier settlements, an unchecked feed, new ones, the earlier ones again."""
+    folder = scratch_folder(spark, "audited")
+    earlier = fixtures.settlements(spark, sf_dir)
+    confirmed = fixtures.confirmed_orders(spark, sf_dir)
+    audits = []
+
+    def attempt(rows: DataFrame) -> None:
+        visible = tables.read_batches(spark, folder, SETTLEMENTS)
+        audits.append(audited.tried_append(rows, folder, len(audits), visible))
+
+    attempt(earlier)
+    attempt(fixtures.feed_settlements(spark, sf_dir))
+    highest = F.lit(tables.highest_id(spark, folder))
+    attempt(settle.numbered_settlements(confirmed, SETTLED_AT, highest))
+    attempt(earlier)
+    return folder, audits
+
+
+def audited_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is visible after appends of which some break a constraint."""
+    folder, _ = _tried_appends(spark, sf_dir)
+    return tables.read_batches(spark, folder, SETTLEMENTS)
+
+
+def append_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit of each of these appends found."""
+    return audited.audit_rows(spark, _tried_appends(spark, sf_dir)[1])
+
+
 def settle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reset orders after the settlements of an earlier run are applied to them."""
     return mutations.settle_orders(
@@ -256,6 +287,8 @@ QUERIES: dict[str, Query] = {
         settle_ranged,
         unsettled_orders,
         insert_settlements,
+        audited_settlements,
+        append_audits,
         settle_orders,
         upsert_orders,
         rejected_orders,

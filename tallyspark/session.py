@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "256m",
+    # a Bloom filter of arriving ids, some 16 M of them, may reduce what they are joined with
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "128m",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",

@@ -133,6 +133,32 @@ def append_batch(rows: DataFrame, folder: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(batch_folder(folder, batch))
 
 
+def stage_batch(rows: DataFrame, folder: str, batch: int) -> None:
+    """Writes one batch without its marker: nobody sees it before ``publish_batch``."""
+    unmarked = rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    unmarked.mode("overwrite").parquet(batch_folder(folder, batch))
+
+
+def staged_batch(spark: SparkSession, folder: str, batch: int, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(batch_folder(folder, batch))
+
+
+def publish_batch(spark: SparkSession, folder: str, batch: int) -> None:
+    """Makes a staged batch visible, all of it at once."""
+    path, files = _path(spark, f"{batch_folder(folder, batch)}/_SUCCESS")
+    files.create(path, True).close()
+
+
+def drop_batch(spark: SparkSession, folder: str, batch: int) -> None:
+    remove(spark, batch_folder(folder, batch))
+
+
+def current_folder(spark: SparkSession, root: str) -> str | None:
+    """The folder of the current version, None without one."""
+    version = latest_version(spark, root)
+    return version_folder(root, version) if version >= 0 else None
+
+
 def read_batches(
     spark: SparkSession,
     folder: str,

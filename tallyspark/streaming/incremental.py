@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyspark.operators.scans import full_read
-from tallyspark.operators.settle import numbered_settlements, to_settle, unsettled_orders
+from tallyspark.operators.settle import newly_arrived, numbered_settlements, to_settle
 from tallyspark.schema import CHUNK_TIMINGS, ORDERS, SETTLEMENT_FACTS
 from tallyspark.session import held
 from tallyspark.sources.tables import append_batch, exists, highest_id, read_batches
@@ -84,7 +84,7 @@ def settle_batch(
             # before the first batch nothing is settled: no join, and nothing more to put down
             joined = nullcontext(arrived)
             if batch_id > 0 or beside:
-                joined = held(unsettled_orders(arrived, earlier), "unsettled")
+                joined = held(newly_arrived(arrived, earlier), "unsettled")
             with joined as unsettled:
                 rows = numbered_settlements(unsettled, settled_at, F.lit(highest))
                 append_batch(rows, out, batch_id)
