@@ -70,6 +70,8 @@ WITH t AS (
 )
 """
 
+_PAGE = f"{_WITH} SELECT * FROM o WHERE status = 'CONFIRMED' ORDER BY id LIMIT 1000 OFFSET 5000"
+
 _INSERTED = f"""{_WITH},
         earlier AS (
             SELECT id, id AS order_id, seller_id, {_FACTS}, {_BEFORE}
@@ -84,8 +86,8 @@ _INSERTED = f"""{_WITH},
 ORACLES: dict[str, str] = {
     "orders_scan": f"{_WITH} SELECT * FROM o",
     "confirmed_scan": f"{_WITH} SELECT * FROM o WHERE status = 'CONFIRMED'",
-    "offset_page": f"""{_WITH}
-        SELECT * FROM o WHERE status = 'CONFIRMED' ORDER BY id LIMIT 1000 OFFSET 5000""",
+    "offset_page": _PAGE,
+    "indexed_offset_page": _PAGE,
     "keyset_page": f"{_WITH} SELECT * FROM o WHERE id > 5000 ORDER BY id LIMIT 1000",
     "bounded_keyset_page": f"""{_WITH}
         SELECT * FROM o WHERE id > 5000 AND id <= 5500 ORDER BY id LIMIT 1000""",

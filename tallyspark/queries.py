@@ -17,7 +17,7 @@ from tallyspark.operators import (
     scans,
     settle,
 )
-from tallyspark.plans import audited
+from tallyspark.plans import audited, page_index
 from tallyspark.schema import (
     CONFIRMED,
     MAX_AMOUNT,
@@ -41,6 +41,9 @@ CURSOR_LIMIT = 5_500
 PAGE = 5
 # The highest id of the bounded reads, within the smaller tables.
 BOUND = 5_000
+# Ids of a first append, and the width of index buckets that gives small tables several.
+INDEXED_FIRST = 8_000
+INDEX_BITS = 10
 
 
 def _reset(spark: SparkSession, sf_dir: str, after: int | None = 0) -> DataFrame:
@@ -59,6 +62,17 @@ def offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.offset_page(fixtures.confirmed_orders(spark, sf_dir), PAGE)
 
 
+def indexed_offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of ``offset_page`` through an index that has grown with an append."""
+    root = f"{scratch_folder(spark, 'indexed')}/orders"
+    small = F.col("id") <= INDEXED_FIRST
+    orders = fixtures.orders(spark, sf_dir)
+    for part in (orders.filter(small), orders.filter(~small)):
+        tables.append_rows(tables.cluster_by_id(part), root)
+        page_index.refresh(spark, root, "confirmed", page_index.confirmed(), bits=INDEX_BITS)
+    return page_index.indexed_page(spark, root, "confirmed", page_index.confirmed(), PAGE)
+
+
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.keyset_page(fixtures.orders(spark, sf_dir, after=CURSOR), CURSOR)
 
@@ -277,6 +291,7 @@ QUERIES: dict[str, Query] = {
         orders_scan,
         confirmed_scan,
         offset_page,
+        indexed_offset_page,
         keyset_page,
         bounded_keyset_page,
         full_read,

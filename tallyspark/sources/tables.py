@@ -45,7 +45,7 @@ def _numbers(spark: SparkSession, root: str, label: str) -> list[int]:
     return sorted(map(int, found), reverse=True)
 
 
-def _complete(spark: SparkSession, folder: str) -> list[int]:
+def finished_batches(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of the finished batches, highest first."""
     found = _numbers(spark, folder, BATCH)
     return [batch for batch in found if exists(spark, f"{batch_folder(folder, batch)}/_SUCCESS")]
@@ -71,7 +71,7 @@ def latest_version(spark: SparkSession, root: str) -> int:
     return next(_versions(spark, root), -1)
 
 
-def write_version(rows: DataFrame, root: str) -> int:
+def write_version(rows: DataFrame, root: str, options: dict[str, str] | None = None) -> int:
     """Writes the next version and returns its number.
 
     Leftovers of a lost attempt at it go first: a batch behind its first one would count.
@@ -79,20 +79,20 @@ def write_version(rows: DataFrame, root: str) -> int:
     spark = rows.sparkSession
     version = latest_version(spark, root) + 1
     remove(spark, version_folder(root, version))
-    append_batch(rows, version_folder(root, version), 0)
+    append_batch(rows, version_folder(root, version), 0, options)
     return version
 
 
-def append_rows(rows: DataFrame, root: str) -> int:
+def append_rows(rows: DataFrame, root: str, options: dict[str, str] | None = None) -> int:
     """Adds rows to the current version as one more batch and returns its number."""
     spark = rows.sparkSession
     version = latest_version(spark, root)
     if version < 0:
-        write_version(rows, root)
+        write_version(rows, root, options)
         return 0
     folder = version_folder(root, version)
     batch = next_batch(spark, folder)
-    append_batch(rows, folder, batch)
+    append_batch(rows, folder, batch, options)
     return batch
 
 
@@ -125,12 +125,14 @@ def drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int
 
 def next_batch(spark: SparkSession, folder: str) -> int:
     """The number behind the last finished batch: an unfinished one there is replaced."""
-    return max(_complete(spark, folder), default=-1) + 1
+    return max(finished_batches(spark, folder), default=-1) + 1
 
 
-def append_batch(rows: DataFrame, folder: str, batch: int) -> None:
-    """Adds one batch, replacing an earlier attempt at it."""
-    rows.write.mode("overwrite").parquet(batch_folder(folder, batch))
+def append_batch(
+    rows: DataFrame, folder: str, batch: int, options: dict[str, str] | None = None
+) -> None:
+    """Adds one batch, replacing an earlier attempt at it. ``options`` go to the writer."""
+    rows.write.mode("overwrite").options(**options or {}).parquet(batch_folder(folder, batch))
 
 
 def stage_batch(rows: DataFrame, folder: str, batch: int) -> None:
@@ -169,7 +171,7 @@ def read_batches(
     """Appended batches from number ``since`` on and below ``before``, complete ones only."""
     complete = [
         batch_folder(folder, batch)
-        for batch in _complete(spark, folder)
+        for batch in finished_batches(spark, folder)
         if batch >= since and (before is None or batch < before)
     ]
     if not complete:
@@ -183,7 +185,7 @@ def highest_id(spark: SparkSession, folder: str, before: int | None = None) -> i
     Each batch is numbered on from those before it, so the latest one that holds rows decides
     and the others are not read.
     """
-    for batch in _complete(spark, folder):
+    for batch in finished_batches(spark, folder):
         if before is None or batch < before:
             rows = spark.read.schema("id bigint").parquet(batch_folder(folder, batch))
             highest = rows.agg(F.max("id")).first()[0]
