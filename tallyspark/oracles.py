@@ -237,4 +237,14 @@ ORACLES: dict[str, str] = {
         FROM t WHERE chunk_no % 100 = 0""",
     "incremental_settle": f"""{_WITH}
         SELECT id AS order_id, seller_id, {_FACTS}, {_AT} FROM o WHERE id > 0""",
+    "keyed_settle": f"""{_WITH}
+        SELECT id AS order_id, seller_id, {_FACTS}, {_AT} FROM o
+        WHERE id IN (SELECT l_orderkey + 1 FROM lineitem)""",
+    "stream_run_report": f"""{_WITH},
+        fed AS (SELECT id, 4 - id % 4 AS times FROM o JOIN lineitem ON l_orderkey + 1 = id)
+        SELECT 'incremental' AS case_name, CAST(sum(times) AS BIGINT) AS total_read,
+               count(DISTINCT id) AS total_write,
+               CAST(sum(times) - count(DISTINCT id) AS BIGINT) AS total_skip,
+               4::BIGINT AS chunk_count
+        FROM fed""",
 }

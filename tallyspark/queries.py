@@ -26,12 +26,14 @@ from tallyspark.schema import (
     ORDERS,
     SELLER_COUNT,
     SETTLED,
+    SETTLEMENT_FACTS,
     SETTLEMENTS,
 )
 from tallyspark.session import scratch_folder
 from tallyspark.sources import fixtures, generate, tables
 from tallyspark.sources.fixtures import SETTLED_AT
-from tallyspark.streaming import incremental
+from tallyspark.streaming import incremental, keyed
+from tallyspark.streaming import runlog as stream_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +46,8 @@ BOUND = 5_000
 # Ids of a first append, and the width of index buckets that gives small tables several.
 INDEXED_FIRST = 8_000
 INDEX_BITS = 10
+# Files that the orders of a feed arrive in, each with those of the files before.
+FEED_FILES = 4
 
 
 def _reset(spark: SparkSession, sf_dir: str, after: int | None = 0) -> DataFrame:
@@ -284,6 +288,40 @@ def incremental_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.settle_arrived(orders, f"{run}/settlements", f"{run}/progress", SETTLED_AT)
 
 
+def _feed_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A fresh folder, and the lines' orders arriving in it as some files: most come repeatedly."""
+    run = scratch_folder(spark, "keyed-settle")
+    orders = _reset(spark, sf_dir)
+    lines = fixtures.settlement_attempts(spark, sf_dir).withColumnRenamed("order_id", "id")
+    arriving = orders.join(lines, "id").select(ORDERS.names)
+    for part in range(FEED_FILES):
+        arriving.filter(F.col("id") % FEED_FILES <= part).coalesce(1).write.mode("append").parquet(f"{run}/in")
+    return run, incremental.orders_stream(spark, f"{run}/in", files_per_trigger=1)
+
+
+def keyed_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of every line settled when it arrives first, from repeats over several batches."""
+    run, orders = _feed_files(spark, sf_dir)
+    keyed.start_keyed(orders, f"{run}/out", f"{run}/progress", SETTLED_AT).awaitTermination()
+    return keyed.keyed_settlements(spark, f"{run}/out").select(SETTLEMENT_FACTS.names)
+
+
+def stream_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run log of that stream, without its times, and its number of chunks."""
+    run, orders = _feed_files(spark, sf_dir)
+    log = stream_log.StreamLog()
+    spark.streams.addListener(log)
+    try:
+        query = keyed.start_keyed(orders, f"{run}/out", f"{run}/progress", SETTLED_AT)
+        query.awaitTermination()
+        steps = stream_log.step_executions(spark, log, query, "incremental")
+        chunks = stream_log.chunk_timings(spark, log, query)
+    finally:
+        spark.streams.removeListener(log)
+    counted = runlog.chunk_timing_by_step(chunks).select("chunk_count").scalar()
+    return runlog.step_totals(steps).drop("duration_ms").withColumn("chunk_count", counted)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -327,5 +365,7 @@ QUERIES: dict[str, Query] = {
         chunk_first_latest,
         chunk_timing_samples,
         incremental_settle,
+        keyed_settle,
+        stream_run_report,
     )
 }
