@@ -72,6 +72,18 @@ WITH t AS (
 
 _PAGE = f"{_WITH} SELECT * FROM o WHERE status = 'CONFIRMED' ORDER BY id LIMIT 1000 OFFSET 5000"
 
+_UPSERTED = f"""{_WITH}, {_FEED},
+        n AS (
+            SELECT id, seller_id, amount, 'SETTLED' AS status, order_date, created_at
+            FROM feed WHERE seller_id IS NOT NULL AND status IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1)
+        SELECT coalesce(n.id, o.id) AS id, coalesce(n.seller_id, o.seller_id) AS seller_id,
+               coalesce(n.amount, o.amount) AS amount, coalesce(n.status, o.status) AS status,
+               coalesce(n.order_date, o.order_date) AS order_date,
+               coalesce(o.created_at, n.created_at) AS created_at
+        FROM o FULL JOIN n ON o.id = n.id
+"""
+
 _INSERTED = f"""{_WITH},
         earlier AS (
             SELECT id, id AS order_id, seller_id, {_FACTS}, {_BEFORE}
@@ -124,20 +136,16 @@ ORACLES: dict[str, str] = {
                any_value(again.n), 0, false FROM feed, again
         UNION ALL SELECT 2, n, 0, 0, 0, true FROM c
         UNION ALL SELECT 3, n, 0, 0, n, false FROM f""",
+    "settle_in_place": f"""{_WITH},
+        s AS (SELECT id FROM o WHERE status = 'SETTLED' AND id <= 5000)
+        SELECT * REPLACE (CASE WHEN id IN (FROM s) THEN 'SETTLED' ELSE 'CONFIRMED' END AS status)
+        FROM o""",
     "settle_orders": f"""{_WITH},
         s AS (SELECT id FROM o WHERE status = 'SETTLED')
         SELECT r.* REPLACE (CASE WHEN s.id IS NOT NULL THEN 'SETTLED' ELSE r.status END AS status)
         FROM (SELECT * REPLACE ('CONFIRMED' AS status) FROM o) r LEFT JOIN s ON r.id = s.id""",
-    "upsert_orders": f"""{_WITH}, {_FEED},
-        n AS (
-            SELECT id, seller_id, amount, 'SETTLED' AS status, order_date, created_at
-            FROM feed WHERE seller_id IS NOT NULL AND status IS NOT NULL
-            QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1)
-        SELECT coalesce(n.id, o.id) AS id, coalesce(n.seller_id, o.seller_id) AS seller_id,
-               coalesce(n.amount, o.amount) AS amount, coalesce(n.status, o.status) AS status,
-               coalesce(n.order_date, o.order_date) AS order_date,
-               coalesce(o.created_at, n.created_at) AS created_at
-        FROM o FULL JOIN n ON o.id = n.id""",
+    "upsert_orders": _UPSERTED,
+    "upsert_in_place": _UPSERTED,
     "reset_orders": f"{_WITH} SELECT * REPLACE ('CONFIRMED' AS status) FROM o",
     "confirmed_bounds": f"""{_WITH}
         SELECT min(id) AS min_id, max(id) AS max_id FROM o WHERE status = 'CONFIRMED'""",

@@ -17,7 +17,7 @@ from tallyspark.operators import (
     scans,
     settle,
 )
-from tallyspark.plans import audited, page_index
+from tallyspark.plans import audited, page_index, ranged
 from tallyspark.schema import (
     CONFIRMED,
     MAX_AMOUNT,
@@ -43,9 +43,10 @@ CURSOR_LIMIT = 5_500
 PAGE = 5
 # The highest id of the bounded reads, within the smaller tables.
 BOUND = 5_000
-# Ids of a first append, and the width of index buckets that gives small tables several.
+# Ids of a first append, and widths of index buckets and ranges that give small tables several.
 INDEXED_FIRST = 8_000
 INDEX_BITS = 10
+RANGED_BITS = 12
 # Files that the orders of a feed arrive in, each with those of the files before.
 FEED_FILES = 4
 
@@ -164,6 +165,25 @@ def settle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def settle_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``settle_orders`` of stored orders by ranges, of which the lower half is touched."""
+    root = scratch_folder(spark, "ranged")
+    ranged.write_ranged(_reset(spark, sf_dir, after=None), root, RANGED_BITS)
+    half = fixtures.settled_facts(spark, sf_dir).filter(F.col("order_id") <= BOUND)
+    ranged.settle_in_place(spark, root, half, bits=RANGED_BITS)
+    return ranged.read_ranged(spark, root)
+
+
+def upsert_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``upsert_orders`` of stored orders by ranges."""
+    root = scratch_folder(spark, "ranged")
+    ranged.write_ranged(fixtures.orders(spark, sf_dir), root, RANGED_BITS)
+    complete, _ = constraints.without_nulls(fixtures.order_feed(spark, sf_dir), ORDERS.names)
+    incoming = complete.withColumn("status", F.lit(SETTLED))
+    ranged.upsert_in_place(spark, root, incoming, "version", RANGED_BITS)
+    return ranged.read_ranged(spark, root)
+
+
 def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed's complete rows merged; the others are those of ``rejected_orders``."""
     complete, _ = constraints.without_nulls(fixtures.order_feed(spark, sf_dir), ORDERS.names)
@@ -343,7 +363,9 @@ QUERIES: dict[str, Query] = {
         audited_settlements,
         append_audits,
         settle_orders,
+        settle_in_place,
         upsert_orders,
+        upsert_in_place,
         rejected_orders,
         reset_orders,
         confirmed_bounds,
