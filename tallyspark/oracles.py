@@ -120,6 +120,9 @@ ORACLES: dict[str, str] = {
         SELECT id AS order_id, seller_id, {_FACTS}, {_AT}, 'SETTLED' AS order_status,
                (id - lo) // width AS partition_no
         FROM o, b WHERE id BETWEEN lo AND hi""",
+    "settle_by_ledger": f"""{_WITH}
+        SELECT row_number() OVER (ORDER BY id) AS id, id AS order_id, seller_id, {_FACTS}, {_AT}
+        FROM o""",
     "unsettled_orders": f"""{_WITH}
         SELECT * FROM o
         WHERE id NOT IN (SELECT o_orderkey + 1 FROM orders WHERE o_orderstatus = 'F')""",

@@ -125,11 +125,13 @@ def audited_append(
     batch: int,
     earlier: DataFrame | None = None,
     repeats: str | None = None,
+    expected: int | None = None,
 ) -> Audit:
-    """Appends a batch if it holds all constraints; raises ConstraintViolation if not."""
+    """Appends a batch if it holds all constraints; raises ConstraintViolation if not, also
+    where it has another number of rows than ``expected``."""
     spark = rows.sparkSession
     audit = stage_and_audit(rows, folder, batch, earlier, repeats)
-    if not audit.published:
+    if not audit.published or expected not in (None, audit.row_count):
         drop_batch(spark, folder, batch)
         raise ConstraintViolation(audit)
     publish_batch(spark, folder, batch)

@@ -21,6 +21,7 @@ from tallyspark.operators.ranges import assign_ranges
 from tallyspark.operators.scans import confirmed_scan, full_read, id_range_scan
 from tallyspark.operators.settle import settle_numbered, to_settle
 from tallyspark.plans.audited import audited_append
+from tallyspark.plans.ledger import settle_by_ranges, worker_steps
 from tallyspark.schema import (
     CONFIRMED,
     GRID_SIZE,
@@ -42,8 +43,8 @@ from tallyspark.sources.tables import (
 
 
 class Case(NamedTuple):
-    """``reads`` are the orders it reads, with their range if there is a ``grid``; ``inserts``
-    and ``updates`` say which tables change."""
+    """``reads`` are the orders it reads; ``inserts`` and ``updates`` say which tables change,
+    ``grid`` into how many ranges it is split."""
 
     reads: Callable[[DataFrame], DataFrame]
     inserts: bool = False
@@ -120,19 +121,20 @@ def run_case(
     if case.reads is _first_ids:
         case = case._replace(reads=partial(_first_ids, count=insert_count))
     if case.grid:
-        case = case._replace(reads=partial(assign_ranges, grid=grid), grid=grid)
+        case = case._replace(grid=grid)
     if case.inserts or case.updates:
         reset_tables(spark, tables)
     orders = read_table(spark, f"{tables}/orders", ORDERS)
-    counters = [F.count(F.lit(1)).alias("rows")]
-    for number in range(case.grid):
-        counters.append(F.count_if(F.col("partition_no") == number).alias(f"rows_{number}"))
+    counter = F.count(F.lit(1)).alias("rows")
     seen = Observation()
 
     started = time.monotonic()
+    if case.grid:
+        workers = settle_by_ranges(spark, tables, settled_at, grid, side_by_side=grid)
+        write_version(settle_read_orders(orders, case), f"{tables}/orders")
+        return worker_steps(spark, name, workers, round((time.monotonic() - started) * 1000))
     if case.inserts:
-        taken = to_settle(case.reads(orders), *(["partition_no"] if case.grid else []))
-        numbered = number_rows(taken, bits=CASE_BITS, repeats="repeated").observe(seen, *counters)
+        numbered = number_rows(to_settle(case.reads(orders)), bits=CASE_BITS, repeats="repeated").observe(seen, counter)
         folder = current_folder(spark, f"{tables}/settlements")
         rows = settle_numbered(numbered, settled_at, None, "repeated")
         audited_append(rows, folder, next_batch(spark, folder), repeats="repeated")
@@ -143,14 +145,8 @@ def run_case(
         updated = settle_read_orders(orders, case).observe(seen, read)
         write_version(updated, f"{tables}/orders")
     else:
-        rows = case.reads(orders).observe(seen, *counters)
+        rows = case.reads(orders).observe(seen, counter)
         rows.write.format("noop").mode("overwrite").save()
     elapsed = round((time.monotonic() - started) * 1000)
-    return _run_log(spark, name, case.grid, seen.get, elapsed)
-
-
-def _run_log(spark: SparkSession, name: str, grid: int, counts: dict, elapsed: int) -> DataFrame:
-    steps = [("masterStep" if grid else "step", counts["rows"])]
-    steps += [(f"workerStep:partition{n}", counts[f"rows_{n}"]) for n in range(grid)]
-    log = [(name, step, rows, rows, 0, elapsed) for step, rows in steps]
-    return spark.createDataFrame(log, STEP_EXECUTIONS)
+    rows = seen.get["rows"]
+    return spark.createDataFrame([(name, "step", rows, rows, 0, elapsed)], STEP_EXECUTIONS)

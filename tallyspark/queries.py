@@ -17,7 +17,7 @@ from tallyspark.operators import (
     scans,
     settle,
 )
-from tallyspark.plans import audited, page_index, ranged
+from tallyspark.plans import audited, ledger, page_index, ranged
 from tallyspark.schema import (
     CONFIRMED,
     MAX_AMOUNT,
@@ -117,6 +117,14 @@ def settle_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle.settle_ranged(_reset(spark, sf_dir, after=None), SETTLED_AT)
 
 
+def settle_by_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settlements, with their ids, of ranges that commit one by one."""
+    folder = scratch_folder(spark, "ledger")
+    tables.write_version(_reset(spark, sf_dir, after=None), f"{folder}/orders")
+    ledger.settle_by_ranges(spark, folder, SETTLED_AT)
+    return tables.read_table(spark, f"{folder}/settlements", SETTLEMENTS)
+
+
 def unsettled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle.unsettled_orders(
         fixtures.orders(spark, sf_dir), fixtures.settled_facts(spark, sf_dir)
@@ -358,6 +366,7 @@ QUERIES: dict[str, Query] = {
         settle_status,
         settle_bounded,
         settle_ranged,
+        settle_by_ledger,
         unsettled_orders,
         insert_settlements,
         audited_settlements,

@@ -1,0 +1,97 @@
+"""Ranges that commit one by one, and runs that go on where one was lost."""
+
+import pytest
+
+from tallyspark.plans import ledger
+from tallyspark.plans.cases import run_case
+from tallyspark.schema import SETTLEMENTS
+from tallyspark.sources import tables
+from tallyspark.sources.fixtures import SETTLED_AT
+
+
+@pytest.fixture
+def stored(make_orders, tmp_path):
+    tables.write_version(make_orders(*[(i, i) for i in range(1, 41)]), f"{tmp_path}/orders")
+    return str(tmp_path)
+
+
+def settled(spark, folder):
+    rows = tables.read_table(spark, f"{folder}/settlements", SETTLEMENTS).collect()
+    return sorted((r["id"], r["order_id"]) for r in rows)
+
+
+def losing(monkeypatch, numbers):
+    """Makes these ranges fail after they have written their rows, before they are published."""
+    done, settle = [], ledger.settle_range
+
+    def attempt(spark, folder, out, part, settled_at):
+        if part.partition_no in numbers:
+            rows = ledger._orders(spark, folder, part.orders_version).limit(3)
+            rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(
+                tables.batch_folder(out, part.batch)
+            )
+            raise RuntimeError("executor lost")
+        done.append(part.partition_no)
+        return settle(spark, folder, out, part, settled_at)
+
+    monkeypatch.setattr(ledger, "settle_range", attempt)
+    return done
+
+
+def test_a_rerun_settles_only_the_lost_range(spark, stored, make_orders, monkeypatch):
+    numbers = {2}
+    done = losing(monkeypatch, numbers)
+    with pytest.raises(ledger.RangesFailed, match="ranges 2 failed: executor lost") as failed:
+        ledger.settle_by_ranges(spark, stored, SETTLED_AT)
+    assert [w.status for w in failed.value.workers] == ["COMPLETED", "COMPLETED", "FAILED", "COMPLETED"]
+    assert sorted(done) == [0, 1, 3]
+    assert settled(spark, stored) == [(i, i) for i in range(1, 41) if not 21 <= i <= 30]
+    assert [p.partition_no for p in ledger.open_ranges(spark, f"{stored}/settlements")] == [2]
+    # the lost range is settled from the version it was planned with
+    tables.write_version(make_orders((25, 1), (99, 1)), f"{stored}/orders")
+    numbers.clear()
+    done.clear()
+    workers = ledger.settle_by_ranges(spark, stored, SETTLED_AT)
+    assert done == [2] and [(w.partition_no, w.rows) for w in workers] == [(2, 10)]
+    assert settled(spark, stored) == [(i, i) for i in range(1, 41)]
+    assert ledger.open_ranges(spark, f"{stored}/settlements") == []
+
+
+def test_a_finished_ledger_is_followed_by_a_new_one(spark, stored, make_orders):
+    ledger.settle_by_ranges(spark, stored, SETTLED_AT, grid=3)
+    tables.write_version(make_orders((50, 1), (60, 1), (69, 1)), f"{stored}/orders")
+    ledger.settle_by_ranges(spark, stored, SETTLED_AT)
+    assert settled(spark, stored)[40:] == [(41, 50), (42, 60), (43, 69)]
+
+
+def test_a_range_with_an_order_twice_fails_alone(spark, stored, make_orders):
+    tables.append_rows(make_orders((35, 7)), f"{stored}/orders")
+    with pytest.raises(ledger.RangesFailed, match="settled twice"):
+        ledger.settle_by_ranges(spark, stored, SETTLED_AT)
+    assert [order for _, order in settled(spark, stored)] == list(range(1, 31))
+
+
+def test_workers_have_their_own_times(spark, stored):
+    log = run_case(spark, "partitioning", stored, SETTLED_AT).collect()
+    assert [(r["step_name"], r["read_count"]) for r in log] == [("masterStep", 40)] + [
+        (f"workerStep:partition{n}", 10) for n in range(4)
+    ]
+    master, *workers = [r["duration_ms"] for r in log]
+    assert all(0 < time <= master for time in workers)
+
+
+def test_no_orders_no_ranges(spark, make_orders, tmp_path):
+    tables.write_version(make_orders((1, 1, "SETTLED")), f"{tmp_path}/orders")
+    assert ledger.settle_by_ranges(spark, str(tmp_path), SETTLED_AT) == []
+    assert settled(spark, str(tmp_path)) == []
+
+
+@pytest.mark.parametrize("ids", [[7], [1, 5], range(1, 11), [0, 1, 2, 1000], [-40, -3, 90]])
+def test_ranges_of_any_ids(spark, make_orders, tmp_path, ids):
+    """Settled orders inside the bounds settle again, those outside do not."""
+    rows = [(i, 1) for i in ids] + [(max(ids) + 3, 1, "SETTLED"), (min(ids) - 3, 1, "SETTLED")]
+    inside = [(i, 1, "SETTLED") for i in range(min(ids) + 1, max(ids), 17) if i not in ids]
+    tables.write_version(make_orders(*rows, *inside), f"{tmp_path}/orders")
+    ledger.settle_by_ranges(spark, str(tmp_path), SETTLED_AT)
+    expected = sorted([*ids, *(i for i, *_ in inside)])
+    assert settled(spark, str(tmp_path)) == list(enumerate(expected, 1))
