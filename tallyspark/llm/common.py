@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,3 +114,8 @@ class Remembered(dict):
 
 def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def spread(lows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places low .. low + size - 1 of every range, one range after the other."""
+    return np.repeat(lows - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())

@@ -1,18 +1,29 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine on a block-max inverted index.
 
-A bounded sample of labelled rows gives the examples. Terms are words (runs of letters, lower
-case); those that toxic examples have more often than chance (z of at least LEAST_Z over the
-sample's distinct texts) make the vocabulary, and their inverse document frequency is counted
-over all documents. The index keeps postings by example in blocks with each term's largest
-weight in a block: blocks are visited by falling bound until the bound is below the k-th best
-cosine, so the nearest examples are exact. Votes fall with distance, are pulled towards the
-rate among examples without any such term, and are calibrated by isotonic regression on the
-examples, each scored without itself.
-
-Defined results: a null, empty or wordless text, and one without any term of the vocabulary,
+A bounded sample of labelled rows gives the examples. Every word of every example (runs of
+letters, lower case) is a term; its inverse document frequency is counted over all documents.
+A term's weight in a text is (1 + log count) times that frequency times its relevance, which is
+1 for words that go with label 1 no more often than chance and grows with the square of the
+excess, in standard deviations, for others. Words that no example has change no text's nearest
+examples and are left out.
+
+The index keeps postings by term in blocks of examples, with each term's largest weight in each
+block that has the term. A text's cosine with a block's examples is at most the sum of its
+weights times these maxima: the most promising blocks are scored first, and then all whose bound reaches the
+k-th best cosine found, so the nearest examples are exact. Examples are ordered by their
+commonest word, which puts those of one language together and keeps bounds apart.
+
+Votes fall with distance, are pulled towards the rate of label 1, and are calibrated by isotonic
+regression on the examples, each scored without itself. ``evidence`` lists the neighbours.
+
+Memory: the index is bounded by ``EXAMPLE_ROWS``; it is sent to the tasks, which hold one Arrow
+batch of texts beside it. Documents are neither shuffled nor stored, but read twice: to count
+words and to score.
+
+Defined results: a null, empty or wordless text, and one without any word of an example,
 has no neighbours and scores the calibrated base rate; without labelled rows every score is
-0; equal cosines prefer the earlier example; repeated rows score alike. Extra columns are
-ignored.
+0; equal cosines prefer the earlier example; repeated rows score alike; a text of any length
+is read as a whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,29 +31,28 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import labelled_sample, per_value, remainder, stash
+from tallyspark.llm.common import labelled_sample, per_value, remainder, ship, spread, stash
 
 #: Bound on the labelled rows that examples are taken from.
-EXAMPLE_ROWS = 20_000
-MAX_TERMS = 4096
-LEAST_Z = 6.0
-LEAST_TEXTS = 5
+EXAMPLE_ROWS = 3_000
 NEIGHBOURS = 16
 #: A neighbour's vote is its cosine to this power.
-FALL = 3
+FALL = 2
 #: Weight of the base rate among the votes, in votes of a neighbour at distance zero.
-BASE_VOTES = 0.5
+BASE_VOTES = 0.02
 TOXIC_FROM = 0.3
-BLOCK = 64
+#: Examples in a block, and blocks that are scored before bounds decide.
+BLOCK, FIRST_BLOCKS = 128, 2
 
 _WORD = re.compile(r"[^\W\d_]+")
-FOUND = "array<struct<term:int,count:int>>"
 SCORED = "array<struct<score:double,evidence:array<struct<doc_id:bigint,cosine:double,label:int>>>>"
 
 
@@ -51,73 +61,87 @@ def words_of(text: str | None) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples by term, with the largest weight of a term in each block."""
+    """Unit vectors of examples by term, with the largest weight of a term in each block.
+
+    A vector is a weight for each of its terms.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], terms: int):
         self.size = len(vectors)
         self.blocks = -(-self.size // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for number, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                postings[term].append((number, weight))
-        self.best = np.zeros((terms, max(1, self.blocks)))
-        self.starts = np.zeros((terms, self.blocks + 1), np.int64)
-        self.numbers, self.weights = [], []
-        for term, found in enumerate(postings):
-            numbers = np.array([n for n, _ in found], np.int64)
-            weights = np.array([w for _, w in found])
-            np.maximum.at(self.best[term], numbers // BLOCK, weights)
-            self.starts[term] = np.searchsorted(numbers, np.arange(self.blocks + 1) * BLOCK)
-            self.numbers.append(numbers)
-            self.weights.append(weights)
+        numbers = np.repeat(np.arange(self.size), [len(vector) for vector in vectors])
+        ids = np.array([term for vector in vectors for term in vector], np.int64)
+        weights = np.array([weight for vector in vectors for weight in vector.values()], float)
+        order = np.argsort(ids, kind="stable")
+        ids, self.numbers, self.weights = ids[order], numbers[order], weights[order]
+        # a cell is a term in a block: its postings lie together, in ascending order
+        cells = ids * max(1, self.blocks) + self.numbers // BLOCK
+        self.cell_at = np.flatnonzero(np.diff(cells, prepend=-1))
+        self.cell_size = np.diff(self.cell_at, append=len(cells))
+        self.cell_block = self.numbers[self.cell_at] // BLOCK
+        self.cell_best = np.maximum.reduceat(self.weights, self.cell_at) if len(cells) else np.empty(0)
+        self.term_at = np.searchsorted(ids[self.cell_at], np.arange(terms + 1))
+
+    def _sums(self, cells: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Products of the postings of these cells, summed by example."""
+        at, sizes = self.cell_at[cells], self.cell_size[cells]
+        places = spread(at, sizes)
+        products = self.weights[places] * np.repeat(values, sizes)
+        return np.bincount(self.numbers[places], products, self.size)
 
     def nearest(self, vector: dict[int, float], k: int) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above zero, best first."""
-        if not vector or not self.size:
+        return self.nearest_to(np.array(list(vector), np.int64), np.array(list(vector.values()), float), k)
+
+    def nearest_to(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        lows = self.term_at[terms]
+        sizes = self.term_at[terms + 1] - lows
+        cells, values = spread(lows, sizes), np.repeat(weights, sizes)
+        if not len(cells):
             return []
-        terms = list(vector)
-        bounds = np.array([vector[t] for t in terms]) @ self.best[terms]
-        found: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            # the margin covers rounding: a bound is a sum in another order
-            if bounds[block] <= 0 or (len(found) == k and bounds[block] < -found[-1][0] - 1e-9):
-                break
-            sums = np.zeros(BLOCK)
-            for term in terms:
-                low, high = self.starts[term][block : block + 2]
-                if low < high:
-                    at = self.numbers[term][low:high] - block * BLOCK
-                    sums[at] += vector[term] * self.weights[term][low:high]
-            hits = np.flatnonzero(sums > 0)
-            found += [(-round(float(sums[i]), 12), int(block * BLOCK + i)) for i in hits]
-            found = sorted(found)[:k]
-        return [(-cosine, number) for cosine, number in found]
+        blocks = self.cell_block[cells]
+        bounds = np.bincount(blocks, values * self.cell_best[cells], self.blocks)
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        chosen = first[blocks]
+        cosines = self._sums(cells[chosen], values[chosen])
+        # the margin covers rounding: a bound is a sum in another order
+        kth = np.partition(cosines, -k)[-k] if k < self.size else 0.0
+        rest = ~first & (bounds > 0) & (bounds >= kth - 1e-9)
+        if rest.any():
+            chosen = rest[blocks]
+            cosines += self._sums(cells[chosen], values[chosen])
+        cosines = np.round(cosines, 12)
+        kth = np.partition(cosines, -k)[-k] if k < self.size else 0.0
+        hits = np.flatnonzero((cosines >= kth) & (cosines > 0))
+        hits = hits[np.argsort(-cosines[hits], kind="stable")][:k]
+        return list(zip(cosines[hits].tolist(), hits.tolist(), strict=True))
 
 
 @dataclass
 class Model:
-    """Vocabulary with inverse document frequencies, the index, its labels, the calibration."""
+    """Terms with their weights, the index, its labels and document ids, the base rate."""
 
-    idf: np.ndarray
+    terms: dict[str, int]
+    weight: np.ndarray
     index: BlockMaxIndex
     labels: np.ndarray
     ids: np.ndarray
     base: float
-    knots: tuple[np.ndarray, np.ndarray]
 
-    def votes(self, found, without: int | None = None) -> tuple[float, list[tuple[float, int]]]:
+    def votes(self, text: str | None, without: int | None = None) -> tuple[float, list[tuple[float, int]]]:
         """The share of label 1 among the votes, and the neighbours."""
-        near = self.index.nearest(unit(found, self.idf), NEIGHBOURS + (without is not None))
+        vector = unit(counted(text, self.terms), self.weight)
+        near = self.index.nearest_to(*vector, NEIGHBOURS + (without is not None))
         near = [pair for pair in near if pair[1] != without][:NEIGHBOURS]
         weights = np.array([cosine**FALL for cosine, _ in near])
         voted = float(weights @ self.labels[[n for _, n in near]]) if near else 0.0
         return (voted + BASE_VOTES * self.base) / (weights.sum() + BASE_VOTES), near
 
-    def score(self, counted: list[dict]) -> list[dict]:
+    def score(self, text: str | None, knots: tuple[np.ndarray, np.ndarray]) -> list[dict]:
         """One row: the calibrated score and the neighbours with their cosines."""
-        found = pairs(counted)
-        share, near = self.votes(found)
-        calibrated = float(np.interp(share, *self.knots)) if len(self.knots[0]) else share
+        share, near = self.votes(text)
+        calibrated = float(np.interp(share, *knots)) if len(knots[0]) else share
         evidence = [
             {"doc_id": int(self.ids[n]), "cosine": cosine, "label": int(self.labels[n])}
             for cosine, n in near
@@ -125,14 +149,23 @@ class Model:
         return [{"score": min(1.0, max(0.0, calibrated)), "evidence": evidence}]
 
 
-def pairs(counted: list[dict]) -> list[tuple[int, int]]:
-    return [(item["term"], item["count"]) for item in counted]
+def counted(text: str | None, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The known terms of a text, ascending, and how often it has each."""
+    found = [terms[word] for word in words_of(text) if word in terms]
+    return np.unique(np.array(found, np.int64), return_counts=True)
+
 
+def unit(found: tuple[np.ndarray, np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    terms, counts = found
+    raw = (1.0 + np.log(counts)) * weight[terms]
+    norm = math.sqrt(float(raw @ raw))
+    return terms, raw / norm if norm else raw
 
-def unit(found: list[tuple[int, int]], idf: np.ndarray) -> dict[int, float]:
-    raw = {term: (1.0 + math.log(count)) * idf[term] for term, count in found}
-    norm = math.sqrt(sum(w * w for w in raw.values()))
-    return {term: w / norm for term, w in raw.items()} if norm else {}
+
+def relevance(held: np.ndarray, with_label: np.ndarray, rate: float) -> np.ndarray:
+    """1 plus the squared excess of label 1 among a term's texts, in standard deviations."""
+    excess = (with_label - held * rate) / np.sqrt(held * rate * (1 - rate) + 1)
+    return 1.0 + np.maximum(0.0, excess) ** 2
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,92 +183,96 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] for p in pools])
 
 
-def _term_finder(vocabulary: dict[str, int]):
-    def find(text: str | None) -> list[dict]:
-        counted = Counter(t for w in words_of(text) if (t := vocabulary.get(w)) is not None)
-        return [{"term": term, "count": count} for term, count in sorted(counted.items())]
-
-    return find
-
-
-def _distinct_words(text: str | None) -> list[str]:
-    return sorted(set(words_of(text)))
-
-
-def select_vocabulary(known: DataFrame) -> list[str]:
-    """Words of known (text, label) that go with label 1 more often than chance."""
-    once = known.groupBy(F.xxhash64("text").alias("hash")).agg(
-        F.min("text").alias("text"), F.max("label").alias("label")
-    )
-    words = once.select("label", F.explode(per_value(_distinct_words, "array<string>")("text")).alias("word"))
-    count, toxic = once.agg(F.count("*"), F.sum("label")).first()
-    if not count or not toxic or toxic == count:
-        return []
-    rate = toxic / count
-    n = F.col("n")
-    z = (F.col("toxic") - n * rate) / F.sqrt(n * (rate * (1 - rate)))
-    rows = (
-        words.groupBy("word")
-        .agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
-        .withColumn("z", z)
-        .filter((n >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z))
-        .orderBy(F.desc("z"), "word")
-        .limit(MAX_TERMS)
-        .collect()
-    )
-    return sorted(row["word"] for row in rows)
+def document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many of them have each term."""
+    spark = docs.sparkSession
+    shared, size = spark.sparkContext.broadcast(terms), len(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size + 1, np.int64)
+        known = shared.value
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held[[known[word] for word in set(words_of(text)) if word in known]] += 1
+            held[size] += len(batch)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["term", "held"])
+
+    # a task sends a row for each term it has met; the sums are as many as the terms
+    partial = docs.select("text").mapInArrow(count, "term long, held long")
+    sums = partial.groupBy("term").agg(F.sum("held").alias("held")).toPandas()
+    held = np.zeros(size + 1, np.int64)
+    held[sums["term"].to_numpy(np.int64)] = sums["held"].to_numpy(np.int64)
+    return int(held[size]), held[:size]
+
+
+def fit(docs: DataFrame, examples: list[tuple[int, str, int]]) -> Model:
+    """The model of examples (doc_id, text, label), with word counts over all documents."""
+    words = [Counter(words_of(text)) for _, text, _ in examples]
+    commonest = Counter(word for found in words for word in found)
+    terms = {word: place for place, word in enumerate(sorted(commonest))}
+    total, held = document_counts(docs, terms)
+    labels = np.array([label for _, _, label in examples], float)
+    # a text that several examples share counts once for the relevance of its words
+    once: dict[str, int] = {}
+    for number, (_, text, label) in enumerate(examples):
+        if text not in once or label > labels[once[text]]:
+            once[text] = number
+    texts, toxic = np.zeros(len(terms)), np.zeros(len(terms))
+    for number in once.values():
+        at = [terms[word] for word in words[number]]
+        texts[at] += 1
+        toxic[at] += labels[number]
+    rate = float(labels.mean()) if examples else 0.0
+    weight = np.log((1 + total) / (1 + held)) + 1e-3
+    weight = weight * relevance(texts, toxic, rate)
+
+    def place(number: int) -> tuple:
+        # the commonest word comes first, and with it the language
+        return max(((commonest[w], w) for w in words[number]), default=(0, "")), number
+
+    order = sorted(range(len(examples)), key=place)
+    units = [unit(counted(examples[n][1], terms), weight) for n in order]
+    vectors = [dict(zip(found.tolist(), values.tolist(), strict=True)) for found, values in units]
+    ids = np.array([examples[n][0] for n in order], np.int64)
+    return Model(terms, weight, BlockMaxIndex(vectors, len(terms)), labels[order], ids, rate)
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted, evidence; fold 2 of 4 is held out."""
+    spark = docs.sparkSession
+    ship(spark)
     fold = remainder(F.col("doc_id"), 4)
     sample = stash(labelled_sample(labels, label, fold != 2, EXAMPLE_ROWS), "sample")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = texts.join(F.broadcast(sample), "doc_id").select("text", "label")
-    vocabulary = select_vocabulary(known)
-    places = {word: place for place, word in enumerate(vocabulary)}
-    found = stash(
-        docs.select("doc_id", per_value(_term_finder(places), FOUND)("text").alias("found")), "found"
-    )
-    model = _model(found, sample, len(vocabulary))
-    return found.select("doc_id", per_value(model.score, SCORED)("found")[0].alias("s")).select(
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    known = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    examples = sorted((row["doc_id"], row["text"], row["label"]) for row in known.collect())
+    model = fit(texts, examples)
+    shared = spark.sparkContext.broadcast(model)
+    knots = (np.empty(0), np.empty(0))
+    if examples:
+        place = {int(doc_id): n for n, doc_id in enumerate(model.ids)}
+        rows = [(place[doc_id], text) for doc_id, text, _ in examples]
+        tasks = spark.createDataFrame(rows, "n long, text string").repartition(
+            max(1, min(len(rows) // 50, 2 * spark.sparkContext.defaultParallelism))
+        )
+
+        def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                voted = [shared.value.votes(text, without=n)[0] for n, text in pairs]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(voted, pa.float64())], ["n", "share"])
+
+        found = tasks.mapInArrow(shares, "n long, share double").toPandas()
+        knots = isotonic(found["share"].to_numpy(), model.labels[found["n"].to_numpy(np.int64)])
+
+    def scored(text: str | None) -> list[dict]:
+        return shared.value.score(text, knots)
+
+    return texts.select("doc_id", per_value(scored, SCORED)("text")[0].alias("s")).select(
         "doc_id",
         F.coalesce(fold == 2, F.lit(False)).alias("held_out"),
         "s.score",
         (F.col("s.score") >= TOXIC_FROM).cast("int").alias("predicted"),
         "s.evidence",
     )
-
-
-def _model(found: DataFrame, sample: DataFrame, terms: int) -> Model:
-    """Counts over all documents, then the examples; both are bounded by the parameters."""
-    total = found.count()
-    counts = found.select(F.explode("found.term").alias("term")).groupBy("term").count().collect()
-    idf = np.full(max(1, terms), math.log(1 + total))
-    for row in counts:
-        idf[row["term"]] = math.log((1 + total) / (1 + row["count"])) + 1e-3
-    rows = (
-        found.join(F.broadcast(sample), "doc_id")
-        .groupBy("doc_id", "label")
-        .agg(F.min("found").alias("found"))
-        .toPandas()
-    )
-    examples = sorted(
-        (pairs(f), int(d), int(y)) for f, d, y in zip(rows["found"], rows["doc_id"], rows["label"], strict=True)
-    )
-    with_terms = [e for e in examples if e[0]]
-    without = [e[2] for e in examples if not e[0]]
-    base = float(np.mean(without)) if without else 0.0
-    model = Model(
-        idf,
-        BlockMaxIndex([unit(e[0], idf) for e in with_terms], max(1, terms)),
-        np.array([e[2] for e in with_terms], float),
-        np.array([e[1] for e in with_terms], np.int64),
-        base,
-        (np.empty(0), np.empty(0)),
-    )
-    if examples:
-        shares = [model.votes(e[0], without=n)[0] for n, e in enumerate(with_terms)]
-        x = np.array(shares + [base] * len(without))
-        model.knots = isotonic(x, np.array([e[2] for e in with_terms] + without, float))
-    return model

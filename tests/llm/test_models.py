@@ -1,7 +1,10 @@
 """Classifier, toxicity, mixing, top-k, token shards and the pipeline against plain versions."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -70,6 +73,73 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def plain_toxicity(docs, labels):
+    """Neighbours and votes of every document, straight from the definitions."""
+    examples = sorted(
+        (d, t or "", max(y for e, y in labels if e == d and y is not None))
+        for d, t in docs
+        if zlib.crc32(str(d).encode()) % 4 != 2 and any(e == d and y is not None for e, y in labels)
+    )
+    words = {d: Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for d, t in docs}
+    held = Counter(w for d, _ in docs for w in words[d])
+    rate = sum(y for *_, y in examples) / len(examples)
+    by_text = {}
+    for d, t, y in examples:
+        by_text[t] = d, max(y, by_text.get(t, (0, 0))[1])
+    weight = {}
+    for word in {w for d, *_ in examples for w in words[d]}:
+        having = [y for d, y in by_text.values() if word in words[d]]
+        excess = (sum(having) - len(having) * rate) / (len(having) * rate * (1 - rate) + 1) ** 0.5
+        idf = math.log((1 + len(docs)) / (1 + held[word])) + 1e-3
+        weight[word] = idf * (1 + max(0.0, excess) ** 2)
+
+    def unit(d):
+        raw = {w: (1 + math.log(n)) * weight[w] for w, n in words[d].items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / norm for w, x in raw.items()} if norm else {}
+
+    vectors = {d: unit(d) for d, *_ in examples}
+    near = {}
+    for d, _ in docs:
+        mine = unit(d)
+        cosines = ((sum(x * v.get(w, 0.0) for w, x in mine.items()), e) for e, v in vectors.items())
+        near[d] = sorted(((c, e) for c, e in cosines if c > 1e-12), reverse=True)[:17]
+    return near, rate
+
+
+def test_toxicity_neighbours_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    copy = docs.join(labels.filter("toxic = 1"), "doc_id").orderBy("doc_id").first()
+    planted = spark.createDataFrame([(90_001, copy["text"])], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(planted)
+    rows = toxicity.score(both, labels).collect()
+    near, _ = plain_toxicity(
+        [tuple(r) for r in both.collect()], [tuple(r) for r in labels.select("doc_id", "toxic").collect()]
+    )
+    assert len(rows) == len(near) and len({r["score"] for r in rows}) > 50
+    for row in rows:
+        expected = near[row["doc_id"]]
+        assert np.allclose([e["cosine"] for e in row["evidence"]], [c for c, _ in expected[:16]], atol=1e-9)
+        clear = {e for c, e in expected[:16] if len(expected) < 17 or c > expected[16][0] + 1e-9}
+        assert clear <= {e["doc_id"] for e in row["evidence"]}
+    (found,) = (r for r in rows if r["doc_id"] == 90_001)
+    assert found["predicted"] == 1 and abs(found["evidence"][0]["cosine"] - 1) < 1e-9
+
+
+def test_toxicity_of_repeated_long_and_clashing_rows(spark):
+    rude, kind = "you idiot go away", "thank you so much"
+    known = [(i, (rude if i % 3 == 0 else kind) + f" w{i}", 0.5, "l") for i in range(60)]
+    odd = [(100, rude, 0.1, "x"), (100, rude, 0.1, "x"), (101, f"{kind} " * 60_000, 0.2, "y"), (None, None, None, None)]
+    docs = spark.createDataFrame(known + odd, "doc_id int, text string, score double, label string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 1) for i in range(60)] * 2, "doc_id long, toxic int, text int")
+    rows = toxicity.score(docs, labels).collect()
+    assert len(rows) == 64
+    by_id = {r["doc_id"]: r for r in rows}
+    assert [r["predicted"] for r in rows if r["doc_id"] == 100] == [1, 1]
+    assert by_id[101]["predicted"] == 0 and by_id[None]["evidence"] == []
+
+
 # --- mixing
 
 

@@ -324,3 +324,35 @@ def test_html(spark):
     assert (found[4]["text"], found[None]["text"]) == ("plain only", "a b")
     assert found[6]["text"] == " ".join(["word, and more words here."] * 5000)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+# --- decontamination of texts that repeat themselves
+
+
+def test_repetitive_texts_equal_brute_force():
+    """Few different words, so that shingles repeat within items, texts and across items."""
+    draw = random.Random(12)
+    for trial in range(40):
+        letters = [f"w{i}" for i in range(draw.choice([1, 2, 3, 8]))]
+        items = [" ".join(draw.choices(letters, k=draw.choice([3, 7, 12, 12, 30]))) for _ in range(6)]
+        pieces = [draw.choice(items), " ".join(draw.choices(letters, k=9)), draw.choice(items)]
+        text = " ".join(draw.sample(pieces, draw.choice([1, 2, 3])))
+        found = {m["item_id"]: m["similarity"] for m in decontam.Index(list(enumerate(items))).matches(text)}
+        best = {n: plain_best_or_whole(text, item) for n, item in enumerate(items)}
+        assert found == {n: value for n, value in best.items() if value >= 0.8}
+
+
+def test_many_items_with_one_opening_stay_cheap():
+    draw = random.Random(13)
+    words = [f"w{i}" for i in range(20_000)]
+    opening = draw.choices(words, k=8)
+    items = [(n, " ".join(opening + draw.choices(words, k=50))) for n in range(3_000)]
+    index = decontam.Index(items)
+    (group,) = index.groups
+    seen = []
+    plain = group.candidates
+    group.candidates = lambda prints, chosen: seen.append((len(prints), chosen.sum())) or plain(prints, chosen)
+    filler = [part for _ in range(500) for part in (*opening, *draw.choices(words, k=2))]
+    matches = index.matches(" ".join(filler) + " " + items[7][1])
+    assert [(m["item_id"], m["similarity"]) for m in matches] == [(7, 1.0)]
+    assert sum(prints * chosen for prints, chosen in seen) < 200_000  # of 15 million windows times items
