@@ -355,3 +355,43 @@ def test_pipeline_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 50
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {r["doc_id"] for r in rows.collect()} == {r["doc_id"] for r in kept.collect()}
+
+
+# --- top-k of large components
+
+
+def exact_top(rows, k=5):
+    """(query, rank, vec_id, score) with Python's integers; rows of (vec_id, vector)."""
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    found = []
+    for query, q in whole:
+        if query % 50 == 0:
+            scores = [
+                (-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v, strict=True)))), i)
+                for i, v in whole
+                if i != query and len(v) == len(q)
+            ]
+            found += [(query, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**20, 1e7, 2.0**30, 1e14])
+@pytest.mark.parametrize("block", [3, 4096])
+def test_topk_is_exact_for_large_components(spark, monkeypatch, scale, block):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    draw = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in draw.normal(size=3) * scale * draw.choice((0.01, 1.0))]) for i in range(400)]
+    rows += [(400 + i, [rows[0][1][0], rows[0][1][1], rows[0][1][2] + i / 256]) for i in range(20)]
+    odd = [(900, [1e300, 1.0, 1.0]), (901, None), (902, [2.0**55, 0.0, 0.0]), (903, [1.0, 2.0])]
+    frame = spark.createDataFrame(
+        [(*row, 7, "x") for row in rows + odd], "vec_id int, embedding array<double>, score int, query_id string"
+    )
+    found = topk.top_k(frame)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, found.collect())) == exact_top(rows + [odd[3]])
+
+
+def test_topk_of_repeated_rows_and_ids(spark):
+    rows = [(i % 30 * 10, [1.0, float(i % 7)]) for i in range(60)] + [(50, [1.0, 3.0])] * 3
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(found) == 6 * 5 and all(r["vec_id"] != r["query_id"] for r in found)
