@@ -1,19 +1,17 @@
 """Line dedup by a tree of log templates: lines that recur across documents are dropped.
 
 A line's tokens are what spaces part; a token with a digit, ``@`` or ``://`` is a variable
-field and becomes ``<*>``. A leaf of the tree is a number of tokens and the first LEADING
-tokens. Two kinds of templates are found:
+field and becomes ``<*>``. A leaf of the tree is a number of tokens and the leading tokens, at
+most LEADING and at most half of them. Two kinds of templates are found:
 
 - a line as it reads once its variable fields are masked, if they are at most half of it;
-- a leaf's own template: the tokens are cut into SEGMENTS even parts, and each part is the
-  one that most texts of the leaf have there. Lines that agree with it in ALIKE parts are its
-  instances; parts that differ hold variable fields.
+- within a leaf, lines cut into even parts, at most SEGMENTS, of which a quarter may differ: for
+  each choice of that many parts, the lines that agree in all others are instances of one
+  template. A leaf has as many templates as its lines show, and a line may be of several.
 
-A template is dropped, with all its lines, if it occurs in enough different texts: in
-MIN_TEXTS for lines of LONG tokens and more, in SHORT_TEXTS for shorter ones, which recur by
-chance. Exact copies of a document count as one text, so that copies alone do not make a
-line recur. Lines of fewer than MIN_TOKENS tokens always stay; leaves below LONG tokens have
-no template of their own.
+A template is dropped, with all its lines, if it occurs in MIN_TEXTS different texts, whatever
+its length. Exact copies of a document count as one text, so that copies alone do not make a
+line recur; nor does a template within one text. Blank lines hold no tokens and stay.
 
 The texts are read twice, once for hashes of lines and parts, once to drop lines. Counting is
 by partial sums in two steps (template and text, then template), and joins are on plain
@@ -26,17 +24,18 @@ are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import stash
 
 LEADING = 4
-MIN_TOKENS = 3
-LONG = 8
+#: Different texts that a template is in once it is dropped.
 MIN_TEXTS = 3
-SHORT_TEXTS = 20
-SEGMENTS, ALIKE = 8, 6
+#: Most parts of a line, and of how many parts one may differ.
+SEGMENTS, DIFFER_OF = 8, 4
 
 _FIELD = r"[0-9@]|://"
 _VARIABLE = r"(?<![^ ])(?:[^ 0-9@:]|:(?!//))*+(?:[0-9@]|://)[^ ]*"
@@ -57,15 +56,20 @@ def _placed(docs: DataFrame) -> DataFrame:
     fields = F.size(F.filter(F.split("masked", " "), lambda token: token == "<*>"))
     told = F.when(fields * 2 <= F.size(F.split("masked", " ")), F.col("masked"))
     size = F.size("tokens")
+    count = F.least(size, F.lit(SEGMENTS))
 
     def part(i: int) -> Column:
-        start, end = F.floor(size * i / SEGMENTS), F.floor(size * (i + 1) / SEGMENTS)
-        return F.hash(F.slice("tokens", (start + 1).cast("int"), (end - start).cast("int")))
+        start, end = (F.floor(size * at / count).cast("int") for at in (i, i + 1))
+        return F.when(count > i, F.hash(F.slice("tokens", start + 1, end - start)))
 
     parts = F.array(*(part(i) for i in range(SEGMENTS)))
+    leading = F.least(F.lit(LEADING), F.floor(size / 2).cast("int"))
     return (
-        docs.select(*_known_by(text), F.posexplode(F.split(text, "\n")).alias("place", "col"))
+        # hashed before lines are told apart, so once for each text
+        docs.select(*_known_by(text), F.split(text, "\n").alias("every"))
+        .select(*TEXT, F.posexplode("every").alias("place", "col"))
         .select(*TEXT, "place", line.alias("line"), masked.alias("masked"))
+        .filter(F.col("line") != "")
         .select(*TEXT, "place", F.coalesce(told, "line").alias("masked"))
         .withColumn("tokens", F.split("masked", " "))
         .select(
@@ -73,100 +77,94 @@ def _placed(docs: DataFrame) -> DataFrame:
             "place",
             size.alias("tokens"),
             F.xxhash64("masked").alias("line"),
-            F.xxhash64(size, F.slice("tokens", 1, LEADING)).alias("leaf"),
-            F.when(size >= LONG, parts).alias("parts"),
+            F.xxhash64(size, F.slice("tokens", 1, leading)).alias("leaf"),
+            # shorter lines have no part that may differ
+            F.when(size >= DIFFER_OF, parts).alias("parts"),
         )
     )
 
 
-def _enough(texts: str, tokens: str) -> Column:
-    return F.col(texts) >= F.when(F.col(tokens) >= LONG, MIN_TEXTS).otherwise(SHORT_TEXTS)
-
-
-def _possible_leaves(lines: DataFrame) -> DataFrame:
-    """leaf of the leaves with several different lines; a text may count here for each of them."""
-    held = lines.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("texts").alias("texts"))
-    return stash(held.filter((F.col("different") > 1) & (F.col("texts") >= MIN_TEXTS)).select("leaf"), "leaves")
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(template, line, texts): each line once for every choice of the parts that may differ."""
+    by_count = []
+    for count in range(DIFFER_OF, SEGMENTS + 1):
+        chosen = [
+            F.xxhash64("leaf", F.lit(number), *(F.col("parts")[i] for i in range(count) if i not in left_out))
+            for number, left_out in enumerate(combinations(range(count), count // DIFFER_OF))
+        ]
+        by_count.append(F.when(F.least("tokens", F.lit(SEGMENTS)) == count, F.array(*chosen)))
+    return lines.select(F.explode(F.coalesce(*by_count)).alias("template"), "line", "texts")
 
 
 def _instances(placed: DataFrame, counted: DataFrame) -> DataFrame:
-    """line of the lines that their leaf's template covers and that recur together.
-
-    A text counts once for a part and once for a template, however many of its lines have it.
-    """
-    long_lines = F.col("tokens") >= LONG
-    held = stash(
-        placed.filter(long_lines)
-        .join(_possible_leaves(counted.filter(long_lines)), "leaf", "left_semi")
-        .groupBy("leaf", *TEXT)
-        .agg(F.collect_set(F.struct("line", "parts")).alias("held")),
-        "long",
+    """line of the lines that recur together, as instances of one template."""
+    several = F.count("*") > 1
+    enough = F.sum("texts") >= MIN_TEXTS
+    # where a leaf or a template cannot do, a text counted for each of its lines, none is sought
+    varied = counted.filter(F.col("parts").isNotNull())
+    leaves = varied.groupBy("leaf").agg(several.alias("several"), enough.alias("enough"))
+    leaves = stash(leaves.filter("several and enough").select("leaf"), "leaves")
+    candidates = stash(_signatures(varied.join(leaves, "leaf", "left_semi")), "templates")
+    groups = stash(
+        candidates.groupBy("template")
+        .agg(several.alias("several"), enough.alias("enough"), (F.max("texts") >= MIN_TEXTS).alias("sure"))
+        .filter("several and enough")
+        .select("template", "sure"),
+        "groups",
     )
-
-    def different(i: int) -> Column:
-        return F.array_distinct(F.transform("held", lambda one: one["parts"][i]))
-
-    usual = (
-        held.select("leaf", F.posexplode(F.array(*map(different, range(SEGMENTS)))).alias("at", "found"))
-        .select("leaf", "at", F.explode("found").alias("part"))
-        .groupBy("leaf", "at", "part")
+    # one line in enough texts settles it; other lines are in few texts each, which are told apart
+    open_ = candidates.join(groups.filter("not sure").select("template"), "template").select("template", "line")
+    told = (
+        open_.join(placed.select("line", *TEXT), "line")
+        .groupBy("template", *TEXT)
+        .agg(F.lit(1).alias("one"))
+        .groupBy("template")
         .agg(F.count("*").alias("texts"))
-        .groupBy("leaf", "at")
-        .agg(F.max(F.struct("texts", "part")).alias("most"))
-        .groupBy("leaf")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "most.part"))).alias("usual"))
+        .filter(F.col("texts") >= MIN_TEXTS)
+        .select("template")
     )
+    found = groups.filter("sure").select("template").unionByName(told)
+    return candidates.join(stash(found, "found"), "template", "left_semi").select("line")
 
-    def agreeing(parts: Column) -> Column:
-        same = F.zip_with(parts, "usual", lambda part, most: (part == most["part"]).cast("int"))
-        return F.aggregate(same, F.lit(0), lambda total, one: total + one)
 
-    covered = F.filter("held", lambda one: agreeing(one["parts"]) >= ALIKE)
-    alike = stash(
-        held.join(stash(usual, "usual"), "leaf")
-        .select("leaf", F.transform(covered, lambda one: one["line"]).alias("lines"))
-        .filter(F.size("lines") > 0),
-        "alike",
+def _flags(hits: DataFrame) -> DataFrame:
+    """(text, flags, n_dropped): whether each line of a text is dropped, up to the last that is."""
+    places = F.col("places")
+    before = F.concat(F.array(F.lit(-1)), F.slice(places, 1, F.size(places) - 1))
+    runs = F.zip_with(
+        places, before, lambda at, last: F.concat(F.array_repeat(F.lit(False), at - last - 1), F.array(F.lit(True)))
     )
-    recurring = (
-        alike.groupBy("leaf")
-        .agg(
-            F.count("*").alias("texts"),
-            F.min(F.array_min("lines")).alias("low"),
-            F.max(F.array_max("lines")).alias("high"),
-        )
-        .filter((F.col("low") != F.col("high")) & (F.col("texts") >= MIN_TEXTS))
-        .select("leaf")
+    return (
+        hits.groupBy(*TEXT)
+        .agg(F.sort_array(F.collect_set("place")).alias("places"))
+        .select(*TEXT, F.flatten(runs).alias("flags"), F.size(places).alias("n_dropped"))
     )
-    return alike.join(stash(recurring, "recurring"), "leaf", "left_semi").select(F.explode("lines").alias("line"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """doc_id, text without dropped lines, n_lines, n_dropped of every document."""
     placed = stash(_placed(docs), "placed")
     counted = stash(
-        placed.filter(F.col("tokens") >= MIN_TOKENS)
-        .groupBy("line", "leaf", "tokens", "parts", *TEXT)
+        placed.groupBy("line", "leaf", "tokens", "parts", *TEXT)
         .agg(F.lit(1).alias("one"))
         .groupBy("line", "leaf", "tokens", "parts")
         .agg(F.count("*").alias("texts")),
         "counted",
     )
-    recurring = counted.filter(_enough("texts", "tokens")).select("line")
+    recurring = counted.filter(F.col("texts") >= MIN_TEXTS).select("line")
     dropped = stash(recurring.unionByName(_instances(placed, counted)).distinct(), "dropped")
-    short = F.col("tokens") < MIN_TOKENS
-    hits = stash(placed.filter(~short).select(*TEXT, "place", "line").join(dropped, "line").drop("line"), "hits")
-    places = stash(hits.groupBy(*TEXT).agg(F.collect_set("place").alias("places")), "places")
+    hits = placed.select(*TEXT, "place", "line").join(dropped, "line").drop("line")
+    flags = stash(_flags(stash(hits, "hits")), "flags")
     text = F.coalesce("text", F.lit(""))
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("places", i))
+    kept = F.filter(lines, lambda _, at: ~F.coalesce(F.get("flags", at), F.lit(False)))
     return (
         docs.select("doc_id", text.alias("text"), *_known_by(text))
-        .join(places, TEXT, "left")
+        .join(flags, TEXT, "left")
         .select(
             "doc_id",
-            F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+            F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
             F.size(lines).alias("n_lines"),
-            F.coalesce(F.size("places"), F.lit(0)).alias("n_dropped"),
+            F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"),
         )
     )

@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import time
+from collections import defaultdict
+from itertools import combinations
 
 import xxhash
 from pyspark.sql import functions as F
@@ -356,3 +359,95 @@ def test_many_items_with_one_opening_stay_cheap():
     matches = index.matches(" ".join(filler) + " " + items[7][1])
     assert [(m["item_id"], m["similarity"]) for m in matches] == [(7, 1.0)]
     assert sum(prints * chosen for prints, chosen in seen) < 200_000  # of 15 million windows times items
+
+
+# --- lines: several templates, all lengths, a plain version
+
+
+def test_several_templates_of_one_leaf(spark):
+    """Equally frequent templates that share number and leading tokens, each field a word."""
+    kinds = ["stays at the old pier", "went by the wide bridge", "sat on her red chair"]
+    fields = "ash bay cob dew elm fog gem hay ivy jet".split()
+    for count in (1, 2, 3):
+        texts = [f"my good old friend {word} {kind}" for kind in kinds[:count] for word in fields]
+        rows = lines.clean(docs_of(spark, *texts, "my good old friend nobody ever heard from him")).collect()
+        assert [r["doc_id"] for r in rows if not r["n_dropped"]] == [len(texts) + 1]
+
+
+def test_lines_of_every_length_by_one_rule(spark):
+    often = ["yes", "oh no", "so it goes", "see you later on", "all is well that ends"]
+    texts = [f"{line}\n\n{sentences(7 * n + k, 25)}" for n, line in enumerate(often) for k in range(lines.MIN_TEXTS)]
+    seldom = [f"{line} then\n{sentences(500 + 7 * n + k, 25)}" for n, line in enumerate(often) for k in range(lines.MIN_TEXTS - 1)]
+    rows = lines.clean(docs_of(spark, *texts, *seldom)).collect()
+    found = {r["doc_id"]: r for r in rows}
+    assert [found[i + 1]["text"] for i in range(len(texts))] == ["\n" + t.split("\n\n")[1] for t in texts]
+    assert all(found[len(texts) + i + 1]["n_dropped"] == 0 for i in range(len(seldom)))
+
+
+def plain_lines(texts):
+    """The kept lines of each text, straight from the definitions."""
+    def shape(line):
+        tokens = ["<*>" if re.search(r"[0-9@]|://", token) else token for token in line.split(" ")]
+        tokens = line.split(" ") if tokens.count("<*>") * 2 > len(tokens) else tokens
+        size = len(tokens)
+        count = min(size, lines.SEGMENTS)
+        parts = [tuple(tokens[size * i // count : size * (i + 1) // count]) for i in range(count)]
+        return (size, *tokens[: min(lines.LEADING, size // 2)]), tuple(tokens), parts
+
+    held = defaultdict(set)
+    for text in set(texts):
+        for line in text.split("\n"):
+            if line.strip(" "):
+                held[line.strip(" ")].add(text)
+    exact, groups = defaultdict(set), defaultdict(lambda: (set(), set()))
+    for line, where in held.items():
+        leaf, tokens, parts = shape(line)
+        exact[tokens] |= where
+        if len(parts) >= lines.DIFFER_OF:
+            for out in combinations(range(len(parts)), len(parts) // lines.DIFFER_OF):
+                key = leaf, out, tuple(part for i, part in enumerate(parts) if i not in out)
+                groups[key][0].add(tokens)
+                groups[key][1].update(where)
+    dropped = {tokens for tokens, where in exact.items() if len(where) >= lines.MIN_TEXTS}
+    for kinds, where in groups.values():
+        if len(kinds) > 1 and len(where) >= lines.MIN_TEXTS:
+            dropped |= kinds
+    found = []
+    for text in texts:
+        every = text.split("\n")
+        kept = [x for x in every if not x.strip(" ") or shape(x.strip(" "))[1] not in dropped]
+        found.append(("\n".join(kept), len(every), len(every) - len(kept)))
+    return found
+
+
+def test_lines_equal_a_plain_version(spark):
+    draw = random.Random(21)
+    words = "go to it and be at my 7 x9".split()
+    texts = []
+    for _ in range(150):
+        size = draw.choice([1, 2, 3, 4, 5, 7, 8, 9, 17])
+        made = [" ".join(draw.choices(words[: draw.choice([2, 3, 9])], k=draw.choice([size, size, 0]))) for _ in range(draw.randrange(1, 6))]
+        texts.append("\n".join(made))
+    texts += texts[:20]
+    rows = {r["doc_id"]: r for r in lines.clean(docs_of(spark, *texts)).collect()}
+    assert [tuple(rows[i + 1])[1:] for i in range(len(texts))] == plain_lines(texts)
+    assert 20 < sum(rows[i + 1]["n_dropped"] > 0 for i in range(len(texts))) < 170
+
+
+def test_a_text_of_very_many_lines_takes_linear_time(spark):
+    common = [f"this very line is in three texts as number {chr(97 + n % 26)}{chr(97 + n // 26 % 26)}" for n in range(600)]
+    took = []
+    for count in (20_000, 80_000):
+        long = "\n".join(common[n % 600] if n % 2 else f"line {sentences(1, 3)} of mine" for n in range(count))
+        docs = docs_of(spark, long, "\n".join(common), "\n".join(common[::-1]))
+        started = time.monotonic()
+        row = lines.clean(docs).filter("doc_id = 1").first()
+        took.append(time.monotonic() - started)
+        assert (row["n_lines"], row["n_dropped"]) == (count, count // 2)
+    assert took[1] < 4 * took[0] + 5
+
+
+def test_repeated_ids_null_ids_and_clashing_columns_of_lines(spark):
+    rows = [(1, "a b\nc", 5, "t"), (1, "a b\nc", 5, "t"), (1, "a b\nd", 6, "u"), (None, "a b\ne", 7, None), (2, None, 1, "x")]
+    found = lines.clean(spark.createDataFrame(rows, "doc_id int, text string, line int, place string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found.collect()) == [(0, "e"), (1, "c"), (1, "c"), (1, "d"), (2, "")]
