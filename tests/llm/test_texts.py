@@ -1,12 +1,14 @@
 """SimHash, line dedup, decontamination, secrets and HTML against brute force, and odd rows."""
 
 import hashlib
+import html as entities
 import random
 import re
 import time
 from collections import defaultdict
 from itertools import combinations
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -451,3 +453,91 @@ def test_repeated_ids_null_ids_and_clashing_columns_of_lines(spark):
     rows = [(1, "a b\nc", 5, "t"), (1, "a b\nc", 5, "t"), (1, "a b\nd", 6, "u"), (None, "a b\ne", 7, None), (2, None, 1, "x")]
     found = lines.clean(spark.createDataFrame(rows, "doc_id int, text string, line int, place string"))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in found.collect()) == [(0, "e"), (1, "c"), (1, "c"), (1, "d"), (2, "")]
+
+
+# --- HTML: lists, tables and headings inside articles, names, long pages, a plain version
+
+PARAGRAPHS = "".join(f"<p>{f'Sentence {i} is long enough, and it goes on. ' * 12}</p>" for i in range(10))
+MENU = "<div><ul>" + "".join(f"<li><a href='/{i}'>Menu {i}</a></li>" for i in range(9)) + "</ul></div>"
+
+
+@pytest.mark.parametrize("size", [8, 20, 40, 80])
+@pytest.mark.parametrize("outer", ["article", "div", "main class=story", ""])
+def test_short_blocks_inside_an_article_stay(size, outer):
+    items = "".join(f"<li>point {i} {'x' * (size - 8)}</li>" for i in range(6)) + "<li><a>a linked point</a></li>"
+    table = "<table><tr><th>Name</th><th>Worth</th></tr>" + "<tr><td>key</td><td>cell</td></tr>" * 5 + "</table>"
+    body = (
+        f"<h2><a href='x'>A linked heading</a></h2>{PARAGRAPHS}<ul>{items}</ul>{table}"
+        f"<section id='ad-hoc-methods'><h3>Methods</h3><p>Short.</p></section><blockquote>Said so.</blockquote>{PARAGRAPHS}"
+    )
+    opened, closed = (f"<{outer}>", f"</{outer.split()[0]}>") if outer else ("", "")
+    text = html.main_text(f"<html><body>{MENU}{opened}{body}{closed}<div class='site-footer'>The end</div></body></html>")
+    for kept in ("A linked heading", "point 5", "a linked point", "Name Worth key cell", "Methods Short.", "Said so."):
+        assert kept in text
+    assert "Menu" not in text and "The end" not in text
+    assert text.count("Sentence 3 is long") == 24
+
+
+def test_menus_of_links_inside_an_article_go():
+    text = html.main_text(f"<article>{PARAGRAPHS}{MENU}<ul><li><a>All</a></li><li><a>links</a></li></ul></article>")
+    assert "Menu" not in text and "links" not in text and "Sentence 9" in text
+
+
+@pytest.mark.parametrize(
+    ("name", "goes"),
+    [("ad", 1), ("ad-1", 1), ("AdSlot", 1), ("comment-list", 1), ("post_comments", 1), ("sidebar-left", 1), ("cookieBanner", 1)]
+    + [("ad-hoc-methods", 0), ("add", 0), ("social-history", 0), ("related-work", 0), ("share-prices", 0), ("notice2board-game", 0)],
+)
+def test_names_count_as_a_whole(name, goes):
+    text = html.main_text(f"<article>{PARAGRAPHS}<div class='x {name}'>Here is more text, and more.</div></article>")
+    assert ("Here is more" in text) == (not goes)
+
+
+def test_smoothing_equals_all_pairs():
+    draw = random.Random(31)
+    for _ in range(30):
+        page = html.Page()
+        elements = [0]
+        for _ in range(draw.randrange(1, 40)):
+            elements.append(page.open(draw.choice(elements), "div", f"div.{draw.randrange(6)}"))
+        size = len(page.parent)
+        values, held = [draw.random() for _ in range(size)], [draw.random() < 0.6 for _ in range(size)]
+
+        def path(node, page=page):
+            return [node] if node == 0 else [*path(page.parent[node]), node]
+
+        found = html.smoothed(page, values, held)
+        for one in range(size):
+            total = weight = 0.0
+            for other in range(size):
+                if held[other]:
+                    shared = sum(a == b for a, b in zip(path(one), path(other), strict=False))
+                    part = html.FALL ** (len(path(one)) + len(path(other)) - 2 * shared)
+                    total, weight = total + part * values[other], weight + part
+            assert abs(found[one] - (total / weight if weight else 0.0)) < 1e-9
+
+
+def test_pages_of_many_paths_take_linear_time():
+    def page(n):
+        wide = "".join(f"<div class='c{i}'><p>word, and more words here {i}.</p></div>" for i in range(n))
+        return f"<article>{wide}</article>" + "<div>" * n + "word, text.</p></span>" * n
+
+    took = []
+    for n in (5_000, 20_000):
+        started = time.monotonic()
+        text = html.main_text(page(n))
+        took.append(time.monotonic() - started)
+        assert text.count("and more words here") == n
+    assert took[1] < 10
+
+
+def test_given_pages_keep_their_articles_whole(spark):
+    """What the pages have in their articles, by a plain reading of their few kinds of markup."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect()
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    for page in pages:
+        (inside,) = re.findall(r"<article>(.*?)</article>", page["html"], re.DOTALL)
+        inside = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>|<(div|aside|form|section)\b[^>]*class.*?</\2>", "", inside, flags=re.DOTALL)
+        plain = re.sub(r"</?b>", "", inside)
+        plain = " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", plain)).split())
+        assert found[page["page_id"]] == plain
