@@ -2,6 +2,7 @@
 
 import hashlib
 import html as entities
+import math
 import random
 import re
 import time
@@ -541,3 +542,137 @@ def test_given_pages_keep_their_articles_whole(spark):
         plain = re.sub(r"</?b>", "", inside)
         plain = " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", plain)).split())
         assert found[page["page_id"]] == plain
+
+
+# --- secrets: random spans against a plain version, power by encoding and length
+
+
+def plain_random(texts):
+    """(text, start, end) of the random spans, string by string from the definitions."""
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    pairs = [[0] * 26 for _ in lower]
+    for text in texts:
+        for a, b in zip(text, text[1:], strict=False):
+            if a.isascii() and b.isascii() and a.isalpha() and b.isalpha():
+                pairs[lower.index(a.lower())][lower.index(b.lower())] += 1
+    total = sum(map(sum, pairs))
+    share = [(sum(row[b] for row in pairs) + 1) / (total + 26) for b in range(26)]
+
+    def kind(c):
+        return 0 if c in lower else 1 if c in lower.upper() else 2 if c in "0123456789" else 3
+
+    def ratio(run):
+        sizes = [len(a) for a in secrets.ENCODINGS if set(run) <= set(a)]
+        if not sizes:
+            return -math.inf
+        random_ = math.log10(sum(float(size) ** -len(run) for size in sizes) / len(secrets.ENCODINGS))
+        natural = 0.0
+        for before, after in zip([None, *run], run, strict=False):
+            chance = secrets.KINDS_FOLLOW[4 if before is None else kind(before)][kind(after)]
+            if kind(after) < 2:
+                letter = lower.index(after.lower())
+                if before is not None and kind(before) < 2:
+                    row = pairs[lower.index(before.lower())]
+                    prior = secrets.PAIRS_PRIOR
+                    chance *= (row[letter] + prior * share[letter]) / (sum(row) + prior)
+                else:
+                    chance *= share[letter]
+            else:
+                chance /= 10 if kind(after) == 2 else 4
+            natural += math.log10(chance)
+        return random_ - natural
+
+    tested, chosen = [], []
+    for n, text in enumerate(texts):
+        known = [m.span() for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 8]
+        known += [m.span() for p in (secrets.ACCESS, secrets.HEX) for m in p.finditer(text)]
+        tested += [len(m[0]) for m in re.finditer("[A-Za-z0-9]+", text)]
+        for joined in re.finditer(r"[A-Za-z0-9]+(?:[+/_-]+[A-Za-z0-9]+)*", text):
+            inner = [(joined.start() + m.start(), joined.start() + m.end()) for m in re.finditer("[A-Za-z0-9]+", joined[0])]
+            scored = [(ratio(text[a:b]), a, b) for a, b in inner]
+            wholes = set()
+            for family in ("+/", "-_"):
+                for m in re.finditer(f"[A-Za-z0-9]+(?:[{re.escape(family)}]+[A-Za-z0-9]+)+", joined[0]):
+                    a, b = joined.start() + m.start(), joined.start() + m.end()
+                    best = max(r for r, x, y in scored if a <= x and y <= b)
+                    if ratio(m[0]) >= max(2.0, secrets.WHOLE_FROM * max(0.0, best)):
+                        wholes.add((-ratio(m[0]), a, b))
+            for value, a, b in sorted(wholes):
+                if all(y <= a or b <= x for _, x, y in scored if (x, y) not in inner):
+                    scored = [one for one in scored if one[2] <= a or b <= one[1]] + [(-value, a, b)]
+            for value, a, b in scored:
+                if value >= 2 and b - a >= 4 and not any(x < b and a < y for x, y in known):
+                    run = text[a:b]
+                    taken = secrets.PENALTY * min(0.0, math.log10(max(secrets.battery(run), 1e-300) / secrets.SUSPECT))
+                    step = math.floor((min(value, secrets.against_sequence(run)) + taken) * secrets.STEPS)
+                    if step > 0:
+                        chosen.append((step, n, a, b))
+    mean = sum(tested) / len(tested)
+    weighted = [(math.floor(s + secrets.STEPS * math.log10((b - a) / mean)), n, a, b) for s, n, a, b in chosen]
+    least = math.inf
+    for step in {w[0] for w in weighted}:
+        through = sum(w[0] >= step for w in weighted)
+        if 10 ** (-step / secrets.STEPS) <= secrets.FALSE_RATE * through / len(tested):
+            least = min(least, step)
+    return sorted((n, a, b) for step, n, a, b in weighted if step >= least)
+
+
+def random_keys(seed, letters, size, count):
+    draw = random.Random(seed)
+    return ["".join(draw.choices(letters, k=size)) for _ in range(count)]
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "base32": LETTERS.upper() + "234567",
+    "base36": "0123456789" + LETTERS,
+    "base62": "0123456789" + LETTERS + LETTERS.upper(),
+    "base64": "0123456789" + LETTERS + LETTERS.upper() + "+/",
+}
+
+
+def test_random_spans_equal_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SLICE", 700)
+    texts = [sentences(i, 150) for i in range(25)]
+    for n, (_, letters) in enumerate(sorted(ALPHABETS.items())):
+        for size in (6, 12, 20, 28):
+            key = random_keys(n * 100 + size, letters, size, 1)[0]
+            texts[n] += f" é {key} and (https://x.org/my-page/{key}/a_b) {key}-{key[::-1]}"
+    texts[9] += " token=abcdefgh1234 LICENSE_HEADER getElementsByTagName2 abcdefghijklmnop0123456789 12345678901234567890"
+    rows = secrets.scan(docs_of(spark, *texts)).collect()
+    found = []
+    for row in rows:
+        for span in filter(None, row["spans"].split(",")):
+            kind, start, end = span.split(":")
+            if kind == "random":
+                found.append((row["doc_id"] - 1, int(start), int(end)))
+    assert sorted(found) == plain_random(texts)
+    assert len(found) > 30
+
+
+def test_secrets_power_and_false_rate(spark):
+    """Keys from 20 characters on are found, in paths too, and natural names are left alone."""
+    keys = {name: random_keys(9, letters, 20, 40) + random_keys(8, letters, 32, 40) for name, letters in ALPHABETS.items()}
+    texts = [f"{sentences(i, 60)} https://h.org/some-page/of_it/{key}/edit" for name in keys for i, key in enumerate(keys[name])]
+    texts += [f"{sentences(1000 + i, 60)} getElementById{i} page-{i}-of_9 VERSION_{i} 2024010112000{i:02}" for i in range(99)]
+    rows = sorted(secrets.scan(docs_of(spark, *texts)).collect(), key=lambda r: r["doc_id"])
+    wanted = [key for name in keys for key in keys[name]]
+    hits = 0
+    for row, text, key in zip(rows, texts, wanted, strict=False):
+        spans = [span.split(":") for span in filter(None, row["spans"].split(","))]
+        # a sign that is also the path's may part a base64 key; the longer part is found
+        found = [text[int(a) : int(b)] for _, a, b in spans]
+        hits += key in found if key.isalnum() else any(part in key or key in part for part in found)
+    assert hits > 0.98 * len(wanted)
+    assert sum(row["n_random"] for row in rows[len(wanted) :]) == 0
+
+
+def test_secrets_of_long_and_repeated_texts(spark):
+    key = random_keys(1, ALPHABETS["base62"], 40, 1)[0]
+    long = f"{'plain words here ' * 150_000}{key} {'more words ' * 10}"
+    rows = [(1, long, "t"), (2, long, "t"), (2, long, "t"), (None, None, None), (3, "w" * 500_000, "u")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id int, text string, spans string")).collect()
+    start = long.index(key)
+    assert [r["spans"] for r in found if r["doc_id"] in (1, 2)] == [f"random:{start}:{start + 40}"] * 3
+    assert [r["spans"] for r in found if r["doc_id"] not in (1, 2)] == ["", ""]
