@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import stash
+from tallyspark.llm.common import discard, stash
 
 
 def _pointers(links: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def _pointers(links: DataFrame) -> DataFrame:
             "node", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")
         )
         followed = stash(followed, "followed")
+        discard(pointers)
         pointers = followed.select("node", "parent")
         if followed.filter("moved").isEmpty():
             return pointers
@@ -47,6 +48,7 @@ def components(links: DataFrame) -> DataFrame:
         pointers = _pointers(links)
         a = pointers.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         b = pointers.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+        before = links
         links = stash(
             links.join(a, "a")
             .join(b, "b")
@@ -55,16 +57,20 @@ def components(links: DataFrame) -> DataFrame:
             .distinct(),
             "links",
         )
+        discard(before)
         if found is None:
             found = pointers.select("node", F.col("parent").alias("root"))
         else:
             later = pointers.select(F.col("node").alias("root"), F.col("parent").alias("end"))
+            known = found
             found = stash(
                 found.join(later, "root", "left").select(
                     "node", F.coalesce("end", "root").alias("root")
                 ),
                 "found",
             )
+            discard(known)
+            discard(pointers)
     if found is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found

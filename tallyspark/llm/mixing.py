@@ -107,10 +107,8 @@ def _renamed(prefix: str, names: tuple[str, ...] = LEVELS) -> list[Column]:
 
 def leaf_budgets(leaves: DataFrame, budget: tuple[int, int] = BUDGET, epochs: int = EPOCHS) -> DataFrame:
     """Adds budget to leaves (levels, rows, tokens); leaves that get nothing are left out."""
-    root = F.sum("tokens").over(Window.partitionBy()) * F.lit(budget[0])
-    tree = leaves.withColumn("parent_budget", root).withColumn(
-        "parent_budget", F.expr(f"parent_budget div {budget[1]}")
-    )
+    root = leaves.agg(F.expr(f"sum(tokens) * {budget[0]} div {budget[1]}")).scalar()
+    tree = leaves.withColumn("parent_budget", root)
     for depth, level in enumerate(LEVELS):
         node = LEVELS[: depth + 1]
         nodes = tree.groupBy(*node).agg(

@@ -54,7 +54,7 @@ def shape(word: str) -> str:
             return "9"
         return "A" if run[4].isupper() else "a"
 
-    return re.sub(r"a+", "a", re.sub(r"A+", "A", _RUNS.sub(sign, word)))[:16]
+    return re.sub(r"a+", "a", re.sub(r"A+", "A", _RUNS.sub(sign, word)))
 
 
 def _both(word: str) -> bytes:
@@ -133,7 +133,9 @@ def fit(
     training = F.lit(True) if in_training is None else in_training
     sample = labelled_sample(labels, label, training, rows)
     ship(docs.sparkSession)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # rows that repeat a labelled id are one training row, the one of the smallest text
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def fit_shards(shards):
         for number, shard in _gathered(shards):
@@ -147,7 +149,7 @@ def fit(
         F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(SHARDS)).cast("int").alias("shard"),
         F.xxhash64(F.lit("order"), "doc_id").alias("order"),
         "doc_id",
-        F.coalesce("text", F.lit("")).alias("text"),
+        "text",
         "label",
     )
     fitted = placed.repartition(SHARDS, "shard").mapInPandas(

@@ -135,14 +135,16 @@ def keep_first(docs: DataFrame) -> DataFrame:
         .select("row.doc_id", "row.row_hash"),
         "chosen",
     )
-    here, there = docs.withColumn("__row_hash", row_hash), chosen.alias("chosen")
+    name = "row_hash"
+    while name in docs.columns:
+        name += "_"
+    here, there = docs.withColumn(name, row_hash), chosen.alias("chosen")
     kept = here.join(
         there,
-        here["doc_id"].eqNullSafe(F.col("chosen.doc_id"))
-        & (here["__row_hash"] == F.col("chosen.row_hash")),
+        here["doc_id"].eqNullSafe(F.col("chosen.doc_id")) & (here[name] == F.col("chosen.row_hash")),
         "left_semi",
     )
     repeated = prints.groupBy("doc_id", "row_hash").count().filter("count > 1")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__row_hash"])
-    return kept.drop("__row_hash")
+        kept = kept.dropDuplicates(["doc_id", name])
+    return kept.drop(name)

@@ -1,6 +1,7 @@
 """The pipeline behind the trained classifier against brute force."""
 
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -56,3 +57,45 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         start += len(ids)
     rows = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
     assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows] == expected
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, empty and very long texts, extra and clashing columns."""
+    good = spark.read.parquet(f"{GIVEN}/documents.parquet").filter("doc_id < 40")
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (None, "", "en", "s1", 0), (7_001, "", None, "s1", 0)]
+        + [(7_002, "one more text, quite short.", "en", None, 5)] * 3
+        + [(7_003, "A long text goes on, and on it goes. " * 20_000, "en", "s9", 9)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    typed = odd.select([F.col(c).cast(good.schema[c].dataType) for c in good.columns])
+    docs = good.unionByName(typed)
+    for name in ("__row_hash", "row_hash", "fp", "root", "label", "words", "bucket", "order", "budget", "row"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{GIVEN}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for count in (docs.count(), 0):
+        rows = docs.limit(count)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, rows, str(tmp_path))
+            assert kept.columns == docs.columns
+            found = kept.collect()
+            assert not Counter(found) - Counter(rows.collect())
+            rows = spark.createDataFrame(found, docs.schema)
+        written = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path))
+        assert written.count() == rows.count()
+
+
+def test_shapes_are_hashed_whole():
+    assert quality.shape("Hello,") == "Aa,"
+    long = "a1" * 40
+    assert quality.shape(long + "X") != quality.shape(long + "y9")
+
+
+def test_repeated_ids_are_one_training_row(spark):
+    rows = [(n, f"good words {n} here", 1) if n % 2 else (n, f"bad stuff {n} there", 0) for n in range(60)]
+    labels = spark.createDataFrame([(n, q) for n, _, q in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    repeated = docs.unionByName(docs.filter("doc_id = 4")).unionByName(spark.createDataFrame([(4, "bad z")] * 50, docs.schema))
+    one, two = (quality.fit(frame, labels) for frame in (docs, repeated))
+    assert np.array_equal(one.weights, two.weights) and one.intercept == two.intercept
