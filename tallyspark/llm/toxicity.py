@@ -17,8 +17,8 @@ Votes fall with distance, are pulled towards the rate of label 1, and are calibr
 regression on the examples, each scored without itself. ``evidence`` lists the neighbours.
 
 Memory: the index is bounded by ``EXAMPLE_ROWS``; it is sent to the tasks, which hold one Arrow
-batch of texts beside it. Documents are neither shuffled nor stored, but read twice: to count
-words and to score.
+batch of texts beside it. Documents are not shuffled: each becomes its known terms and their
+counts once, which are put down, counted and scored.
 
 Defined results: a null, empty or wordless text, and one without any word of an example,
 has no neighbours and scores the calibrated base rate; without labelled rows every score is
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import labelled_sample, per_value, remainder, ship, spread, stash
+from tallyspark.llm.common import labelled_sample, remainder, ship, spread, stash
 
 #: Bound on the labelled rows that examples are taken from.
 EXAMPLE_ROWS = 3_000
@@ -53,7 +53,7 @@ TOXIC_FROM = 0.3
 BLOCK, FIRST_BLOCKS = 128, 2
 
 _WORD = re.compile(r"[^\W\d_]+")
-SCORED = "array<struct<score:double,evidence:array<struct<doc_id:bigint,cosine:double,label:int>>>>"
+SCORED = "doc_id long, score double, evidence array<struct<doc_id:bigint,cosine:double,label:int>>"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -118,44 +118,51 @@ class BlockMaxIndex:
         return list(zip(cosines[hits].tolist(), hits.tolist(), strict=True))
 
 
+#: Terms of a text, ascending, and how often it has each.
+Counts = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Model:
-    """Terms with their weights, the index, its labels and document ids, the base rate."""
+    """Weights of terms, the index, its labels and document ids, the base rate."""
 
-    terms: dict[str, int]
     weight: np.ndarray
     index: BlockMaxIndex
     labels: np.ndarray
     ids: np.ndarray
     base: float
 
-    def votes(self, text: str | None, without: int | None = None) -> tuple[float, list[tuple[float, int]]]:
+    def votes(self, found: Counts, without: int | None = None) -> tuple[float, list[tuple[float, int]]]:
         """The share of label 1 among the votes, and the neighbours."""
-        vector = unit(counted(text, self.terms), self.weight)
-        near = self.index.nearest_to(*vector, NEIGHBOURS + (without is not None))
+        near = self.index.nearest_to(*unit(found, self.weight), NEIGHBOURS + (without is not None))
         near = [pair for pair in near if pair[1] != without][:NEIGHBOURS]
         weights = np.array([cosine**FALL for cosine, _ in near])
         voted = float(weights @ self.labels[[n for _, n in near]]) if near else 0.0
         return (voted + BASE_VOTES * self.base) / (weights.sum() + BASE_VOTES), near
 
-    def score(self, text: str | None, knots: tuple[np.ndarray, np.ndarray]) -> list[dict]:
-        """One row: the calibrated score and the neighbours with their cosines."""
-        share, near = self.votes(text)
-        calibrated = float(np.interp(share, *knots)) if len(knots[0]) else share
-        evidence = [
-            {"doc_id": int(self.ids[n]), "cosine": cosine, "label": int(self.labels[n])}
-            for cosine, n in near
-        ]
-        return [{"score": min(1.0, max(0.0, calibrated)), "evidence": evidence}]
-
-
-def counted(text: str | None, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def scored(self, found: Iterator[Counts], knots: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, pa.Array]:
+        """The calibrated scores, and the neighbours with their cosines, of texts in turn."""
+        shares, cosines, numbers, ends = [], [], [], [0]
+        for one in found:
+            share, near = self.votes(one)
+            shares.append(share)
+            cosines += [cosine for cosine, _ in near]
+            numbers += [number for _, number in near]
+            ends.append(len(numbers))
+        scores = np.interp(shares, *knots) if len(knots[0]) else np.array(shares)
+        at = np.array(numbers, np.int64)
+        columns = [pa.array(self.ids[at]), pa.array(cosines, pa.float64()), pa.array(self.labels[at].astype(np.int32))]
+        evidence = pa.StructArray.from_arrays(columns, ["doc_id", "cosine", "label"])
+        return pa.array(np.clip(scores, 0.0, 1.0)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), evidence)
+
+
+def counted(text: str | None, terms: dict[str, int]) -> Counts:
     """The known terms of a text, ascending, and how often it has each."""
     found = [terms[word] for word in words_of(text) if word in terms]
     return np.unique(np.array(found, np.int64), return_counts=True)
 
 
-def unit(found: tuple[np.ndarray, np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit(found: Counts, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     terms, counts = found
     raw = (1.0 + np.log(counts)) * weight[terms]
     norm = math.sqrt(float(raw @ raw))
@@ -183,35 +190,65 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] for p in pools])
 
 
-def document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
-    """How many documents there are, and how many of them have each term."""
-    spark = docs.sparkSession
-    shared, size = spark.sparkContext.broadcast(terms), len(terms)
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    flat = np.concatenate(values) if values else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
+
+
+def _parted(lists: pa.Array) -> list[np.ndarray]:
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def known_terms(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """(doc_id, terms, counts): what each text has of the terms."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size + 1, np.int64)
         known = shared.value
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held[[known[word] for word in set(words_of(text)) if word in known]] += 1
-            held[size] += len(batch)
+            found = [counted(text, known) for text in batch.column(1).to_pylist()]
+            lists = [_lists([one[side] for one in found]) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "terms", "counts"])
+
+    columns = "doc_id long, terms array<int>, counts array<int>"
+    return docs.select("doc_id", "text").mapInArrow(count, columns)
+
+
+def document_counts(found: DataFrame, terms: int) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many of them have each term."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(terms + 1, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            held[:terms] += np.bincount(flat, minlength=terms)[:terms]
+            held[terms] += len(batch)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["term", "held"])
 
     # a task sends a row for each term it has met; the sums are as many as the terms
-    partial = docs.select("text").mapInArrow(count, "term long, held long")
+    partial = found.select("terms").mapInArrow(count, "term long, held long")
     sums = partial.groupBy("term").agg(F.sum("held").alias("held")).toPandas()
-    held = np.zeros(size + 1, np.int64)
+    held = np.zeros(terms + 1, np.int64)
     held[sums["term"].to_numpy(np.int64)] = sums["held"].to_numpy(np.int64)
-    return int(held[size]), held[:size]
+    return int(held[terms]), held[:terms]
+
 
+def vocabulary(examples: list[tuple[int, str, int]]) -> dict[str, int]:
+    """The number of every word of the examples."""
+    return {word: n for n, word in enumerate(sorted({w for _, text, _ in examples for w in words_of(text)}))}
 
-def fit(docs: DataFrame, examples: list[tuple[int, str, int]]) -> Model:
+
+def fit(
+    found: DataFrame, examples: list[tuple[int, str, int]], terms: dict[str, int]
+) -> Model:
     """The model of examples (doc_id, text, label), with word counts over all documents."""
-    words = [Counter(words_of(text)) for _, text, _ in examples]
-    commonest = Counter(word for found in words for word in found)
-    terms = {word: place for place, word in enumerate(sorted(commonest))}
-    total, held = document_counts(docs, terms)
+    counts = [counted(text, terms) for _, text, _ in examples]
+    commonest = np.bincount(np.concatenate([np.empty(0, np.int64), *(at for at, _ in counts)]), minlength=len(terms))
+    total, held = document_counts(found, len(terms))
     labels = np.array([label for _, _, label in examples], float)
     # a text that several examples share counts once for the relevance of its words
     once: dict[str, int] = {}
@@ -220,7 +257,7 @@ def fit(docs: DataFrame, examples: list[tuple[int, str, int]]) -> Model:
             once[text] = number
     texts, toxic = np.zeros(len(terms)), np.zeros(len(terms))
     for number in once.values():
-        at = [terms[word] for word in words[number]]
+        at = counts[number][0]
         texts[at] += 1
         toxic[at] += labels[number]
     rate = float(labels.mean()) if examples else 0.0
@@ -229,13 +266,14 @@ def fit(docs: DataFrame, examples: list[tuple[int, str, int]]) -> Model:
 
     def place(number: int) -> tuple:
         # the commonest word comes first, and with it the language
-        return max(((commonest[w], w) for w in words[number]), default=(0, "")), number
+        at = counts[number][0]
+        return (int(at[np.argmax(commonest[at])]), number) if len(at) else (-1, number)
 
     order = sorted(range(len(examples)), key=place)
-    units = [unit(counted(examples[n][1], terms), weight) for n in order]
+    units = [unit(counts[n], weight) for n in order]
     vectors = [dict(zip(found.tolist(), values.tolist(), strict=True)) for found, values in units]
     ids = np.array([examples[n][0] for n in order], np.int64)
-    return Model(terms, weight, BlockMaxIndex(vectors, len(terms)), labels[order], ids, rate)
+    return Model(weight, BlockMaxIndex(vectors, len(terms)), labels[order], ids, rate)
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
@@ -247,32 +285,37 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     known = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     examples = sorted((row["doc_id"], row["text"], row["label"]) for row in known.collect())
-    model = fit(texts, examples)
+    terms = vocabulary(examples)
+    found = stash(known_terms(texts, terms), "terms")
+    model = fit(found, examples, terms)
     shared = spark.sparkContext.broadcast(model)
     knots = (np.empty(0), np.empty(0))
     if examples:
         place = {int(doc_id): n for n, doc_id in enumerate(model.ids)}
-        rows = [(place[doc_id], text) for doc_id, text, _ in examples]
-        tasks = spark.createDataFrame(rows, "n long, text string").repartition(
+        rows = [(place[doc_id], *(side.tolist() for side in counted(text, terms))) for doc_id, text, _ in examples]
+        tasks = spark.createDataFrame(rows, "n long, terms array<int>, counts array<int>").repartition(
             max(1, min(len(rows) // 50, 2 * spark.sparkContext.defaultParallelism))
         )
 
         def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                voted = [shared.value.votes(text, without=n)[0] for n, text in pairs]
+                parts = zip(batch.column(0).to_pylist(), *map(_parted, batch.columns[1:]), strict=True)
+                voted = [shared.value.votes(one, without=n)[0] for n, *one in parts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(voted, pa.float64())], ["n", "share"])
 
-        found = tasks.mapInArrow(shares, "n long, share double").toPandas()
-        knots = isotonic(found["share"].to_numpy(), model.labels[found["n"].to_numpy(np.int64)])
+        told = tasks.mapInArrow(shares, "n long, share double").toPandas()
+        knots = isotonic(told["share"].to_numpy(), model.labels[told["n"].to_numpy(np.int64)])
 
-    def scored(text: str | None) -> list[dict]:
-        return shared.value.score(text, knots)
+    def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = zip(*map(_parted, batch.columns[1:]), strict=True)
+            columns = [batch.column(0), *shared.value.scored(parts, knots)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence"])
 
-    return texts.select("doc_id", per_value(scored, SCORED)("text")[0].alias("s")).select(
+    return found.mapInArrow(score_all, SCORED).select(
         "doc_id",
         F.coalesce(fold == 2, F.lit(False)).alias("held_out"),
-        "s.score",
-        (F.col("s.score") >= TOXIC_FROM).cast("int").alias("predicted"),
-        "s.evidence",
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        "evidence",
     )
