@@ -258,4 +258,7 @@ ORACLES: dict[str, str] = {
                CAST(sum(times) - count(DISTINCT id) AS BIGINT) AS total_skip,
                4::BIGINT AS chunk_count
         FROM fed""",
+    "footer_bounds": f"""{_WITH}
+        SELECT status, min(id) AS min_id, max(id) AS max_id, count(*) AS row_count
+        FROM o GROUP BY status""",
 }

@@ -30,7 +30,7 @@ from tallyspark.schema import (
     SETTLEMENTS,
 )
 from tallyspark.session import scratch_folder
-from tallyspark.sources import fixtures, generate, tables
+from tallyspark.sources import fixtures, footers, generate, tables
 from tallyspark.sources.fixtures import SETTLED_AT
 from tallyspark.streaming import incremental, keyed
 from tallyspark.streaming import runlog as stream_log
@@ -212,6 +212,13 @@ def confirmed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.confirmed_bounds(fixtures.confirmed_orders(spark, sf_dir))
 
 
+def footer_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds and number of the orders of each status, from the footers of stored orders."""
+    folder = scratch_folder(spark, "by-status")
+    footers.write_by_status(fixtures.orders(spark, sf_dir), folder)
+    return footers.status_bounds(spark, folder)
+
+
 def order_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.order_count(fixtures.orders(spark, sf_dir))
 
@@ -378,6 +385,7 @@ QUERIES: dict[str, Query] = {
         rejected_orders,
         reset_orders,
         confirmed_bounds,
+        footer_bounds,
         order_count,
         range_partitions,
         partition_stats,
