@@ -25,14 +25,15 @@ def settle_orders(orders: DataFrame, keys: DataFrame, key: str = "order_id") ->
 
 
 def latest_per_id(rows: DataFrame, sequence: str) -> DataFrame:
-    """Of several rows with one id the one with the highest ``sequence``.
+    """Of several rows with one id the one with the highest ``sequence``; of equal ones the one
+    with the highest values, column by column, so that runs agree.
 
-    ``max_by`` combines within each map task, so a hot id shuffles as one row per task.
+    The maximum combines within each map task, so a hot id shuffles as one row per task.
     """
     names = [c for c in rows.columns if c not in ("id", sequence)]
     return (
         rows.groupBy("id")
-        .agg(F.max_by(F.struct(*names), sequence).alias("latest"))
+        .agg(F.max(F.struct(sequence, *names)).alias("latest"))
         .select("id", *[F.col("latest")[c].alias(c) for c in names])
     )
 

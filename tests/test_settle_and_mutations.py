@@ -165,3 +165,11 @@ def test_upsert_refuses_a_row_without_an_id(spark, make_orders):
 def test_numbering_refuses_a_null_key(spark):
     with pytest.raises(Exception, match="id is null"):
         number_rows(spark.createDataFrame([(1,), (None,)], "id long")).collect()
+
+
+def test_versions_of_one_sequence_number_are_decided_by_their_values(spark):
+    rows = [(1, 7, 100, "A"), (1, 7, 300, "B"), (1, 7, 200, "C"), (1, 6, 900, "D"), (2, None, 5, "E")]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "id long, version long, amount long, status string").repartition(3)
+        latest = sorted(tuple(r) for r in latest_per_id(frame, "version").collect())
+        assert latest == [(1, 300, "B"), (2, 5, "E")]
