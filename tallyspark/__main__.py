@@ -7,9 +7,16 @@ import datetime as dt
 
 from pyspark.sql import SparkSession
 
-from tallyspark.operators.runlog import run_report
+from tallyspark.operators.runlog import status_report
 from tallyspark.plans.cases import CASES, run_case, seed_orders
-from tallyspark.schema import GRID_SIZE, INSERT_COUNT, STEP_EXECUTIONS
+from tallyspark.schema import (
+    COMPLETED,
+    FAILED,
+    GRID_SIZE,
+    INSERT_COUNT,
+    JOB_EXECUTIONS,
+    STEP_EXECUTIONS,
+)
 from tallyspark.session import SETTINGS
 from tallyspark.sources.tables import append_batch, drop_old_versions, next_batch, read_batches
 
@@ -36,15 +43,25 @@ def main(arguments: list[str] | None = None) -> None:
     if chosen.orders:
         seed_orders(spark, chosen.tables, chosen.orders, settled_at)
     steps = f"{chosen.tables}/steps"
-    first = next_batch(spark, steps)
+    jobs = f"{chosen.tables}/jobs"
+    first = max(next_batch(spark, steps), next_batch(spark, jobs))
     for batch, name in enumerate(chosen.cases or CASES, first):
-        log = run_case(
-            spark, name, chosen.tables, settled_at, chosen.insert_count, chosen.grid
-        )
-        append_batch(log, steps, batch)
+        status = FAILED
+        try:
+            log = run_case(
+                spark, name, chosen.tables, settled_at, chosen.insert_count, chosen.grid
+            )
+            append_batch(log, steps, batch)
+            status = COMPLETED
+        finally:
+            # a failed case ends the command, and is on record
+            job = spark.createDataFrame([(name, status)], JOB_EXECUTIONS)
+            append_batch(job, jobs, batch)
         for table in ("orders", "settlements"):
             drop_old_versions(spark, f"{chosen.tables}/{table}", chosen.keep)
-    run_report(read_batches(spark, steps, STEP_EXECUTIONS, since=first)).show(truncate=False)
+    executions = read_batches(spark, steps, STEP_EXECUTIONS, since=first)
+    outcomes = read_batches(spark, jobs, JOB_EXECUTIONS, since=first)
+    status_report(executions, outcomes).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.schema import COMPLETED, FAILED
+
 # The case pairs compared on each axis, plain form first.
 CASE_PAIRS = (
     ("reader", "reader-offset", "reader-zero-offset"),
@@ -59,6 +61,14 @@ def run_report(steps: DataFrame) -> DataFrame:
     )
 
 
+def status_report(steps: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``run_report`` with what became of each case: one that failed in any of its runs has
+    failed, also where it has no steps to report; one without a job row has no status."""
+    failed = F.bool_or(F.col("status") == FAILED)
+    outcome = jobs.groupBy("case_name").agg(F.when(failed, FAILED).otherwise(COMPLETED).alias("status"))
+    return run_report(steps).join(outcome, "case_name", "full")
+
+
 def case_speedup(steps: DataFrame) -> DataFrame:
     """How many times faster the improved case of each pair reads than the plain one."""
     case = F.col("case_name")

@@ -95,6 +95,16 @@ _INSERTED = f"""{_WITH},
         SELECT * FROM earlier UNION ALL SELECT * FROM added
 """
 
+_REPORT = """
+        SELECT case_name, format('{:,}', total_read) AS total_read,
+               format('{:,}', total_write) AS total_write,
+               format('{:,}', total_skip) AS total_skip,
+               format('{:,}', CAST(floor(round(duration_ms / 1000.0::DOUBLE, 1)) AS BIGINT)) || '.'
+               || CAST(round(round(duration_ms / 1000.0::DOUBLE, 1) * 10) AS BIGINT) % 10 || 's'
+                   AS total_duration,
+               format('{:,}', CAST(round(rate, 0) AS BIGINT)) || ' records/s' AS throughput
+"""
+
 ORACLES: dict[str, str] = {
     "orders_scan": f"{_WITH} SELECT * FROM o",
     "confirmed_scan": f"{_WITH} SELECT * FROM o WHERE status = 'CONFIRMED'",
@@ -214,14 +224,14 @@ ORACLES: dict[str, str] = {
         SELECT * FROM totals""",
     "throughput": f"""{_STEPS}
         SELECT case_name, round(rate, 2) AS rows_per_second FROM rates""",
-    "run_report": f"""{_STEPS}
-        SELECT case_name, format('{{:,}}', total_read) AS total_read,
-               format('{{:,}}', total_write) AS total_write,
-               format('{{:,}}', total_skip) AS total_skip,
-               format('{{:,}}', CAST(floor(round(duration_ms / 1000.0::DOUBLE, 1)) AS BIGINT)) || '.'
-               || CAST(round(round(duration_ms / 1000.0::DOUBLE, 1) * 10) AS BIGINT) % 10 || 's'
-                   AS total_duration,
-               format('{{:,}}', CAST(round(rate, 0) AS BIGINT)) || ' records/s' AS throughput
+    "run_report": f"{_STEPS} {_REPORT} FROM rates",
+    "run_status_report": f"""{_STEPS}, failed AS (
+            SELECT DISTINCT list_value('reader-offset', 'reader-zero-offset', 'writer-jpa',
+                'writer-jdbc-batch', 'insert-identity', 'insert-jdbc-rewrite', 'sequential',
+                'partitioning')[user_id % 8 + 1] AS case_name
+            FROM events GROUP BY user_id % 8, user_id // 8 % 4
+            HAVING count(*) FILTER (WHERE event_type = 'error') % 2 = 1)
+        {_REPORT}, CASE WHEN case_name IN (FROM failed) THEN 'FAILED' ELSE 'COMPLETED' END AS status
         FROM rates""",
     "case_speedup": f"""{_STEPS},
         pairs(axis, base_case, opt_case) AS (VALUES

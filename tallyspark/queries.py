@@ -300,6 +300,11 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.run_report(fixtures.step_executions(spark, sf_dir))
 
 
+def run_status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps, jobs = fixtures.step_executions(spark, sf_dir), fixtures.job_executions(spark, sf_dir)
+    return runlog.status_report(steps, jobs)
+
+
 def case_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.case_speedup(fixtures.step_executions(spark, sf_dir))
 
@@ -399,6 +404,7 @@ QUERIES: dict[str, Query] = {
         step_totals,
         throughput,
         run_report,
+        run_status_report,
         case_speedup,
         chunk_timing_by_step,
         chunk_first_latest,

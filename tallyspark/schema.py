@@ -55,6 +55,15 @@ STEP_EXECUTIONS = T.StructType(
     ]
 )
 
+# What became of a run of a case.
+COMPLETED, FAILED = "COMPLETED", "FAILED"
+JOB_EXECUTIONS = T.StructType(
+    [
+        T.StructField("case_name", T.StringType(), False),
+        T.StructField("status", T.StringType(), False),
+    ]
+)
+
 CHUNK_TIMINGS = T.StructType(
     [
         T.StructField("step", T.StringType(), False),

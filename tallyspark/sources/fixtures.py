@@ -15,7 +15,16 @@ from pyspark.sql import types as T
 from tallyspark.operators.runlog import CASE_PAIRS
 from tallyspark.operators.scans import confirmed_scan
 from tallyspark.operators.settle import settlement_projection, stamp
-from tallyspark.schema import CONFIRMED, GRID_SIZE, SETTLED, SETTLEMENTS, STEP_EXECUTIONS
+from tallyspark.schema import (
+    COMPLETED,
+    CONFIRMED,
+    FAILED,
+    GRID_SIZE,
+    JOB_EXECUTIONS,
+    SETTLED,
+    SETTLEMENTS,
+    STEP_EXECUTIONS,
+)
 
 SETTLED_AT = dt.datetime(2026, 3, 25)
 SETTLED_BEFORE = dt.datetime(2026, 3, 24)
@@ -159,6 +168,20 @@ def step_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def job_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job row for each worker of the eight cases, failed if its errors are odd in number."""
+    cases = F.array(*[F.lit(case) for _, *pair in CASE_PAIRS for case in pair])
+    user = F.col("user_id")
+    worker = (F.call_function("div", user, F.lit(8)) % GRID_SIZE).alias("worker")
+    odd = F.count_if(F.col("event_type") == "error") % 2 == 1
+    return (
+        events(spark, sf_dir)
+        .groupBy(F.element_at(cases, (user % 8 + 1).cast("int")).alias("case_name"), worker)
+        .agg(F.when(odd, FAILED).otherwise(COMPLETED).alias("status"))
+        .select(JOB_EXECUTIONS.names)
+    )
+
+
 def chunk_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).selectExpr(
         "event_type AS step", "event_id + 1 AS chunk_no", "value AS elapsed_ms"

@@ -2,16 +2,20 @@
 
 import pytest
 
+from tallyspark.__main__ import main
 from tallyspark.operators.runlog import (
     case_speedup,
     chunk_first_latest,
     chunk_timing_by_step,
     chunk_timing_samples,
     run_report,
+    status_report,
     step_totals,
     throughput,
 )
-from tallyspark.schema import STEP_EXECUTIONS
+from tallyspark.plans.audited import ConstraintViolation
+from tallyspark.schema import JOB_EXECUTIONS, STEP_EXECUTIONS
+from tallyspark.sources.tables import read_batches, write_version
 
 
 @pytest.fixture
@@ -71,3 +75,24 @@ def test_chunk_timings(spark):
     ]
     per_step = {r.step: tuple(r)[1:] for r in chunk_timing_by_step(timings).collect()}
     assert per_step["a"] == (125, sum(1_000.0 - n for n in range(1, 251, 2)), 999.0)
+
+
+def test_status_of_each_case(spark, steps):
+    jobs = [("sequential", "COMPLETED"), ("partitioning", "COMPLETED"), ("partitioning", "FAILED"), ("writer-jpa", "FAILED")]
+    rows = by_case(status_report(steps, spark.createDataFrame(jobs, JOB_EXECUTIONS)))
+    found = {name: (row["status"], row["total_read"]) for name, row in rows.items()}
+    assert found == {
+        "sequential": ("COMPLETED", "1,000,000"),
+        "partitioning": ("FAILED", "1,000,000"),
+        "writer-jpa": ("FAILED", None),
+        "reader-offset": (None, "0"),
+        "reader-zero-offset": (None, "5"),
+    }
+
+
+def test_a_failed_case_is_on_record(spark, make_orders, tmp_path):
+    write_version(make_orders((1, 1), (1, 2)), f"{tmp_path}/orders")
+    with pytest.raises(ConstraintViolation):
+        main([str(tmp_path), "reader-zero-offset", "sequential"])
+    jobs = read_batches(spark, f"{tmp_path}/jobs", JOB_EXECUTIONS).collect()
+    assert sorted(map(tuple, jobs)) == [("reader-zero-offset", "COMPLETED"), ("sequential", "FAILED")]
