@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyspark.operators import (
     constraints,
@@ -47,8 +49,10 @@ BOUND = 5_000
 INDEXED_FIRST = 8_000
 INDEX_BITS = 10
 RANGED_BITS = 12
-# Files that the orders of a feed arrive in, each with those of the files before.
-FEED_FILES = 4
+# Parts that the orders of a feed arrive in, each with those of the parts before.
+FEED_PARTS = 4
+# Orders and their lines, roughly, that one task joins.
+FEED_ROWS = 1 << 19
 
 
 def _reset(spark: SparkSession, sf_dir: str, after: int | None = 0) -> DataFrame:
@@ -328,38 +332,47 @@ def incremental_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.settle_arrived(orders, f"{run}/settlements", f"{run}/progress", SETTLED_AT)
 
 
-def _feed_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """A fresh folder, and the lines' orders arriving in it as some files: most come repeatedly."""
+def _settled_feed(spark: SparkSession, sf_dir: str) -> tuple[str, list[StreamingQuery]]:
+    """A fresh folder, and the runs of the stream in it, one for each part of the lines' orders
+    that arrives there: most come repeatedly.
+
+    A part is as many files as tasks have made it, and there are more tasks the more rows there
+    are. The stream goes on as soon as a part has arrived, which thus is one micro-batch.
+    """
     run = scratch_folder(spark, "keyed-settle")
-    orders = _reset(spark, sf_dir)
     lines = fixtures.settlement_attempts(spark, sf_dir).withColumnRenamed("order_id", "id")
-    arriving = orders.join(lines, "id").select(ORDERS.names)
-    for part in range(FEED_FILES):
-        arriving.filter(F.col("id") % FEED_FILES <= part).coalesce(1).write.mode("append").parquet(f"{run}/in")
-    return run, incremental.orders_stream(spark, f"{run}/in", files_per_trigger=1)
+    orders = _reset(spark, sf_dir)
+    tasks = max(1, -(-(orders.count() + lines.count()) // FEED_ROWS))
+    arriving = orders.repartition(tasks, "id").join(lines.repartition(tasks, "id"), "id").select(ORDERS.names)
+    runs = []
+    for part in range(FEED_PARTS):
+        arriving.filter(F.col("id") % FEED_PARTS <= part).write.mode("append").parquet(f"{run}/in")
+        arrived = incremental.orders_stream(spark, f"{run}/in", files_per_trigger=incremental.ALL_FILES)
+        runs.append(keyed.start_keyed(arrived, f"{run}/out", f"{run}/progress", SETTLED_AT))
+        runs[-1].awaitTermination()
+    return run, runs
 
 
 def keyed_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of every line settled when it arrives first, from repeats over several batches."""
-    run, orders = _feed_files(spark, sf_dir)
-    keyed.start_keyed(orders, f"{run}/out", f"{run}/progress", SETTLED_AT).awaitTermination()
+    run, _ = _settled_feed(spark, sf_dir)
     return keyed.keyed_settlements(spark, f"{run}/out").select(SETTLEMENT_FACTS.names)
 
 
 def stream_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log of that stream, without its times, and its number of chunks."""
-    run, orders = _feed_files(spark, sf_dir)
     log = stream_log.StreamLog()
     spark.streams.addListener(log)
     try:
-        query = keyed.start_keyed(orders, f"{run}/out", f"{run}/progress", SETTLED_AT)
-        query.awaitTermination()
-        steps = stream_log.step_executions(spark, log, query, "incremental")
-        chunks = stream_log.chunk_timings(spark, log, query)
+        _, runs = _settled_feed(spark, sf_dir)
+        steps = [stream_log.step_executions(spark, log, query, "incremental") for query in runs]
+        chunks = [stream_log.chunk_timings(spark, log, query) for query in runs]
     finally:
         spark.streams.removeListener(log)
-    counted = runlog.chunk_timing_by_step(chunks).select("chunk_count").scalar()
-    return runlog.step_totals(steps).drop("duration_ms").withColumn("chunk_count", counted)
+    timed = runlog.chunk_timing_by_step(reduce(DataFrame.unionByName, chunks))
+    counted = timed.select("chunk_count").scalar()
+    totals = runlog.step_totals(reduce(DataFrame.unionByName, steps))
+    return totals.drop("duration_ms").withColumn("chunk_count", counted)
 
 
 QUERIES: dict[str, Query] = {

@@ -23,6 +23,9 @@ from tallyspark.schema import CHUNK_TIMINGS, ORDERS, SETTLEMENT_FACTS
 from tallyspark.session import held
 from tallyspark.sources.tables import append_batch, exists, highest_id, read_batches
 
+#: Files per trigger of a stream that takes all that has arrived as one micro-batch.
+ALL_FILES = 2**31 - 1
+
 
 def orders_stream(
     spark: SparkSession,

@@ -2,7 +2,9 @@
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
+from tallyspark import queries
 from tallyspark.operators.runlog import chunk_first_latest
 from tallyspark.sources import tables
 from tallyspark.sources.fixtures import SETTLED_AT
@@ -133,3 +135,34 @@ def test_the_log_of_a_stream(spark, arrive, run):
         assert log.batches(again) == {}
     finally:
         spark.streams.removeListener(log)
+
+
+@pytest.fixture
+def feed(spark, tmp_path, monkeypatch):
+    """Tables of 400 orders, ids 1 to 400, with three lines each, and the folder of the run."""
+    keys = spark.range(400).withColumnRenamed("id", "o_orderkey")
+    keys.selectExpr(
+        "o_orderkey", "o_orderkey % 7 AS o_custkey", "'O' AS o_orderstatus", "o_orderkey + 0.5D AS o_totalprice",
+        "TIMESTAMP_NTZ '2026-03-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = keys.select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(1), F.lit(3))))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(queries, "scratch_folder", lambda *_: f"{tmp_path}/run")
+    monkeypatch.setattr(queries, "FEED_ROWS", 100, raising=False)
+    return tmp_path
+
+
+def _rows_of_files(spark, folder):
+    files = spark.read.parquet(folder).groupBy(F.input_file_name()).count()
+    return [r["count"] for r in files.collect()]
+
+
+def test_no_task_makes_a_part_of_the_feed_by_itself(spark, feed):
+    found = queries.keyed_settle(spark, str(feed)).collect()
+    assert sorted((r["order_id"], r["amount"]) for r in found) == [(n, n * 100 - 50) for n in range(1, 401)]
+    # 3 lines of 400 orders: a quarter of them in the first part, all of them in the last
+    files = _rows_of_files(spark, f"{feed}/run/in")
+    assert sum(files) == 1_200 * (1 + 2 + 3 + 4) // 4
+    assert len(files) > 4 and max(files) < 300
+    records = keyed.batch_records(spark, f"{feed}/run/out").orderBy("batch").collect()
+    assert [tuple(r)[:3] for r in records] == [(n, 100, 100 * n + 100) for n in range(4)]
