@@ -166,3 +166,9 @@ def test_no_task_makes_a_part_of_the_feed_by_itself(spark, feed):
     assert len(files) > 4 and max(files) < 300
     records = keyed.batch_records(spark, f"{feed}/run/out").orderBy("batch").collect()
     assert [tuple(r)[:3] for r in records] == [(n, 100, 100 * n + 100) for n in range(4)]
+
+
+def test_the_report_covers_the_runs_of_all_parts(spark, feed):
+    report = queries.stream_run_report(spark, str(feed)).collect()
+    assert [tuple(r) for r in report] == [("incremental", 3_000, 400, 2_600, 4)]
+    assert max(_rows_of_files(spark, f"{feed}/run/in")) < 300
