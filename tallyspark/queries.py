@@ -53,6 +53,8 @@ RANGED_BITS = 12
 FEED_PARTS = 4
 # Orders and their lines, roughly, that one task joins.
 FEED_ROWS = 1 << 19
+# Those whose arrivals one task of the stream compares with its state; each has a state store.
+STATE_ROWS = 1 << 21
 
 
 def _reset(spark: SparkSession, sf_dir: str, after: int | None = 0) -> DataFrame:
@@ -337,18 +339,22 @@ def _settled_feed(spark: SparkSession, sf_dir: str) -> tuple[str, list[Streaming
     that arrives there: most come repeatedly.
 
     A part is as many files as tasks have made it, and there are more tasks the more rows there
-    are. The stream goes on as soon as a part has arrived, which thus is one micro-batch.
+    are. The stream goes on as soon as a part has arrived, which thus is one micro-batch; its
+    state, too, is dealt to the more tasks the more rows there are.
     """
     run = scratch_folder(spark, "keyed-settle")
     lines = fixtures.settlement_attempts(spark, sf_dir).withColumnRenamed("order_id", "id")
     orders = _reset(spark, sf_dir)
-    tasks = max(1, -(-(orders.count() + lines.count()) // FEED_ROWS))
+    rows = orders.count() + lines.count()
+    tasks = max(1, -(-rows // FEED_ROWS))
+    stores = max(1, -(-rows // STATE_ROWS))
     arriving = orders.repartition(tasks, "id").join(lines.repartition(tasks, "id"), "id").select(ORDERS.names)
     runs = []
     for part in range(FEED_PARTS):
         arriving.filter(F.col("id") % FEED_PARTS <= part).write.mode("append").parquet(f"{run}/in")
         arrived = incremental.orders_stream(spark, f"{run}/in", files_per_trigger=incremental.ALL_FILES)
-        runs.append(keyed.start_keyed(arrived, f"{run}/out", f"{run}/progress", SETTLED_AT))
+        query = keyed.start_keyed(arrived, f"{run}/out", f"{run}/progress", SETTLED_AT, partitions=stores)
+        runs.append(query)
         runs[-1].awaitTermination()
     return run, runs
 

@@ -35,6 +35,7 @@ from tallyspark.streaming.runlog import SETTLED, watched
 #: Ids of one entry of the state.
 STATE_BITS = 12
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SHUFFLED_TO = "spark.sql.shuffle.partitions"
 
 #: What a micro-batch leaves for the next one and for the run log.
 RECORDS = T.StructType(
@@ -120,24 +121,38 @@ def settle_new(out: str, settled_at: dt.datetime) -> Callable[[DataFrame, int],
 
 
 def start_keyed(
-    orders: DataFrame, out: str, checkpoint: str, settled_at: dt.datetime, bits: int = STATE_BITS
+    orders: DataFrame,
+    out: str,
+    checkpoint: str,
+    settled_at: dt.datetime,
+    bits: int = STATE_BITS,
+    partitions: int = 1,
 ) -> StreamingQuery:
     """Settles all that has arrived and then stops; start again to go on.
 
     The state lives in the checkpoint, so ``out`` is refused with another one. The width of an
     entry belongs to it, too: do not change ``bits`` of a stream that has run.
+
+    The state is dealt to ``partitions`` tasks, or to as many as the session shuffles to if
+    those are more. A stream keeps the number that it started with.
     """
     spark = orders.sparkSession
     if exists(spark, _records(out)) and not exists(spark, checkpoint):
         raise ValueError(f"{out} holds settlements of a run with another checkpoint")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return (
-        first_arrivals(orders, bits)
-        .writeStream.foreachBatch(settle_new(out, settled_at))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    shuffled_to = spark.conf.get(SHUFFLED_TO)
+    spark.conf.set(SHUFFLED_TO, str(max(partitions, int(shuffled_to))))
+    try:
+        return (
+            first_arrivals(orders, bits)
+            .writeStream.foreachBatch(settle_new(out, settled_at))
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        # the stream has taken the settings over; the session's other jobs keep theirs
+        spark.conf.set(SHUFFLED_TO, shuffled_to)
 
 
 def batch_records(spark: SparkSession, out: str) -> DataFrame:

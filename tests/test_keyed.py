@@ -172,3 +172,31 @@ def test_the_report_covers_the_runs_of_all_parts(spark, feed):
     report = queries.stream_run_report(spark, str(feed)).collect()
     assert [tuple(r) for r in report] == [("incremental", 3_000, 400, 2_600, 4)]
     assert max(_rows_of_files(spark, f"{feed}/run/in")) < 300
+
+
+def test_the_state_is_dealt_to_more_tasks_the_more_rows_there_are(spark, feed, monkeypatch):
+    """400 orders and 1,200 lines, whatever few tasks the session shuffles to."""
+    monkeypatch.setattr(queries, "STATE_ROWS", 100, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert int(before) < 16
+    _, runs = queries._settled_feed(spark, str(feed))
+    states = [query.lastProgress["stateOperators"][0] for query in runs]
+    assert [state["numShufflePartitions"] for state in states] == [16] * 4
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    settled = keyed.keyed_settlements(spark, f"{feed}/run/out").collect()
+    assert sorted((r["id"], r["order_id"] % 4) for r in settled) == [(n, (n - 1) // 100) for n in range(1, 401)]
+    assert sorted(r["order_id"] for r in settled) == list(range(1, 401))
+
+
+def test_a_stream_keeps_the_partitions_of_its_state(spark, arrive, settled, tmp_path):
+    def run(partitions):
+        stream = orders_stream(spark, f"{tmp_path}/in")
+        query = keyed.start_keyed(stream, f"{tmp_path}/out", f"{tmp_path}/progress", SETTLED_AT, 3, partitions)
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numShufflePartitions"]
+
+    arrive((1, 10), (40, 40))
+    assert run(11) == 11
+    arrive((40, 1), (3, 30))
+    assert run(20) == 11
+    assert settled() == [(1, 1, 10), (2, 40, 40), (3, 3, 30)]
