@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import ship, stash
+from tallyspark.llm.common import ship
 
 # The filters and their limits.
 FILTERS = "ABCDE"
@@ -84,7 +84,8 @@ def _text_rows(docs: DataFrame) -> DataFrame:
         docs.select(
             F.col("doc_id").cast("long"),
             F.coalesce("source", F.lit("")).alias("part"),
-            F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_hash"),
+            # never null, and known not to be: a filter on nulls would make one reading of texts two
+            F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b"")).alias("text_hash"),
             text_mask(text).alias("mask"),
         )
         .groupBy("doc_id", "part", "text_hash", "mask")
@@ -108,25 +109,24 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 def histogram(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, held, good, toxic): documents of a part that fail exactly a mask's filters."""
-    rows = stash(_text_rows(docs), "masks")
-    # rows without doc_id have no labels; apart from the join they do not share one task
-    known = rows.filter(F.col("doc_id").isNotNull()).join(_labels(labels), "doc_id", "left")
-    unknown = rows.filter(F.col("doc_id").isNull()).withColumns({"good": F.lit(None), "toxic": F.lit(None)})
-    labelled = known.unionByName(unknown).withColumns(
+    # rows without doc_id have no labels; dealt by their texts they do not share one task of the join
+    key = F.coalesce("doc_id", F.xxhash64("text_hash"))
+    rows = _text_rows(docs).withColumn("key", key)
+    marks = _labels(labels).withColumnRenamed("doc_id", "labelled")
+    same = F.col("doc_id").isNotNull() & (F.col("key") == F.col("labelled"))
+    labelled = rows.join(marks, same, "left").withColumns(
         {name: F.coalesce(F.col(name).cast("int"), F.lit(0)) for name in ("good", "toxic")}
     )
     kind = ["text_hash", "part", "mask", "good", "toxic"]
     per_id = labelled.groupBy(*kind, "doc_id").agg(F.sum("rows").alias("rows"))
     # of the rows of a kind: those with its smallest doc_id, and those without any
-    kinds = stash(
-        per_id.groupBy(*kind).agg(
-            F.sum("rows").alias("held"),
-            F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("rows"))), F.lit(0)).alias("without"),
-            F.min("doc_id").alias("first"),
-            F.coalesce(F.min_by("rows", "doc_id"), F.lit(0)).alias("at_first"),
-        ),
-        "kinds",
+    kinds = per_id.groupBy(*kind).agg(
+        F.sum("rows").alias("held"),
+        F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("rows"))), F.lit(0)).alias("without"),
+        F.min("doc_id").alias("first"),
+        F.coalesce(F.min_by("rows", "doc_id"), F.lit(0)).alias("at_first"),
     )
+    # kinds are made for both from the same shuffled rows, so that texts are read once
     several = (
         kinds.groupBy("text_hash")
         .agg(F.min("first").alias("smallest"), F.sum("held").alias("copies"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tallyspark.llm import filter_audit, prefix_trie, queries, token_counts, token_shards
+from tallyspark.llm import common, filter_audit, prefix_trie, queries, token_counts, token_shards
 
 SMALL = "/root/testdata/sf0.01"
 MODEL = token_shards.public_tokenizer()
@@ -254,6 +254,28 @@ def test_audit_of_odd_rows(spark):
     assert spark_audit(filter_audit.interactions(frame, marks.limit(0))) == plain_audit([d[:3] for d in docs], [])
 
 
+def test_audit_reads_texts_once_and_writes_nothing(spark, monkeypatch):
+    def written(*_):
+        raise AssertionError("an intermediate table")
+
+    monkeypatch.setattr(common, "scratch_folder", written)
+    found = queries.op13_filter_audit(spark, SMALL)
+    assert found.count() > 0
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # documents and labels
+    assert plan.count("FileScan") == 2
+
+
+def test_audit_of_many_rows_without_ids(spark):
+    docs = [(None, f"text {n % 40}", None if n % 3 else "s") for n in range(400)]
+    docs += [(n, f"text {n}", "s") for n in range(0, 40, 2)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    labels = [(None, 1, 1), (0, 1, 0), (2, 0, 1), (2, 1, None)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert spark_audit(filter_audit.interactions(frame, marks)) == plain_audit(docs, labels)
+
+
 def test_removal_steps_are_the_first_failed_filter():
     by_step, fails = filter_audit.orders(), filter_audit.failures()
     steps = filter_audit.removal_steps(fails, filter_audit.places(by_step))
