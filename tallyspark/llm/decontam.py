@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -200,17 +201,26 @@ class Index:
                 by_length.setdefault(len(words), []).append((item_id, words))
         self.groups = [Group(by_length[n], radius) for n in sorted(by_length)]
         self.known: dict[int, tuple[np.ndarray, np.ndarray, np.uint64]] = {}
+        #: of each known mark the groups that have it, and where they begin
+        self.owners: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for width in {group.width for group in self.groups}:
             groups = [group for group in self.groups if group.width == width]
             hashes, counts = np.unique(np.concatenate([g.hashes for g in groups]), return_counts=True)
             for group in groups:
                 group.mark(hashes, counts, least)
             hashes = np.unique(np.concatenate([group.marks for group in groups]))
+            ranks = np.searchsorted(hashes, np.concatenate([group.marks for group in groups]))
+            numbers = [n for n, group in enumerate(self.groups) if group.width == width]
+            owners = np.repeat(numbers, [len(group.marks) for group in groups])
+            order = np.argsort(ranks, kind="stable")
+            self.owners[width] = owners[order], np.searchsorted(ranks[order], np.arange(len(hashes) + 1))
             bits = max(10, int(len(hashes) * 16).bit_length())
             shift = np.uint64(64 - bits)
             table = np.zeros(1 << bits, bool)
             table[hashes >> shift] = True
             self.known[width] = hashes, table, shift
+        words = sorted({word for group in self.groups for item in group.words for word in item})
+        self.vocabulary = dict(zip(words, hashed(words).tolist(), strict=True))
 
     def shared(self, shingles: np.ndarray, width: int) -> np.ndarray:
         """Positions of the shingles that are a mark of some item."""
@@ -221,25 +231,32 @@ class Index:
         place = np.minimum(np.searchsorted(hashes, shingles[at]), len(hashes) - 1)
         return at[hashes[place] == shingles[at]]
 
+    def marked(self, words: list[str]) -> bool:
+        """Whether the words may have a mark: a mark's words are words of items, no other is hashed."""
+        hashes = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+        return any(len(self.shared(shingle_hashes(hashes, width), width)) for width in self.known)
+
     def matches(self, text: str | None) -> list[dict]:
         """The best window of every item that is found in the text."""
         least = self.least
         words = words_of(text)
+        if not self.marked(words):
+            return []
         best: dict[tuple[int, int], dict] = {}
         hashes = hashed(words)
-        spots = {}
+        spots, met = {}, []
         for width in self.known:
             shingles = shingle_hashes(hashes, width)
             at = self.shared(shingles, width)
             if len(at):
                 spots[width] = shingles, at
-        for number, group in enumerate(self.groups):
-            if group.width not in spots:
-                continue
+                owners, begins = self.owners[width]
+                ranks = np.searchsorted(self.known[width][0], np.unique(shingles[at]))
+                met.append(owners[spread(begins[ranks], begins[ranks + 1] - begins[ranks])])
+        for number in sorted({int(number) for numbers in met for number in numbers}):
+            group = self.groups[number]
             shingles, at = spots[group.width]
             at = at[np.isin(shingles[at], group.marks)]
-            if not len(at):
-                continue
             marks = Marks(group, shingles, at)
             if len(words) < group.length:
                 # the similarity is this ratio at most

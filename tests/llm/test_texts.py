@@ -348,6 +348,21 @@ def test_repetitive_texts_equal_brute_force():
         assert found == {n: value for n, value in best.items() if value >= 0.8}
 
 
+def test_texts_without_marks_are_not_hashed(monkeypatch):
+    items = [(1, " ".join(f"a{n}" for n in range(20))), (2, " ".join(f"b{n}" for n in range(12)))]
+    index = decontam.Index(items)
+    assert [m["item_id"] for m in index.matches("x y " + items[0][1] + " z")] == [1]
+
+    def hashed(words):
+        raise AssertionError("hashed")
+
+    monkeypatch.setattr(decontam, "hashed", hashed)
+    # none of an item's words, words of items in another order, parts of items below a mark's width
+    assert index.matches("no word of an item " * 50) == []
+    assert index.matches(" ".join(reversed(items[0][1].split()))) == []
+    assert index.matches("a0 a1 a2 a3 x b0 b1 b2 b3 y") == []
+
+
 def test_many_items_with_one_opening_stay_cheap():
     draw = random.Random(13)
     words = [f"w{i}" for i in range(20_000)]
