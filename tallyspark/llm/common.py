@@ -116,6 +116,11 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
+_STEPS = np.arange(1 << 16)
+
+
 def spread(lows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places low .. low + size - 1 of every range, one range after the other."""
-    return np.repeat(lows - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    places = np.repeat(lows - np.cumsum(sizes) + sizes, sizes)
+    places += _STEPS[: len(places)] if len(places) <= len(_STEPS) else np.arange(len(places))
+    return places

@@ -9,8 +9,9 @@ examples and are left out.
 
 The index keeps postings by term in blocks of examples, with each term's largest weight in each
 block that has the term. A text's cosine with a block's examples is at most the sum of its
-weights times these maxima: the most promising blocks are scored first, and then all whose bound reaches the
-k-th best cosine found, so the nearest examples are exact. Examples are ordered by their
+weights times these maxima. Weights are not negative, so the k-th best cosine is at least what any one term
+gives to the k-th largest of its postings: all blocks whose bound reaches the largest such share are scored,
+and the nearest examples are exact. Examples are ordered by their
 commonest word, which puts those of one language together and keeps bounds apart.
 
 Votes fall with distance, are pulled towards the rate of label 1, and are calibrated by isotonic
@@ -33,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,11 @@ FALL = 2
 #: Weight of the base rate among the votes, in votes of a neighbour at distance zero.
 BASE_VOTES = 0.02
 TOXIC_FROM = 0.3
-#: Examples in a block, and blocks that are scored before bounds decide.
-BLOCK, FIRST_BLOCKS = 128, 2
+#: Examples in a block.
+BLOCK = 128
+
+#: Most neighbours that are looked for with a floor of their cosines: a text leaves itself out.
+FLOOR = NEIGHBOURS + 1
 
 _WORD = re.compile(r"[^\W\d_]+")
 SCORED = "doc_id long, score double, evidence array<struct<doc_id:bigint,cosine:double,label:int>>"
@@ -81,13 +86,26 @@ class BlockMaxIndex:
         self.cell_block = self.numbers[self.cell_at] // BLOCK
         self.cell_best = np.maximum.reduceat(self.weights, self.cell_at) if len(cells) else np.empty(0)
         self.term_at = np.searchsorted(ids[self.cell_at], np.arange(terms + 1))
+        #: the weight that so many postings of a term reach; zero if it has fewer
+        self.floor = np.zeros(terms)
+        order = np.lexsort((-self.weights, ids))
+        begins = np.searchsorted(ids, np.arange(terms + 1))
+        enough = np.flatnonzero(np.diff(begins) >= FLOOR)
+        self.floor[enough] = self.weights[order[begins[enough] + FLOOR - 1]]
+        #: whether a cell is the first of its term
+        self.opens = np.diff(ids[self.cell_at], prepend=-1) != 0
 
     def _sums(self, cells: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Products of the postings of these cells, summed by example."""
-        at, sizes = self.cell_at[cells], self.cell_size[cells]
-        places = spread(at, sizes)
-        products = self.weights[places] * np.repeat(values, sizes)
-        return np.bincount(self.numbers[places], products, self.size)
+        # neighbouring cells of one term are one run of postings
+        starts = np.flatnonzero((np.diff(cells, prepend=-2) != 1) | self.opens[cells])
+        lasts = cells[np.append(starts[1:], len(cells)) - 1]
+        lows = self.cell_at[cells[starts]]
+        sizes = self.cell_at[lasts] + self.cell_size[lasts] - lows
+        places = spread(lows, sizes)
+        products = np.take(self.weights, places, mode="clip")
+        products *= np.repeat(values[starts], sizes)
+        return np.bincount(np.take(self.numbers, places, mode="clip"), products, self.size)
 
     def nearest(self, vector: dict[int, float], k: int) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above zero, best first."""
@@ -101,16 +119,17 @@ class BlockMaxIndex:
             return []
         blocks = self.cell_block[cells]
         bounds = np.bincount(blocks, values * self.cell_best[cells], self.blocks)
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
-        chosen = first[blocks]
-        cosines = self._sums(cells[chosen], values[chosen])
+        floor = float((weights * self.floor[terms]).max()) if k <= FLOOR else 0.0
         # the margin covers rounding: a bound is a sum in another order
-        kth = np.partition(cosines, -k)[-k] if k < self.size else 0.0
-        rest = ~first & (bounds > 0) & (bounds >= kth - 1e-9)
-        if rest.any():
-            chosen = rest[blocks]
-            cosines += self._sums(cells[chosen], values[chosen])
+        near = (bounds > 0) & (bounds >= floor - 1e-9)
+        if not near.any():
+            return []
+        if not near.all():
+            chosen = near[blocks]
+            # whole terms are fewer runs than their cells, and quicker unless many cells are left out
+            if 4 * np.count_nonzero(chosen) < 3 * len(cells):
+                cells, values = cells[chosen], values[chosen]
+        cosines = self._sums(cells, values)
         cosines = np.round(cosines, 12)
         kth = np.partition(cosines, -k)[-k] if k < self.size else 0.0
         hits = np.flatnonzero((cosines >= kth) & (cosines > 0))
@@ -158,8 +177,9 @@ class Model:
 
 def counted(text: str | None, terms: dict[str, int]) -> Counts:
     """The known terms of a text, ascending, and how often it has each."""
-    found = [terms[word] for word in words_of(text) if word in terms]
-    return np.unique(np.array(found, np.int64), return_counts=True)
+    words = words_of(text)
+    found = np.fromiter(map(terms.get, words, repeat(-1)), np.int64, len(words))
+    return np.unique(found[found >= 0], return_counts=True)
 
 
 def unit(found: Counts, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

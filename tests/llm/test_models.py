@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyspark.llm import mixing, quality, queries, token_shards, topk, toxicity
+from tallyspark.llm import common, mixing, quality, queries, token_shards, topk, toxicity
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -65,6 +65,73 @@ def test_block_max_index_is_exact():
         assert np.allclose([c for c, _ in found], [-c for c, _ in expected], atol=1e-9)
 
 
+def test_postings_of_neighbouring_cells_are_one_run(monkeypatch):
+    # term 0 is in every block, its neighbour term 1 too, term 2 in every third example
+    vectors = [{0: 0.5, 1: 0.25, **({2: 0.75} if n % 3 == 0 else {})} for n in range(4 * toxicity.BLOCK + 5)]
+    index = toxicity.BlockMaxIndex(vectors, 4)
+    runs = []
+
+    def spread(lows, sizes):
+        runs.append(len(sizes))
+        return common.spread(lows, sizes)
+
+    cells = np.arange(len(index.cell_at))
+    monkeypatch.setattr(toxicity, "spread", spread)
+    values = np.repeat([1.0, 2.0, 3.0], np.diff(index.term_at)[:3])
+    sums = index._sums(cells, values)
+    assert runs == [3]
+    assert np.array_equal(sums, [v[0] + 2 * v[1] + 3 * v.get(2, 0) for v in vectors])
+    # cells apart are runs of their own, and cells left out add nothing
+    some = cells[[0, 1, 3, 6, 12]]
+    sums = index._sums(some, values[some])
+    assert runs == [3, 4]
+    block = np.arange(len(vectors)) // toxicity.BLOCK
+    weights = {0: [(0, 1.0)], 1: [(0, 1.0), (1, 2.0)], 2: [(2, 3.0)], 3: [(0, 1.0)], 4: []}
+    assert np.array_equal(sums, [sum(w * v.get(t, 0) for t, w in weights[b]) for v, b in zip(vectors, block, strict=True)])
+
+
+def test_postings_are_summed_once_for_a_text(monkeypatch):
+    draw = random.Random(4)
+    vectors = [{t: draw.random() for t in draw.sample(range(60), 12)} for _ in range(700)]
+    # blocks of another language, which the floor of the cosines leaves out
+    vectors += [{t: draw.random() for t in draw.sample(range(58, 300), 12)} for _ in range(1400)]
+    index = toxicity.BlockMaxIndex(vectors, 400)
+    sums, summed = index._sums, []
+    monkeypatch.setattr(index, "_sums", lambda cells, values: summed.append(len(cells)) or sums(cells, values))
+    for k in (1, 16, 17, 18, 900, 3000):
+        for _ in range(20):
+            vector = {t: draw.random() for t in draw.sample(range(60), 9)} | {399: 1.0}
+            cosines = [round(sum(w * v.get(t, 0) for t, w in sorted(vector.items())), 12) for v in vectors]
+            best = sorted(((-c, n) for n, c in enumerate(cosines) if c > 0))[:k]
+            found = index.nearest(dict(sorted(vector.items())), k)
+            assert [n for _, n in found] == [n for _, n in best]
+            assert [c for c, _ in found] == pytest.approx([-c for c, _ in best], abs=2e-12)
+    assert len(summed) == 120
+
+
+def test_a_word_is_looked_up_once():
+    class Terms(dict):
+        lookups = 0
+
+        def __contains__(self, word):
+            self.lookups += 1
+            return super().__contains__(word)
+
+        def __getitem__(self, word):
+            self.lookups += 1
+            return super().__getitem__(word)
+
+        def get(self, word, default=None):
+            self.lookups += 1
+            return super().get(word, default)
+
+    terms = Terms(a=0, b=1, c=2)
+    at, counts = toxicity.counted("c a x, C a\ny c", terms)
+    assert (at.tolist(), counts.tolist()) == ([0, 2], [2, 3])
+    assert terms.lookups == 7
+    assert [len(side) for side in toxicity.counted(None, terms)] == [0, 0]
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "idiot"), (3, "a")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (3, None)], "doc_id long, toxic int")
